@@ -7,17 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import eval_leaks, format_copies, same_look, splitter, survivor, tokenizer
+from . import canon_map, eval_leaks, format_copies, name_variants, same_look, splitter, survivor, tokenizer
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.found(table(spark, sf, "master_merge"), table(spark, sf, "stand_in"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return canon_map.found(table(spark, sf, "crosswalk"), table(spark, sf, "canon_name"), table(spark, sf, "nickname"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return format_copies.found(table(spark, sf, "master_sheet"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    named = name_variants.names_of(table(spark, sf, "master_row"), table(spark, sf, "assignment"))
+    return name_variants.pairs(name_variants.link_classes(named, table(spark, sf, "nickname")))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return same_look.pairs(same_look.names_of(table(spark, sf, "master_row"), table(spark, sf, "assignment")))
 
@@ -34,4 +43,4 @@ def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitter.split_oversized(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p3_found, p5_found, p6_ids, p7_found, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p8_pieces)}

@@ -22,7 +22,7 @@ COLUMNS = [f.name for f in DETECTION]
 # The patterns are this project's own: an address with a plain local part and a domain of two labels or more, and a web
 # address with a scheme or a leading www.
 EMAIL = r"(?<![\p{L}\p{N}_.+-])[A-Za-z0-9_](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\p{L}\p{N}_])"
-URL = r"(?i)(?<![\p{L}\p{N}_@.])(?:https?://|www\.)[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?::[0-9]{2,5})?(?:[/?#](?:[A-Za-z0-9_~%&=+/#-]|[.,:;!?'@*$](?=[A-Za-z0-9_~%&=+/#-]))*)?"
+URL = r"(?i)(?<![\p{L}\p{N}_@.])(?:https?://|www\.)[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?::[0-9]{2,5})?(?:[/?#](?:[.,:;!?'@*$]?[A-Za-z0-9_~%&=+/#-])*)?"
 
 
 def _shaped(df: DataFrame, entity_type: Column | str, score: Column | float, source: str, seq: Column | int = 0) -> DataFrame:

@@ -75,6 +75,7 @@ def _positions(text: str, pattern: str, more: str = "") -> str:
 
 
 EMAIL = r"[A-Za-z0-9_](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"
+URL = r"(?i)(?:https?://|www\.)[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?::[0-9]{2,5})?(?:[/?#](?:[.,:;!?''@*$]?[A-Za-z0-9_~%&=+/#-])*)?"
 _DOC_EMAILS = f"hits_ as (select doc_id, text, list_sort(list_distinct(regexp_extract_all(text, '{EMAIL}')), 'DESC') as found from documents)"
 _BY_LENGTH = "list_transform(list_reverse_sort(list_transform(found, lambda m: {'n': length(m), 'm': m})), lambda s: s.m)"
 _EML = f"'EML-AUTO-' || upper(substr(sha1({_norm('m[1]')}), 1, 5))"
@@ -134,8 +135,8 @@ def _dictionary_hits() -> str:
 with forms as (select distinct entity_type, lower(trim(a)) as key from (select entity_type, unnest({_aliases("name")}) as a from master_row where entity_type is not null) where trim(a) <> ''),
 d as (select doc_id, replace(lower(text), 'i̇', 'i') as low from documents where text is not null),
 m as (select doc_id, low, entity_type, key, string_split(low, key) as parts from d join forms on contains(low, key)),
-p as (select doc_id, low, entity_type, key, cast(list_sum(list_transform(parts[:i], lambda x: length(x))) + (i - 1) * length(key) as int) as at from (select *, unnest(range(1, len(parts))) as i from m))
-select doc_id, entity_type, key, count(*) as n from p where not regexp_matches(substr(low, at, 1), '^{_W}') and not regexp_matches(substr(low, at + length(key) + 1, 1), '^{_W}') group by all"""
+p as (select doc_id, low, entity_type, key, cast(list_sum(list_transform(parts[:i], lambda x: length(x))) + (i - 1) * length(key) as int) as pos from (select *, unnest(range(1, len(parts))) as i from m))
+select doc_id, entity_type, key, count(*) as n from p where not regexp_matches(substr(low, pos, 1), '^{_W}') and not regexp_matches(substr(low, pos + length(key) + 1, 1), '^{_W}') group by all"""
 
 
 def _custom() -> str:
@@ -175,6 +176,7 @@ ORACLE: dict[str, str] = {
     "dictionary_hits": _dictionary_hits(),
     "dictionary_hits_by_join": _dictionary_hits(),
     "email_findings": _positions("text", EMAIL),
+    "url_findings": f"select doc_id, len(u) as n, array_to_string(u, ' ') as urls from (select doc_id, regexp_extract_all(text, '{URL}') as u from documents where text is not null) where len(u) > 0",
     "email_redacted_docs": f"with {_DOC_EMAILS} select doc_id, case when len(found) > 0 then {_redacted(_EML)} else text end as redacted from hits_",
     "run_splice": f"with {_DOC_EMAILS} select doc_id, {_redacted(_EML)} as redacted, cast(floor((length(text) - 1) / 40) + 1 as int) as n_runs from hits_ where len(found) > 0",
     "blackout": f"with {_DOC_EMAILS} select doc_id, case when len(found) > 0 then {_redacted('repeat(chr(9608), length(m[1]))')} else text end as redacted from hits_",

@@ -32,6 +32,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """As many partitions as the session shuffles to or has cores, whatever their bytes: for steps that are short on data and long on work."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def local_session(cores: str | int = "*", shuffle: int | None = None) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     return (

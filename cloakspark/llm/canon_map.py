@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .name_variants import by_sound, nicknames_of
 from .namerules import Name, distance, parse
 
@@ -144,7 +145,7 @@ def map_to_list(values: DataFrame, canon: DataFrame, nickname: DataFrame, thresh
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["name", "entity_type", "canon_id", "score"])
 
     distinct = values.select(F.col("name").cast("string").alias("name"), F.col("entity_type").cast("string").alias("entity_type")).where("name is not null and name rlike '(?U)[^\\\\s\\\\p{Cf}]'").distinct()
-    return distinct.mapInArrow(run, "name string, entity_type string, canon_id long, score double")
+    return spread(distinct).mapInArrow(run, "name string, entity_type string, canon_id long, score double")
 
 
 def found(crosswalk: DataFrame, canon: DataFrame, nickname: DataFrame) -> DataFrame:

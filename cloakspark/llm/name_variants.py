@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import materialise, spread
 from .namerules import Name, distance, nickname_table, parse
 
 #: The nickname list is a fixed table; more rows than this are refused, not sent to every task.
@@ -119,7 +119,7 @@ def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted"
     rows = rows.where("id is not null and name is not null and name rlike '(?U)[^\\\\s\\\\p{Cf}]'").distinct()
     # a row without an entity type takes the one that its spelling has elsewhere
     distinct = rows.groupBy("name", "entity_type").agg(F.count("*").alias("n"), F.max("trusted").alias("trusted"))
-    keyed = materialise(parsed(distinct, nicknames_of(nickname)).select("name", "entity_type", "key", "forms"))
+    keyed = materialise(parsed(spread(distinct), nicknames_of(nickname)).select("name", "entity_type", "key", "forms"))
     support = distinct.join(keyed.select("name", F.col("entity_type").alias("et"), "key"), (distinct["name"] == keyed["name"]) & F.col("entity_type").eqNullSafe(F.col("et")))
     nodes = support.groupBy("key").agg(F.max("trusted").alias("trusted"), F.sum("n").alias("n"))
     forms = keyed.dropDuplicates(["key"]).select("key", F.explode("forms").alias("f")).select("key", "f.use", "f.form", "f.word").join(nodes, "key")

@@ -51,33 +51,26 @@ def word_pattern() -> regex.Pattern:
     return regex.compile(WORD_PATTERN)
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
-    """(chunk, ids, texts) of at most CHUNK_BYTES of text and one text at least; a chunk is named after its first id."""
-    ids, texts, size = [], [], 0
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most CHUNK_BYTES of text, and one text at least, with the slice's first id as their `chunk`."""
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if ids and size >= CHUNK_BYTES:
-                yield ids[0], ids, texts
-                ids, texts, size = [], [], 0
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-    if ids:
-        yield ids[0], ids, texts
-
-
-def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk, ids, texts in _chunked(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["chunk", "id", "text"])
+        upto = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            done = upto[at - 1] if at else 0
+            n = max(1, int(np.searchsorted(upto, done + CHUNK_BYTES, side="right")) - at)
+            part = b.slice(at, n)
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[0].as_py()] * n, pa.int64()), *part.columns], ["chunk", "id", "text"])
+            at += n
 
 
 def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     split = word_pattern().findall
-    for chunk, _, texts in _chunked(batches):
+    for part in _chunked(batches):
         seen: set[str] = set()
-        for t in texts:
+        for t in part.column(2).to_pylist():
             seen.update(split(t))
-        yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(seen), pa.int64()), pa.array(list(seen), pa.string())], ["chunk", "word"])
+        yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[0].as_py()] * len(seen), pa.int64()), pa.array(list(seen), pa.string())], ["chunk", "word"])
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
@@ -101,7 +94,7 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     path = path or vocabulary_path()
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # both passes read the same rows in the same order; a word that a chunk's dictionary should lack is encoded on the spot
-    texts = rows.mapInArrow(_chunk_texts, "chunk long, id long, text string")
+    texts = rows.mapInArrow(_chunked, "chunk long, id long, text string")
     words = rows.mapInArrow(_chunk_words, "chunk long, word string")
     dictionary = words.join(word_table(words, path), "word").select("chunk", "word", "ids")
 

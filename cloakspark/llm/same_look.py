@@ -53,10 +53,13 @@ def canonical_forms(values: DataFrame, column: str) -> DataFrame:
 
 
 def unify(df: DataFrame, column: str, out: str = "canonical") -> DataFrame:
-    """The table with a further column, the form that all values of the same look share; null or blank values keep themselves."""
+    """The table with a further column, the form that all values of the same look share; null or blank values keep themselves.
+
+    A column that is already called like the new one gives way to it.
+    """
     forms = canonical_forms(df, column).select(F.col("value").alias("__value"), F.col("canonical").alias("__canonical"))
     joined = df.join(forms, df[column] == forms["__value"], "left")
-    return joined.select(*(df[c] for c in df.columns), F.coalesce("__canonical", df[column]).alias(out))
+    return joined.select(*(df[c] for c in df.columns if c != out), F.coalesce("__canonical", df[column]).alias(out))
 
 
 def pairs(named: DataFrame) -> DataFrame:

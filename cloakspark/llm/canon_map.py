@@ -111,7 +111,8 @@ def map_to_list(values: DataFrame, canon: DataFrame, nickname: DataFrame, thresh
     """`name, entity_type, canon_id, score` of each distinct value: `canon_id` 0 and the best score of any entry if none is meant.
 
     Null and blank names are left out; a null entity type is read off the name (company form or line of business). Two
-    entries that fit equally well within `margin`, in errors and score, decide nothing, so the value is reported as 0;
+    entries that fit equally well within `margin`, in errors and score, decide nothing, so the value is reported as 0, and
+    so is an initial that fits two given names;
     list entries without a name or an id are ignored; repeated rows count once; an empty list reports every value, an
     empty table gives an empty table; names are read whole; other columns are ignored.
     """
@@ -139,7 +140,7 @@ def map_to_list(values: DataFrame, canon: DataFrame, nickname: DataFrame, thresh
                         if score >= threshold and (errors := same_name(value, block.names[k], givens)) is not None:
                             fit.append((errors, -score, block.ids[k]))
                 fit.sort()
-                clear = len(fit) == 1 or (len(fit) > 1 and fit[0][0] < CUT_SHORT and (fit[0][0] < fit[1][0] or fit[1][1] - fit[0][1] >= margin))
+                clear = len(fit) == 1 or (len(fit) > 1 and fit[0][0] < CUT_SHORT and (fit[0][0] < fit[1][0] or (len(value.parts) > 1 or value.kind == "O") and fit[1][1] - fit[0][1] >= margin))
                 ids.append(fit[0][2] if fit and clear else 0)
                 scores.append(-fit[0][1] if fit and clear else top)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["name", "entity_type", "canon_id", "score"])

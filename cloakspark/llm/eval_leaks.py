@@ -17,10 +17,9 @@ per block, so what a task holds is bounded whatever the number of items.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame
 from .wordhash import Words, mix, words
 
 CHUNK_BYTES = 8 << 20
+MAX_REPETITIONS = 512
 _BITS = 20
 
 
@@ -51,13 +51,14 @@ def edit_distance_at_most(a: list, b: list, limit: int) -> bool:
 class _Walk:
     """One repetition: the random function of the walk and the places that are sampled."""
 
-    def __init__(self, n_words: int, samples: int, seed: int):
+    def __init__(self, n_words: int, samples: int, seed: int, from_first: bool):
         rng = np.random.default_rng(seed)
         self.n = n_words
         self.step = rng.integers(0, 2**63, 3 * n_words, dtype=np.int64).astype(np.uint64) | np.uint64(1)
         self.salt = np.uint64(rng.integers(1, 2**62))
-        places = sorted(rng.choice(np.arange(1, 3 * n_words), samples - 1, replace=False).tolist())
-        self.places = [0, *places]
+        # equal windows agree in every place, so there the first may always be one: what it drops needs no walk
+        places = rng.choice(np.arange(int(from_first), 3 * n_words), samples - int(from_first), replace=False).tolist()
+        self.places = sorted([0, *places] if from_first else places)
 
     def signatures(self, h: np.ndarray, starts: np.ndarray, tries: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         """(windows that are left, their signatures, all signatures so far by sampled place if tries is None)."""
@@ -78,24 +79,34 @@ class _Walk:
         return left, sig, seen
 
 
+@lru_cache(maxsize=32)
 def _repetitions(n_words: int, samples: int, max_edits: int, recall: float, seed: int) -> int:
-    """How often to repeat: from how often windows at the largest distance meet, measured on random windows."""
+    """How often to repeat until random windows with `max_edits` random edits between them meet with the recall asked for.
+
+    Measured with the very walks that will be used, on windows whose edits lie anywhere: what meets often and what seldom
+    does is averaged as the recall is, not as the chance of one repetition.
+    """
     if max_edits == 0:
         return 1
-    rng, met, trials = np.random.default_rng(seed), 0, 400
-    for k in range(trials):
-        a = rng.integers(1, 2**62, n_words + max_edits).astype(np.uint64)
+    rng, n_pairs = np.random.default_rng(seed), 1000
+    left, right = [], []
+    for _ in range(n_pairs):
+        a = rng.integers(1, 2**62, n_words + 2 * max_edits).astype(np.uint64)
         b = a.copy()
         for _ in range(max_edits):
-            p = int(rng.integers(0, n_words))
-            kind = int(rng.integers(0, 3))
-            new = np.uint64(rng.integers(1, 2**62))
-            b = np.delete(b, p) if kind == 0 else np.insert(b, p, new) if kind == 1 else np.concatenate([b[:p], [new], b[p + 1 :]])
-        b = np.concatenate([b, rng.integers(1, 2**62, 2 * max_edits).astype(np.uint64)])[:n_words]
-        walk, zero = _Walk(n_words, samples, seed + 7919 * (k + 1)), np.zeros(1, np.int64)
-        met += bool(walk.signatures(a[:n_words], zero, None)[1][0] == walk.signatures(b, zero, None)[1][0])
-    p = max(met, 1) / trials
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(p, 0.999))))
+            p, kind = int(rng.integers(0, n_words)), int(rng.integers(0, 3))
+            new = rng.integers(1, 2**62, 1).astype(np.uint64)
+            b = np.concatenate([b[:p], new if kind else b[:0], b[p + (kind != 1) :], rng.integers(1, 2**62, 1).astype(np.uint64)])
+        left.append(a[:n_words])
+        right.append(b[:n_words])
+    h, half = np.concatenate([*left, *right]), np.arange(n_pairs) * n_words
+    met = np.zeros(n_pairs, bool)
+    for r in range(MAX_REPETITIONS):
+        sig = _Walk(n_words, samples, seed + 104729 * r, False).signatures(h, np.concatenate([half, half + n_pairs * n_words]), None)[1]
+        met |= sig[:n_pairs] == sig[n_pairs:]
+        if met.mean() >= recall:
+            return r + 1
+    raise ValueError(f"more than {MAX_REPETITIONS} repetitions for this recall; take fewer samples or edits")
 
 
 def _starts(w: Words, n: int) -> np.ndarray:
@@ -113,7 +124,7 @@ class _Index:
         self.w = words(pa.array(texts, pa.string()))
         self.h = self.w.hashes()
         starts = _starts(self.w, n)
-        self.walks = [_Walk(n, samples, seed + 104729 * r) for r in range(repetitions)]
+        self.walks = [_Walk(n, samples, seed + 104729 * r, max_edits == 0) for r in range(repetitions)]
         self.tries, self.by_sig = [], []
         for walk in self.walks:
             left, sig, seen = walk.signatures(self.h, starts, None)

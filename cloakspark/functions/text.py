@@ -89,33 +89,40 @@ def normalize_page_text(x: Column | str) -> Column:
     return collapse_blanks(F.regexp_replace(without_ligatures(x), _HYPHEN_BREAK, ""))
 
 
-_PIECES = re.compile(r"-\s*\n\s*(?=[^\W_])|\s+|[" + "".join(LIGATURES) + r"]|[^\s" + "".join(LIGATURES) + r"-]+|-")
+_BREAK = re.compile(r"-\s*\n\s*(?=[^\W_])")
+_BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
 def _offsets(raw: str) -> np.ndarray:
-    """A piece's offsets are its start and what it adds: nothing for a hyphen break, one for inner blanks, the letters of a ligature."""
-    out, blank_at = [], None
-    for m in _PIECES.finditer(raw):
-        p, at = m.group(), m.start()
-        if p[0] == "-" and len(p) > 1:
-            continue
-        if p.isspace():
-            blank_at = at if blank_at is None else blank_at
-            continue
-        if blank_at is not None and out:
-            out.append(np.array([blank_at], np.int32))
-        blank_at = None
-        out.append(np.full(len(LIGATURES[p]), at, np.int32) if p in LIGATURES else np.arange(at, at + len(p), dtype=np.int32))
-    return np.concatenate(out) if out else np.zeros(0, np.int32)
+    """Hyphen breaks are gone, of a run of blanks between letters the first is left, a joined letter counts as many as it stands for."""
+    letters = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.arange(len(letters), dtype=np.int32)
+    if "-" in raw:
+        keep = np.ones(len(letters), bool)
+        for m in _BREAK.finditer(raw):
+            keep[m.start() : m.end()] = False
+        at, letters = at[keep], letters[keep]
+    blank = np.isin(letters, _BLANKS)
+    before = np.concatenate([[True], blank[:-1]]) if len(blank) else blank
+    kept = ~blank | ~before
+    at, letters, blank = at[kept], letters[kept], blank[kept]
+    if len(at) and blank[-1]:
+        at, letters = at[:-1], letters[:-1]
+    joined = [c for c in LIGATURES if c in raw]
+    if joined:
+        n = np.ones(len(at), np.int64)
+        for c in joined:
+            n[letters == ord(c)] = len(LIGATURES[c])
+        at = np.repeat(at, n)
+    return at
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def page_offsets(raw: pd.Series) -> pd.Series:
     """For each code point of `normalize_page_text` the place in the raw text it came from.
 
-    One linear pass over the pieces that the normalisation treats as one. Column expressions can't keep a running
-    sum over a long array without copying it at every step, so this is an Arrow-batched function; flows call it only on
-    texts in which something was found.
+    One linear pass. Column expressions can't keep a running sum over a long array without copying it at every step, so
+    this is an Arrow-batched function; flows call it only on texts in which something was found.
     """
     return raw.map(lambda t: None if t is None else _offsets(t))
 
@@ -140,10 +147,11 @@ def regex_spans(x: Column | str, pattern: str) -> Column:
     def step(s: Column, p: Column) -> Column:
         start = s["at"] + F.length(p["gap"])
         end = start + F.length(p["hit"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), p["hit"].alias("text")))).alias("out"))
+        span = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), p["hit"].alias("text"))
+        return F.when(p["hit"].isNull(), s).otherwise(F.struct(end.alias("at"), F.concat(s["out"], F.array(span)).alias("out")))
 
-    zipped = F.zip_with(F.slice(between, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(t.rlike(pattern), F.aggregate(zipped, state, step, lambda s: s["out"])).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)"))
+    zipped = F.zip_with(between, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))  # what follows the last match has none
+    return F.aggregate(zipped, state, step, lambda s: s["out"])
 
 
 def search_variants(x: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -21,7 +22,7 @@ COLUMNS = [f.name for f in DETECTION]
 
 # The patterns are this project's own: an address with a plain local part and a domain of two labels or more, and a web
 # address with a scheme or a leading www.
-EMAIL = r"(?<![\p{L}\p{N}_.+-])[A-Za-z0-9_](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\p{L}\p{N}_])"
+EMAIL = r"(?<![\p{L}\p{N}_.+-])(?=[A-Za-z0-9_])[A-Za-z0-9._%+-]{1,64}+(?<![.-])@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\p{L}\p{N}_])"
 URL = r"(?i)(?<![\p{L}\p{N}_@.])(?:https?://|www\.)[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?(?::[0-9]{2,5})?(?:[/?#](?:[.,:;!?'@*$]?[A-Za-z0-9_~%&=+/#-])*)?"
 
 
@@ -32,6 +33,11 @@ def _shaped(df: DataFrame, entity_type: Column | str, score: Column | float, sou
     return df.select("text_id", number.cast("int").alias("seq"), typed.alias("entity_type"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), scored.alias("score"), F.col("hit").alias("text"), F.lit(source).alias("source"))
 
 
+def _marked(pattern: str, name: str, mark: Column) -> Column:
+    """The spans of a pattern in `text`, each with a further field."""
+    return F.transform(regex_spans("text", pattern), lambda m: F.struct(mark.alias(name), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("hit")))
+
+
 def with_text(texts: DataFrame) -> DataFrame:
     """Without null and blank texts."""
     return texts.where("text is not null and text rlike '(?U)\\\\S'")
@@ -46,11 +52,15 @@ def by_pattern(texts: DataFrame, entity_type: str, pattern: str, score: float =
 def patterns(texts: DataFrame, entities: Iterable[str] = ("EMAIL_ADDRESS", "URL"), score: float = DEFAULTS.pattern_score, source: str = "pattern match") -> DataFrame:
     """Mail and web addresses; a type that isn't asked for is no part of the plan. The domain of an address is no web address."""
     kinds = [(e, p) for e, p in (("EMAIL_ADDRESS", EMAIL), ("URL", URL)) if e in set(entities)]
-    out = None
-    for entity, pattern in kinds:
-        part = by_pattern(texts, entity, pattern, score, source)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else texts.sparkSession.createDataFrame([], DETECTION)
+    if not kinds:
+        return texts.sparkSession.createDataFrame([], DETECTION)
+    # one pass for all kinds; a plain search for what each must hold comes before any pattern
+    signs = {"EMAIL_ADDRESS": F.col("text").contains("@"), "URL": F.col("text").contains("://") | F.lower("text").contains("www.")}
+    none = F.expr("cast(array() as array<struct<entity_type:string,start:int,end:int,hit:string>>)")
+    arrays = [F.when(signs[e], _marked(p, "entity_type", F.lit(e))).otherwise(none) for e, p in kinds]
+    held = reduce(lambda a, b: a | b, (signs[e] for e, _ in kinds))
+    hits = with_text(texts).where(held).select("text_id", F.explode(F.concat(*arrays)).alias("m"))
+    return _shaped(hits.select("text_id", "m.*"), F.col("entity_type"), score, source)
 
 
 def word_pattern(word: str) -> str | None:
@@ -64,10 +74,8 @@ def custom_words(texts: DataFrame, words: Iterable[str], score: float = DEFAULTS
     kept = [(n, p) for n, w in enumerate(dict.fromkeys(w.strip() for w in words)) if (p := word_pattern(w))]
     if not kept:
         return texts.sparkSession.createDataFrame([], DETECTION)
-    arrays = [F.transform(regex_spans("text", p), lambda m, n=n: F.struct(F.lit(n).alias("seq"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("hit"))) for n, p in kept]
-    any_hit = None
-    for _, p in kept:
-        any_hit = F.col("text").rlike(p) if any_hit is None else any_hit | F.col("text").rlike(p)
+    arrays = [_marked(p, "seq", F.lit(n)) for n, p in kept]
+    any_hit = reduce(lambda a, b: a | b, (F.col("text").rlike(p) for _, p in kept))
     hits = with_text(texts).where(any_hit).select("text_id", F.explode(F.concat(*arrays)).alias("m"))
     return _shaped(hits.select("text_id", "m.*"), "CUSTOM", score, "custom word", F.col("seq"))
 
@@ -138,14 +146,27 @@ def _is_word(c: str) -> bool:
     return c.isalnum() or c == "_"
 
 
+_LEVELS = 3
+
+
 def _by_anchor(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keys and places in texts joined on their first runs: word, sign, word; as many as the key has, three at most.
+
+    A hit starts where a run starts and its runs are the key's, since no word character stands at its sides, so equal
+    runs are necessary; with two words of each key in the anchor, hardly anything but hits is left to compare. Starts are
+    a running sum over a text's runs, by a window that is spilled rather than held.
+    """
     runs = rf"({WORD}+|[^\p{{L}}\p{{N}}_])"
-    first = lambda c: F.regexp_extract(c, runs, 1)
-    shaped = keys.select("entity_type", "key", first(F.col("key")).alias("anchor"), F.length("key").alias("n"))
-    tokens = with_text(texts).select("text_id", F.posexplode(F.regexp_extract_all(lowered("text"), F.lit(runs), F.lit(1))).alias("pos", "anchor"))
-    upto = Window.partitionBy("text_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tokens.withColumn("start", F.coalesce(F.sum(F.length("anchor")).over(upto), F.lit(0)).cast("int"))
-    met = placed.join(shaped, "anchor").select("text_id", "start", "entity_type", "key", "n")
+    split = lambda c: F.regexp_extract_all(c, F.lit(runs), F.lit(1))
+    shaped = keys.select("entity_type", "key", F.explode(F.array(split(F.col("key")))).alias("r"))
+    shaped = shaped.select("entity_type", "key", F.length("key").alias("n"), F.least(F.size("r"), F.lit(_LEVELS)).alias("level"), F.array_join(F.slice("r", 1, _LEVELS), "").alias("anchor"))
+    tokens = with_text(texts).select("text_id", F.posexplode(split(lowered("text"))).alias("pos", "run"))
+    order = Window.partitionBy("text_id").orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    placed = tokens.withColumn("start", F.coalesce(F.sum(F.length("run")).over(upto), F.lit(0)).cast("int")).withColumn("second", F.lead("run", 1).over(order)).withColumn("third", F.lead("run", 2).over(order))
+    anchors = F.array(*(F.struct(F.lit(n + 1).alias("level"), F.concat(*cols).alias("anchor")) for n, cols in enumerate((["run"], ["run", "second"], ["run", "second", "third"]))))
+    starts = placed.where("run <> ' '").select("text_id", "start", F.explode(anchors).alias("a")).select("text_id", "start", "a.level", "a.anchor").where("anchor is not null")
+    met = starts.join(shaped, ["level", "anchor"]).select("text_id", "start", "entity_type", "key", "n")
     low, raw = lowered("text"), F.col("text")
     at = met.join(with_text(texts).select("text_id", "text"), "text_id")
     before, after = F.when(F.col("start") > 0, F.substring(low, F.col("start"), F.lit(1))).otherwise(""), F.substring(low, F.col("start") + F.col("n") + 1, F.lit(1))

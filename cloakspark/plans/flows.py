@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.text import normalize_name, normalize_page_text, page_offsets, to_raw_span
 from ..operators import assign as A
 from ..operators import detect, resolve, splice
+from ..session import materialise
 from ..settings import DEFAULTS, Settings
 
 PSEUDONYMIZE, BLACKOUT = "pseudonymize", "blackout"
@@ -75,7 +76,7 @@ def cells(df: DataFrame, detector: detect.Detector, master: DataFrame | None, co
     chosen = [c for c in (columns or [c for c in text_columns(df) if c != row_id]) if c in df.columns]
     long = unpivot(df, chosen, row_id)
     texts = distinct_texts(long, max(1, len(chosen)))
-    spans = detector(texts)
+    spans = materialise(detector(texts))  # read by the crosswalk and by the splicing; far smaller than the texts
     with_spans = texts.join(spans.select("text_id").distinct(), "text_id")
     hit = long.join(with_spans, "text")
     findings = hit.select("row_id", "col_pos", "column", "text_id").join(spans, "text_id")
@@ -100,17 +101,25 @@ def _units_result(units: DataFrame, spans: DataFrame, assigned: DataFrame, raw:
     return Result(done.drop("text_id"), spans.select(*back, *spans.columns[1:]), assigned)
 
 
+def raw_spans(units: DataFrame, spans: DataFrame) -> DataFrame:
+    """Detections in running text as ones in the raw texts (`text_id, text`); offsets are made once per text, where something was found."""
+    rest = [c for c in spans.columns if c not in ("text_id", "start", "end")]
+    lists = spans.groupBy("text_id").agg(F.collect_list(F.struct("start", "end", *rest)).alias("found"))
+    placed = units.select("text_id", "text").join(lists, "text_id").select("text_id", "found", page_offsets("text").alias("o"))
+    moved = F.transform("found", lambda d: F.struct(to_raw_span(F.col("o"), d["start"], d["end"]).alias("raw"), d.alias("d")))
+    each = placed.select("text_id", F.explode(moved).alias("m"))
+    return each.select("text_id", *(F.col(f"m.raw.{c}" if c in ("start", "end") else f"m.d.{c}").alias(c) for c in spans.columns if c != "text_id"))
+
+
 def pages(units: DataFrame, words: Iterable[str] = (), style: str = PSEUDONYMIZE, settings: Settings = DEFAULTS) -> Result:
     """Pages `doc_id, unit_idx, text`: patterns and typed words on the running text, replaced in the raw text. No list is used."""
     ids = _unit_id(units)
     plain = ids.select("text_id", F.explode(F.array(normalize_page_text("text"))).alias("text"))  # a generator, so that it is worked out once and not in every expression that reads it
     found = resolve.engine(detect.patterns(plain, settings.entities, settings.pattern_score), settings.pages_threshold)
-    spans = resolve.staged(found, detect.custom_words(plain, words, settings.custom_score)) if words else found
+    spans = materialise(resolve.staged(found, detect.custom_words(plain, words, settings.custom_score)) if words else found)
     ranked = spans.withColumn("p", resolve.priority())
     assigned = A.assign(A.distinct_names(ranked, ["text_id", "p", "start"]), None, settings)
-    touched = ids.join(spans.select("text_id").distinct(), "text_id", "left_semi").select("text_id", page_offsets("text").alias("offsets"))  # offsets only where something was found
-    placed = spans.join(touched, "text_id").withColumn("raw", to_raw_span("offsets", "start", "end"))
-    raw = placed.select("text_id", "seq", "entity_type", F.col("raw.start").alias("start"), F.col("raw.end").alias("end"), "score", "text", "source")
+    raw = raw_spans(ids, spans)
     return _units_result(ids, spans, assigned, raw, style)
 
 
@@ -122,7 +131,7 @@ def blocks(units: DataFrame, detector: detect.Detector, master: DataFrame | None
     ids = _unit_id(units)
     texts = ids.select("text_id", "text")
     found = detector(texts)
-    spans = resolve.staged(found, detect.custom_words(texts, words, settings.custom_score)) if words else found
+    spans = materialise(resolve.staged(found, detect.custom_words(texts, words, settings.custom_score)) if words else found)
     ranked = spans.withColumn("p", resolve.priority())
     assigned = A.assign(A.distinct_names(ranked, ["text_id", "p", "start"]), master, settings, with_hints)
     result = _units_result(ids, spans, assigned, spans, PSEUDONYMIZE)

@@ -178,7 +178,7 @@ ORACLE: dict[str, str] = {
     "email_findings": _positions("text", EMAIL),
     "url_findings": f"select doc_id, len(u) as n, array_to_string(u, ' ') as urls from (select doc_id, regexp_extract_all(text, '{URL}') as u from documents where text is not null) where len(u) > 0",
     "email_redacted_docs": f"with {_DOC_EMAILS} select doc_id, case when len(found) > 0 then {_redacted(_EML)} else text end as redacted from hits_",
-    "run_splice": f"with {_DOC_EMAILS} select doc_id, {_redacted(_EML)} as redacted, cast(floor((length(text) - 1) / 40) + 1 as int) as n_runs from hits_ where len(found) > 0",
+    "run_splice": f"with lines_ as (select doc_id, unnest(parts) as text, cast(unnest(range(0, len(parts))) as int) as unit_idx from (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null)), hits_ as (select *, list_sort(list_distinct(regexp_extract_all(text, '{EMAIL}')), 'DESC') as found from lines_) select doc_id, unit_idx, {_redacted(_EML)} as redacted, cast(floor((length(text) - 1) / 40) + 1 as int) as n_runs from hits_ where len(found) > 0",
     "blackout": f"with {_DOC_EMAILS} select doc_id, case when len(found) > 0 then {_redacted('repeat(chr(9608), length(m[1]))')} else text end as redacted from hits_",
     "custom_word_counts": _custom(),
     "best_per_span": f"""with {_SPANS}, {_best("spans", "b")} select text_id, seq, entity_type, "start", "end", score, source from b""",

@@ -151,13 +151,15 @@ def email_redacted_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def run_splice(spark: SparkSession, sf: str) -> DataFrame:
-    """The same redaction in texts cut into runs of 40 characters: values once, runs kept apart."""
-    texts = document_texts(spark, sf).where("text is not null")
+    """The same redaction in paragraphs cut into runs of 40 characters: values once, runs kept apart."""
+    lines = documents(spark, sf).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("unit_idx", "text"))
+    texts = lines.withColumn("text_id", F.col("doc_id") * (1 << 20) + F.col("unit_idx"))
     hits = detect.patterns(texts, ("EMAIL_ADDRESS",)).withColumn("value", T.auto_pseudonym("entity_type", T.normalize_name("text")))
     joined = texts.join(splice.span_lists(hits), "text_id")
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 40).cast("int")), lambda i: F.struct(i.alias("run_idx"), (i * 40).alias("start"), F.substring("text", i * 40 + 1, F.lit(40)).alias("text")))
-    done = joined.withColumn("runs", runs).withColumn("new", splice.spliced_runs("runs", "spans"))
-    return done.select(F.col("text_id").alias("doc_id"), splice.runs_text("new").alias("redacted"), F.size("new").alias("n_runs"))
+    cut = joined.select("doc_id", "unit_idx", "spans", F.explode(F.array(runs)).alias("runs"))  # worked out once, not in each expression that reads it
+    done = cut.select("doc_id", "unit_idx", F.explode(F.array(splice.spliced_runs("runs", "spans"))).alias("new"))
+    return done.select("doc_id", "unit_idx", splice.runs_text("new").alias("redacted"), F.size("new").alias("n_runs"))
 
 
 @query
@@ -299,11 +301,11 @@ def offset_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     broken = F.regexp_replace("text", "([a-z]{4})([a-z]{4})", "$1-\n $2")
     raw = documents(spark, sf).where("text is not null").select(F.col("doc_id").alias("text_id"), F.explode(F.array(broken)).alias("raw"))
     plain = raw.select("text_id", "raw", F.explode(F.array(T.normalize_page_text("raw"))).alias("text"))
-    hits = detect.patterns(plain, ("EMAIL_ADDRESS",)).select("text_id", "start", "end", F.col("text").alias("hit"))
-    touched = raw.join(hits.select("text_id").distinct(), "text_id", "left_semi").select("text_id", "raw", T.page_offsets("raw").alias("o"))
-    span = hits.join(touched, "text_id").select("text_id", "hit", "raw", T.to_raw_span("o", "start", "end").alias("s"))
-    same = T.normalize_page_text(F.substring("raw", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))) == F.col("hit")
-    return span.groupBy(F.col("text_id").alias("doc_id")).agg(F.count("*").alias("n"), F.count_if(same).alias("n_same"))
+    hits = detect.patterns(plain, ("EMAIL_ADDRESS",))
+    back = flows.raw_spans(raw.withColumnRenamed("raw", "text"), hits)
+    lists = back.groupBy("text_id").agg(F.collect_list(F.struct("start", "end", "text")).alias("found"))
+    same = F.filter("found", lambda d: T.normalize_page_text(F.substring("raw", d["start"] + 1, d["end"] - d["start"])) == d["text"])
+    return raw.join(lists, "text_id").select(F.col("text_id").alias("doc_id"), F.size("found").cast("long").alias("n"), F.size(same).cast("long").alias("n_same"))
 
 
 # --- master list --------------------------------------------------------------------------------------------------------

@@ -41,16 +41,12 @@ def aliases(name: Column | str) -> Column:
     return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(F.concat(F.array(text), rest)))
 
 
+_EITHER = {"&": ["and", "&"], "and": ["and", "&"]}
+
+
 def name_pattern(name: str) -> str:
-    """A regular expression that matches every surface form; used to cross-check `aliases`."""
-    parts = []
-    tokens = name.split()
-    for n, token in enumerate(tokens):
-        core = token.rstrip(".").lower()
-        if token == "&" or core == "and":
-            parts.append("(?:and|&)")
-        elif n == len(tokens) - 1 and core in _EACH:
-            parts.append("(?:" + "|".join(map(re.escape, _EACH[core])) + ")")
-        else:
-            parts.append(re.escape(token))
-    return r"\s+".join(parts)
+    """A regular expression that matches every surface form, to cross-check `aliases`: the ways to write each word, between blanks."""
+    core = lambda w: w.rstrip(".").lower()
+    *head, last = name.split() or [""]
+    ways = [_EITHER.get(core(w), [w]) for w in head] + [_EACH.get(core(last)) or _EITHER.get(core(last), [last])]
+    return r"\s+".join("(?:" + "|".join(re.escape(w) for w in options) + ")" for options in ways)

@@ -131,7 +131,7 @@ def ambiguous_words(rows: DataFrame) -> DataFrame:
 
 
 def quality_report(rows: DataFrame) -> DataFrame:
-    """Up to five findings about the list: `kind, severity, title, detail, examples, total`; none that doesn't occur."""
+    """Up to five findings about the list (kinds, severities, titles and examples are fixed values): `kind, severity, title, detail, examples, total`; none that doesn't occur."""
     tick = lambda c: F.concat(F.lit("`"), F.col(c), F.lit("`"))
     listed = lambda c: F.array_join(c, ", ")
     of_category = F.concat(F.lit(" ("), F.col("category"), F.lit(")"))

@@ -14,6 +14,8 @@ SHEETS = {"Staff": "Staff", "Vendor": "Vendors", "Funder": "Funders"}
 AUTO_PREFIXES = {"PERSON": "PSN", "ORGANIZATION": "ORG", "EMAIL_ADDRESS": "EML", "URL": "URL", "CUSTOM": "CST"}
 # Where a detection can come from; the lower number wins where spans overlap.
 SOURCE_PRIORITY = {"master list": 0, "pattern match": 1, "custom word": 2, "model": 3}
+# Fixed value: the file that holds the master list.
+LIST_FILE = "Names List - Organized.xlsx"
 
 
 @dataclass(frozen=True)
@@ -62,3 +64,9 @@ def save(path: str | Path, **values: str) -> None:
 def data_dir(saved: dict, variable: str, fallback: str, environ: dict[str, str] | None = None) -> str:
     """The data folder: the saved one, else a non-empty environment variable, else the fallback."""
     return saved.get("data_dir") or (os.environ if environ is None else environ).get(variable, "").strip() or fallback
+
+
+def list_path(folder: str | Path) -> Path | None:
+    """The master list in a folder, if it is there under its exact name."""
+    path = Path(folder, LIST_FILE)
+    return path if path.is_file() else None

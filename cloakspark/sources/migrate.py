@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 
+# The columns of a sheet, and how a line of the old lists carries an id.
 COLUMNS = ["Category", "Internal ID", "Name", "Primary Subsidiary", "Country"]
 
+LINE_WITH_ID = r"(?sU)^(.*?)\s+-\s+(\d+)\s*$"
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """`ord, line`: lines without comments (from `#` on), blank ones dropped."""
@@ -21,7 +24,7 @@ def clean_lines(lines: DataFrame) -> DataFrame:
 
 def people(lines: DataFrame) -> DataFrame:
     """Staff of lines `name - digits`; without the number the id is null; a line that says `name` is a header."""
-    full = r"(?sU)^(.*?)\s+-\s+(\d+)\s*$"
+    full = LINE_WITH_ID
     has = F.col("line").rlike(full)
     return lines.where("lower(line) <> 'name'").select("ord", F.lit("Staff").alias("Category"), F.when(has, F.regexp_extract("line", full, 2)).alias("Internal ID"), clean_text(F.when(has, F.regexp_extract("line", full, 1)).otherwise(F.col("line"))).alias("Name"))
 
@@ -42,3 +45,12 @@ def merged(existing: DataFrame | None, new: DataFrame) -> DataFrame:
 
 def totals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("Category").agg(F.count("*").alias("n_rows"), F.count("Internal ID").alias("n_with_id"))
+
+
+def run(spark: SparkSession, people_path: str | None, organisations_path: str | None, existing: DataFrame | None = None) -> DataFrame:
+    """The rows of a new master list from the old text lists, merged into the rows there are; a missing list is none."""
+    parts = [f(read_lines(spark, p)) for f, p in ((people, people_path), (organisations, organisations_path)) if p]
+    if not parts:
+        raise ValueError("no list to migrate")
+    new = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1].withColumn("ord", F.col("ord") + (1 << 52)))
+    return merged(existing, new).orderBy("Category", "Name", F.col("Internal ID").isNull())

@@ -6,6 +6,7 @@ Files come through Spark's `binaryFile` source and are taken apart in the tasks;
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -188,3 +189,20 @@ def save_redacted_workbook(redacted: DataFrame, crosswalk: DataFrame, path: str)
 def save_crosswalk(crosswalk: DataFrame, path: str) -> None:
     """The crosswalk as CSV with a header. It re-identifies people: give it a place of its own."""
     crosswalk.write.mode("overwrite").option("header", True).csv(path)
+
+
+class CachedList:
+    """The rows of a workbook's sheets, read again only when the file has changed; the old rows are let go of then."""
+
+    def __init__(self, spark: SparkSession, path: str, parse):
+        self.spark, self.path, self.parse, self.stamp, self.held = spark, path, parse, None, None
+
+    def rows(self) -> DataFrame:
+        stamp = os.stat(self.path).st_mtime_ns
+        if stamp != self.stamp:
+            if self.held is not None:
+                self.held.unpersist()
+            names = [r[0] for r in sheet_cells(self.spark, self.path, first_only=False).select("sheet").distinct().collect()]
+            self.held = self.parse({n: read_sheet(self.spark, self.path, n) for n in names}).cache()
+            self.stamp = stamp
+        return self.held

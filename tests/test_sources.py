@@ -66,3 +66,27 @@ def test_settings(tmp_path):
     assert settings.read_saved(f) == {} and json.dumps(settings.AUTO_PREFIXES)
     assert settings.data_dir({"data_dir": "/s"}, "V", "/f", {"V": "/e"}) == "/s"
     assert settings.data_dir({}, "V", "/f", {"V": " /e "}) == "/e" and settings.data_dir({}, "V", "/f", {"V": ""}) == "/f"
+
+
+def test_cached_list_follows_its_file(spark, tmp_path):
+    import os
+
+    from cloakspark.operators.masterlist import parse_sheets
+
+    f = tmp_path / settings.LIST_FILE
+    assert settings.list_path(tmp_path) is None
+    f.write_bytes(office.write_workbook({"Staff": (["Category", "Internal ID", "Name"], [["Staff", 1, "Jane Doe"]]), "Vendors": (["Category", "Name"], [["Vendor", "Acme"]])}))
+    assert settings.list_path(tmp_path) == f
+    held = office.CachedList(spark, str(f), parse_sheets)
+    first = held.rows()
+    assert sorted((r.name, r.pseudonym or "") for r in first.collect()) == [("Acme", ""), ("Jane Doe", "STF-1")] and held.rows() is first
+    f.write_bytes(office.write_workbook({"Staff": (["Category", "Internal ID", "Name"], [["Staff", 2, "Bob"]])}))
+    os.utime(f, ns=(1, 1))
+    assert [(r.name, r.pseudonym) for r in held.rows().collect()] == [("Bob", "STF-2")]
+
+
+def test_migration_run(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("Zed - 3\nAnn\n")
+    (tmp_path / "o.txt").write_text("Acme\n")
+    got = [(r["Category"], r["Name"], r["Internal ID"]) for r in migrate.run(spark, str(tmp_path / "p.txt"), str(tmp_path / "o.txt")).collect()]
+    assert got == [("Staff", "Ann", None), ("Staff", "Zed", "3"), ("Vendor", "Acme", None)]

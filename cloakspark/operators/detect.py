@@ -71,12 +71,16 @@ def word_pattern(word: str) -> str | None:
 
 def custom_words(texts: DataFrame, words: Iterable[str], score: float = DEFAULTS.custom_score) -> DataFrame:
     """Words and phrases typed for one run; a short list, so each is a column expression and nothing is joined."""
-    kept = [(n, p) for n, w in enumerate(dict.fromkeys(w.strip() for w in words)) if (p := word_pattern(w))]
+    kept = [(n, w, p) for n, w in enumerate(dict.fromkeys(w.strip() for w in words)) if (p := word_pattern(w))]
     if not kept:
         return texts.sparkSession.createDataFrame([], DETECTION)
-    arrays = [_marked(p, "seq", F.lit(n)) for n, p in kept]
-    any_hit = reduce(lambda a, b: a | b, (F.col("text").rlike(p) for _, p in kept))
-    hits = with_text(texts).where(any_hit).select("text_id", F.explode(F.concat(*arrays)).alias("m"))
+    # a plain search for a phrase's parts comes before its pattern; letters that a pattern takes for others in any case are made those
+    low = lambda c: F.lower(F.translate(c, "ſıİ", "sii"))
+    none = F.expr("cast(array() as array<struct<seq:int,start:int,end:int,hit:string>>)")
+    parts = [reduce(lambda a, b: a & b, (F.col("low").contains(low(F.lit(x))) for x in w.split())) for _, w, _ in kept]
+    arrays = [F.when(sign, _marked(p, "seq", F.lit(n))).otherwise(none) for sign, (n, _, p) in zip(parts, kept)]
+    lowered_once = with_text(texts).select("text_id", "text", F.explode(F.array(low(F.col("text")))).alias("low"))
+    hits = lowered_once.where(reduce(lambda a, b: a | b, parts)).select("text_id", F.explode(F.concat(*arrays)).alias("m"))
     return _shaped(hits.select("text_id", "m.*"), "CUSTOM", score, "custom word", F.col("seq"))
 
 

@@ -172,7 +172,7 @@ ORACLE: dict[str, str] = {
     "crosswalk_view": f"""with {_MEMO} select distinct c_name as "Original name", 'PERSON' as "Entity type", case when c_acctbal >= 0 then 'Staff' else '(unknown)' end as "Category", {_MEMO_ID} as "Pseudonym", case when c_acctbal < 0 then 'yes' else '' end as "Flagged", '' as "Possible match" from memos""",
     "entity_cell_counts": f"with {_MEMO} select count(*) as entity_count, count(*) as cell_count from memos",
     "flag_counts": f"with {_MEMO} select count(*) as n, count(*) filter (where c_acctbal < 0) as n_flagged, 0::bigint as n_suggested from (select distinct c_custkey, c_acctbal from memos)",
-    "html_rows": f"""with {_MEMO} select row_id, '<tr><td style="background:#fff3a3;padding:4px 8px">' || head || {_MEMO_ID} || tail || '</td></tr>' as html from memos""",
+    "html_rows": f"""with {_MEMO} select row_id, '<tr><td class="changed">' || head || {_MEMO_ID} || tail || '</td></tr>' as html from memos""",
     "dictionary_hits": _dictionary_hits(),
     "dictionary_hits_by_join": _dictionary_hits(),
     "email_findings": _positions("text", EMAIL),

@@ -48,15 +48,15 @@ def master_summary(rows: DataFrame) -> DataFrame:
     return out.select(F.coalesce("category", F.lit("Total")).alias("category"), F.format_number("n", 0).alias("entries"))
 
 
-def html_rows(redacted: DataFrame, columns: list[str], background: str = "#fff3a3", row_id: str = "row_id") -> DataFrame:
-    """`row_id, html`: each row as a table row, changed cells shaded, text escaped, null blank."""
-    plain, shade = F.lit(' style="padding:4px 8px"'), F.lit(f' style="background:{background};padding:4px 8px"')
-    cells = [F.concat(F.lit("<td"), F.when(F.array_contains("changed", c), shade).otherwise(plain), F.lit(">"), html_escaped(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit("</td>")) for c in columns]
+def html_rows(redacted: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
+    """`row_id, html`: each row as a table row, changed cells of class `changed`, text escaped, null blank."""
+    opening = lambda c: F.when(F.array_contains("changed", c), '<td class="changed">').otherwise("<td>")
+    cells = [F.concat(opening(c), html_escaped(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))), F.lit("</td>")) for c in columns]
     return redacted.select(row_id, F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("html"))
 
 
-def html_table(redacted: DataFrame, columns: list[str], limit: int, background: str = "#fff3a3", row_id: str = "row_id") -> str:
+def html_table(redacted: DataFrame, columns: list[str], limit: int, shade: str = "#fff3a3", row_id: str = "row_id") -> str:
     """A preview of the first rows as one table in HTML; `limit` is the feature, as a page can't show a whole table."""
-    body = [r["html"] for r in html_rows(redacted, columns, background, row_id).orderBy(row_id).limit(limit).collect()]
-    head = "".join(f'<th style="padding:4px 8px">{escape(c)}</th>' for c in columns)
-    return f"<table><thead><tr>{head}</tr></thead><tbody>{''.join(body)}</tbody></table>"
+    body = [r["html"] for r in html_rows(redacted, columns, row_id).orderBy(row_id).limit(limit).collect()]
+    head = "".join(f"<th>{escape(c)}</th>" for c in columns)
+    return f"<style>td.changed {{ background: {shade} }}</style><table><thead><tr>{head}</tr></thead><tbody>{''.join(body)}</tbody></table>"

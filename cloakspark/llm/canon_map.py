@@ -76,8 +76,9 @@ def same_name(value: Name, entry: Name, givens: frozenset[str]) -> int | None:
 
 
 def _errors(a: str, b: str) -> int | None:
-    n = min(distance(a, b), distance(by_sound(a), by_sound(b)))
-    return n if n <= (0 if min(len(a), len(b)) < 3 else 1 if min(len(a), len(b)) < 6 else 2) else None
+    """Errors that make one word the other; none in very short words, three at most in long ones."""
+    n, short = min(distance(a, b), distance(by_sound(a), by_sound(b))), min(len(a), len(b))
+    return n if n <= (0 if short < 3 else 1 if short < 6 else 2 if short < 9 else 3) else None
 
 
 class _Index:

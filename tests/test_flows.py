@@ -80,3 +80,9 @@ def test_views(spark):
     html = views.html_rows(red, ["a", "b"]).collect()[0].html
     assert "&lt;script&gt;" in html and html.count('class="changed"') == 1 and html.endswith("<td></td></tr>")
     assert views.html_table(red, ["a", "b"], 10).count("<tr>") == 2
+
+
+def test_observed(spark):
+    df, watch = flows.observed(spark.range(7))
+    df.write.format("noop").mode("overwrite").save()
+    assert watch.get == {"rows": 7}

@@ -117,7 +117,6 @@ def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted"
     """
     rows = named.selectExpr("cast(id as long) as id", "cast(name as string) as name", "entity_type", f"coalesce({trusted}, false) as trusted")
     rows = rows.where("id is not null and name is not null and name rlike '(?U)[^\\\\s\\\\p{Cf}]'").distinct()
-    # a row without an entity type takes the one that its spelling has elsewhere
     distinct = rows.groupBy("name", "entity_type").agg(F.count("*").alias("n"), F.max("trusted").alias("trusted"))
     keyed = materialise(parsed(spread(distinct), nicknames_of(nickname)).select("name", "entity_type", "key", "forms"))
     support = distinct.join(keyed.select("name", F.col("entity_type").alias("et"), "key"), (distinct["name"] == keyed["name"]) & F.col("entity_type").eqNullSafe(F.col("et")))

@@ -33,9 +33,12 @@ def _shaped(df: DataFrame, entity_type: Column | str, score: Column | float, sou
     return df.select("text_id", number.cast("int").alias("seq"), typed.alias("entity_type"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), scored.alias("score"), F.col("hit").alias("text"), F.lit(source).alias("source"))
 
 
-def _marked(pattern: str, name: str, mark: Column) -> Column:
-    """The spans of a pattern in `text`, each with a further field."""
-    return F.transform(regex_spans("text", pattern), lambda m: F.struct(mark.alias(name), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("hit")))
+def _marked(pattern: str, seq: int, entity_type: str, score: float, source: str) -> Column:
+    """The spans of a pattern in `text` as detections."""
+    return F.transform(
+        regex_spans("text", pattern),
+        lambda m: F.struct(F.lit(seq).alias("seq"), F.lit(entity_type).alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), F.lit(float(score)).alias("score"), m["text"].alias("text"), F.lit(source).alias("source")),
+    )
 
 
 def with_text(texts: DataFrame) -> DataFrame:
@@ -49,18 +52,15 @@ def by_pattern(texts: DataFrame, entity_type: str, pattern: str, score: float =
     return _shaped(hits.select("text_id", "m.start", "m.end", F.col("m.text").alias("hit")), entity_type, score, source)
 
 
+def _pattern_parts(entities: Iterable[str], score: float, source: str) -> list[tuple[Column, Column]]:
+    """(sign, spans) of each kind asked for; the sign is a plain search for what a match must hold."""
+    signs = {"EMAIL_ADDRESS": F.col("text").contains("@"), "URL": F.col("text").contains("://") | F.lower("text").contains("www.")}
+    return [(signs[e], _marked(p, 0, e, score, source)) for e, p in (("EMAIL_ADDRESS", EMAIL), ("URL", URL)) if e in set(entities)]
+
+
 def patterns(texts: DataFrame, entities: Iterable[str] = ("EMAIL_ADDRESS", "URL"), score: float = DEFAULTS.pattern_score, source: str = "pattern match") -> DataFrame:
     """Mail and web addresses; a type that isn't asked for is no part of the plan. The domain of an address is no web address."""
-    kinds = [(e, p) for e, p in (("EMAIL_ADDRESS", EMAIL), ("URL", URL)) if e in set(entities)]
-    if not kinds:
-        return texts.sparkSession.createDataFrame([], DETECTION)
-    # one pass for all kinds; a plain search for what each must hold comes before any pattern
-    signs = {"EMAIL_ADDRESS": F.col("text").contains("@"), "URL": F.col("text").contains("://") | F.lower("text").contains("www.")}
-    none = F.expr("cast(array() as array<struct<entity_type:string,start:int,end:int,hit:string>>)")
-    arrays = [F.when(signs[e], _marked(p, "entity_type", F.lit(e))).otherwise(none) for e, p in kinds]
-    held = reduce(lambda a, b: a | b, (signs[e] for e, _ in kinds))
-    hits = with_text(texts).where(held).select("text_id", F.explode(F.concat(*arrays)).alias("m"))
-    return _shaped(hits.select("text_id", "m.*"), F.col("entity_type"), score, source)
+    return _scan(texts, _pattern_parts(entities, score, source))
 
 
 def word_pattern(word: str) -> str | None:
@@ -69,19 +69,37 @@ def word_pattern(word: str) -> str | None:
     return rf"(?iU)(?<!{WORD})" + r"\s+".join(re.escape(p).replace("/", r"\/") for p in parts) + rf"(?!{WORD})" if parts else None
 
 
+def _low(c: Column) -> Column:
+    """Lower case, with the letters that a pattern takes for others in any case made those."""
+    return F.lower(F.translate(c, "ſıİ", "sii"))
+
+
+def _word_parts(words: Iterable[str], score: float) -> list[tuple[Column, Column]]:
+    """(sign, spans) of each word; the sign is a plain search for the phrase's parts in `low`."""
+    kept = [(n, w, p) for n, w in enumerate(dict.fromkeys(w.strip() for w in words)) if (p := word_pattern(w))]
+    return [(reduce(lambda a, b: a & b, (F.col("low").contains(_low(F.lit(x))) for x in w.split())), _marked(p, n, "CUSTOM", score, "custom word")) for n, w, p in kept]
+
+
 def custom_words(texts: DataFrame, words: Iterable[str], score: float = DEFAULTS.custom_score) -> DataFrame:
     """Words and phrases typed for one run; a short list, so each is a column expression and nothing is joined."""
-    kept = [(n, w, p) for n, w in enumerate(dict.fromkeys(w.strip() for w in words)) if (p := word_pattern(w))]
-    if not kept:
+    return _scan(texts, _word_parts(words, score), True)
+
+
+def patterns_and_words(texts: DataFrame, entities: Iterable[str], words: Iterable[str], pattern_score: float = DEFAULTS.pattern_score, word_score: float = DEFAULTS.custom_score) -> DataFrame:
+    """Both at once, in one pass over the texts; `source` tells them apart."""
+    typed = _word_parts(words, word_score)
+    return _scan(texts, _pattern_parts(entities, pattern_score, "pattern match") + typed, bool(typed))
+
+
+def _scan(texts: DataFrame, parts: list[tuple[Column, Column]], in_lower_case: bool = False) -> DataFrame:
+    """One pass for all parts: texts without any sign go first, and a part's spans are made only in texts with its sign."""
+    if not parts:
         return texts.sparkSession.createDataFrame([], DETECTION)
-    # a plain search for a phrase's parts comes before its pattern; letters that a pattern takes for others in any case are made those
-    low = lambda c: F.lower(F.translate(c, "ſıİ", "sii"))
-    none = F.expr("cast(array() as array<struct<seq:int,start:int,end:int,hit:string>>)")
-    parts = [reduce(lambda a, b: a & b, (F.col("low").contains(low(F.lit(x))) for x in w.split())) for _, w, _ in kept]
-    arrays = [F.when(sign, _marked(p, "seq", F.lit(n))).otherwise(none) for sign, (n, _, p) in zip(parts, kept)]
-    lowered_once = with_text(texts).select("text_id", "text", F.explode(F.array(low(F.col("text")))).alias("low"))
-    hits = lowered_once.where(reduce(lambda a, b: a | b, parts)).select("text_id", F.explode(F.concat(*arrays)).alias("m"))
-    return _shaped(hits.select("text_id", "m.*"), "CUSTOM", score, "custom word", F.col("seq"))
+    rows = with_text(texts).select("text_id", "text", *([F.explode(F.array(_low(F.col("text")))).alias("low")] if in_lower_case else []))
+    none = F.expr("cast(array() as array<struct<seq:int,entity_type:string,start:int,end:int,score:double,text:string,source:string>>)")
+    held = reduce(lambda a, b: a | b, (sign for sign, _ in parts))
+    each = rows.where(held).select("text_id", F.explode(F.concat(*(F.when(sign, spans).otherwise(none) for sign, spans in parts))).alias("m"))
+    return each.select("text_id", "m.*")
 
 
 def lowered(x: Column | str) -> Column:

@@ -113,10 +113,11 @@ def raw_spans(units: DataFrame, spans: DataFrame) -> DataFrame:
 
 def pages(units: DataFrame, words: Iterable[str] = (), style: str = PSEUDONYMIZE, settings: Settings = DEFAULTS) -> Result:
     """Pages `doc_id, unit_idx, text`: patterns and typed words on the running text, replaced in the raw text. No list is used."""
-    ids = _unit_id(units)
+    ids, words = _unit_id(units), tuple(words)
     plain = ids.select("text_id", F.explode(F.array(normalize_page_text("text"))).alias("text"))  # a generator, so that it is worked out once and not in every expression that reads it
-    found = resolve.engine(detect.patterns(plain, settings.entities, settings.pattern_score), settings.pages_threshold)
-    spans = materialise(resolve.staged(found, detect.custom_words(plain, words, settings.custom_score)) if words else found)
+    found = materialise(detect.patterns_and_words(plain, settings.entities, words, settings.pattern_score, settings.custom_score))  # one pass over the pages; far smaller than they are
+    addresses = resolve.engine(found.where("source = 'pattern match'"), settings.pages_threshold)
+    spans = materialise(resolve.staged(addresses, found.where("source = 'custom word'"))) if words else addresses
     ranked = spans.withColumn("p", resolve.priority())
     assigned = A.assign(A.distinct_names(ranked, ["text_id", "p", "start"]), None, settings)
     raw = raw_spans(ids, spans)
@@ -128,7 +129,7 @@ def blocks(units: DataFrame, detector: detect.Detector, master: DataFrame | None
 
     With a column `runs` the redacted runs come as `redacted_runs`, a value in the run where its span starts.
     """
-    ids = _unit_id(units)
+    ids, words = _unit_id(units), tuple(words)
     texts = ids.select("text_id", "text")
     found = detector(texts)
     spans = materialise(resolve.staged(found, detect.custom_words(texts, words, settings.custom_score)) if words else found)

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.aliases import aliases
 from ..operators import assign as A
 from ..operators import detect, fuzzy, masterlist, resolve, splice
-from ..session import table
+from ..session import table, widened
 from ..sources import migrate
 from . import flows, views
 
@@ -44,7 +44,7 @@ def sheet_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str, *more: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", *more)
+    return widened(table(spark, sf, "documents").select("doc_id", "text", *more))
 
 
 def document_texts(spark: SparkSession, sf: str) -> DataFrame:

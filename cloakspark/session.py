@@ -38,6 +38,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def widened(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores (few files, large row groups) dealt out to all of them; any other as it is.
+
+    Only for plain scans: it asks for their partitions. A table of many files, as any large one is, isn't shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def local_session(cores: str | int = "*", shuffle: int | None = None) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     return (

@@ -55,7 +55,10 @@ def test_offsets_lead_to_what_was_found(spark):
 
 @needs_data
 def test_scans_read_only_what_they_need(spark):
-    plan = QUERIES["email_findings"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    from cloakspark.operators import detect
+
+    texts = spark.read.parquet(f"{DATA}/documents.parquet").withColumnRenamed("doc_id", "text_id")
+    plan = detect.patterns(texts)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan
 
 

@@ -38,13 +38,14 @@ def hints(names: DataFrame, candidates: DataFrame, threshold: float = DEFAULTS.f
     """`entity_type, norm_name, suggested_pseudonym, suggested_name, suggested_score` of names that have a likeness of `threshold` or more.
 
     Likeness is the matching-block ratio of name against candidate, in this order of arguments. Of equal likeness the
-    earlier candidate (`cand_ord`) is suggested. Candidates of another type, or of a length more than `slack` away, are
-    out; the rest is bounded from above by length and by letters before the ratio itself is made, which loses none.
+    earlier candidate (`cand_ord`, of any type that has an order) is suggested. Candidates of another type, or of a length
+    more than `slack` away, are out; the rest is bounded from above by length and by letters before the ratio itself is
+    made, highest bound first, until no bound can better the ratio found; this loses none.
     """
-    listed = candidates.select("entity_type", "norm_name", "pseudonym", "display_name", "cand_ord").where("norm_name is not null").orderBy("cand_ord")
+    listed = candidates.select("entity_type", "norm_name", "pseudonym", "display_name", "cand_ord").where("norm_name is not null").orderBy("cand_ord", "entity_type", "norm_name")
 
     def pass_over(rows: list) -> DataFrame:
-        held = names.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+        held = names.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by: dict[tuple[str, int], list] = defaultdict(list)
@@ -54,22 +55,24 @@ def hints(names: DataFrame, candidates: DataFrame, threshold: float = DEFAULTS.f
             for b in batches:
                 out = []
                 for kind, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    own, best = _profile([name])[0], None
+                    own, best, near = _profile([name])[0], None, []
                     match = SequenceMatcher(None, "", "")
                     for n in range(len(name) - slack, len(name) + slack + 1):
                         rows_n, profile = table.get((kind, n), ((), None))
                         if not rows_n or 2 * min(n, len(name)) < threshold * (n + len(name)):
                             continue
                         shared = np.minimum(profile, own).sum(1)
-                        for k in np.flatnonzero(2 * shared >= threshold * (n + len(name)) - 1e-9):
-                            row = rows_n[k]
-                            match.set_seqs(name, row[1])
-                            floor = threshold if best is None else best[0]
-                            if match.quick_ratio() < floor:
-                                continue
-                            score = match.ratio()
-                            if score >= threshold and (best is None or (score, -row[4]) > (best[0], -best[1][4])):
-                                best = (score, row)
+                        bound = 2.0 * shared / (n + len(name))
+                        near += [(-bound[k], rows_n[k][4], rows_n[k]) for k in np.flatnonzero(2 * shared >= threshold * (n + len(name)) - 1e-9)]
+                    for bound, place, row in sorted(near):
+                        if best and (-bound, -place) < (best[0], -best[1][4]):  # so are all that follow
+                            break
+                        match.set_seqs(name, row[1])
+                        if match.quick_ratio() < (best[0] if best else threshold):
+                            continue
+                        score = match.ratio()
+                        if score >= threshold and (best is None or (score, -place) > (best[0], -best[1][4])):
+                            best = (score, row)
                     if best:
                         out.append((kind, name, best[1][2], best[1][3], best[0], best[1][4]))
                 cols = list(zip(*out)) if out else [[]] * 6
@@ -78,8 +81,8 @@ def hints(names: DataFrame, candidates: DataFrame, threshold: float = DEFAULTS.f
         return names.select("entity_type", "norm_name").where("norm_name <> ''").mapInArrow(run, "entity_type string, norm_name string, suggested_pseudonym string, suggested_name string, suggested_score double, cand_ord long")
 
     passes, held = [], []
-    for row in listed.toLocalIterator():
-        held.append(row)
+    for place, row in enumerate(listed.toLocalIterator()):
+        held.append((*row[:4], place))
         if len(held) == block:
             passes.append(pass_over(held))
             held = []

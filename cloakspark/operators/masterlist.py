@@ -63,10 +63,11 @@ def from_raw_sheet(sheet: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
 
 
 def master_map(rows: DataFrame) -> DataFrame:
-    """`entity_type, norm_name, pseudonym, category, display_name` with one entry per type and normalised name.
+    """`entity_type, norm_name, pseudonym, category, display_name, cand_ord` with one entry per type and normalised name.
 
     Only rows with a pseudonym count. A name itself goes before any alias of another; among names the first row holds the
     key, and a later row of the same pseudonym renews the entry; aliases fill what is free, by row and then by their order.
+    `cand_ord` is the order of the list: names by the first row that has the key, then aliases.
     """
     curated = rows.where("pseudonym is not null and entity_type is not null").withColumn("forms", aliases("name"))
     each = curated.select("row_ord", "category", "name", "entity_type", "pseudonym", F.posexplode("forms").alias("form_ord", "form")).withColumn("norm_name", normalize_name("form"))
@@ -74,11 +75,12 @@ def master_map(rows: DataFrame) -> DataFrame:
     first = F.min_by("pseudonym", F.when(F.col("form_ord") == 0, F.col("row_ord")))
     # one entry: of the names the last row of the first row's pseudonym, else the first alias
     names = each.where("form_ord = 0")
-    holder = names.groupBy(*key).agg(first.alias("pseudonym"))
-    entry = names.join(holder, [*key, "pseudonym"]).groupBy(*key, "pseudonym").agg(F.max_by("category", "row_ord").alias("category"), F.max_by("name", "row_ord").alias("display_name"))
-    ranked = each.where("form_ord > 0").groupBy(*key).agg(F.min_by(F.struct("pseudonym", "category", F.col("name").alias("display_name")), F.struct("row_ord", "form_ord")).alias("e"))
-    free = ranked.join(entry, key, "left_anti").select(*key, "e.pseudonym", "e.category", "e.display_name")
-    return entry.select(*key, "pseudonym", "category", "display_name").unionByName(free)
+    holder = names.groupBy(*key).agg(first.alias("pseudonym"), F.min("row_ord").alias("first_ord"))
+    entry = names.join(holder, [*key, "pseudonym"]).groupBy(*key, "pseudonym", "first_ord").agg(F.max_by("category", "row_ord").alias("category"), F.max_by("name", "row_ord").alias("display_name"))
+    ranked = each.where("form_ord > 0").groupBy(*key).agg(F.min_by(F.struct("pseudonym", "category", F.col("name").alias("display_name")), F.struct("row_ord", "form_ord")).alias("e"), F.min(F.struct("row_ord", "form_ord")).alias("o"))
+    order = lambda alias, row, form: F.struct(F.lit(alias).alias("alias"), F.col(row).alias("row_ord"), form.cast("int").alias("form_ord")).alias("cand_ord")
+    free = ranked.join(entry, key, "left_anti").select(*key, "e.pseudonym", "e.category", "e.display_name", order(True, "o.row_ord", F.col("o.form_ord")))
+    return entry.select(*key, "pseudonym", "category", "display_name", order(False, "first_ord", F.lit(0))).unionByName(free)
 
 
 def dictionary(rows: DataFrame) -> DataFrame:

@@ -72,10 +72,11 @@ def crosswalk_names(spark: SparkSession, sf: str) -> DataFrame:
     return A.distinct_names(x.select("entity_type", F.col("original_name").alias("text"), "xwalk_id"), ["xwalk_id"])
 
 
-def memo_result(spark: SparkSession, sf: str) -> flows.Result:
+def memo_result(spark: SparkSession, sf: str, with_hints: bool = False) -> flows.Result:
+    """Hints stand in the crosswalk only; queries of redacted cells and findings go without."""
     rows = customers_list(spark, sf)
     detector = flows.documents_detector(rows, entities=("PERSON",))
-    return flows.cells(order_memos(spark, sf), detector, masterlist.master_map(rows), ["memo"], with_hints=False)
+    return flows.cells(order_memos(spark, sf), detector, masterlist.master_map(rows), ["memo"], with_hints=with_hints)
 
 
 # --- detection to redaction ---------------------------------------------------------------------------------------------
@@ -88,7 +89,7 @@ def redact_order_memos(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def crosswalk_order_memos(spark: SparkSession, sf: str) -> DataFrame:
-    return A.crosswalk(memo_result(spark, sf).crosswalk).select("original_name", "entity_type", "category", "pseudonym", "auto")
+    return A.crosswalk(memo_result(spark, sf, with_hints=True).crosswalk).select("original_name", "entity_type", "category", "pseudonym", "auto")
 
 
 @query
@@ -98,7 +99,7 @@ def findings_view(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def crosswalk_view(spark: SparkSession, sf: str) -> DataFrame:
-    return views.crosswalk_view(memo_result(spark, sf).crosswalk)
+    return views.crosswalk_view(memo_result(spark, sf, with_hints=True).crosswalk)
 
 
 @query
@@ -108,7 +109,7 @@ def entity_cell_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def flag_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return A.flag_counts(memo_result(spark, sf).crosswalk)
+    return A.flag_counts(memo_result(spark, sf, with_hints=True).crosswalk)
 
 
 @query
@@ -318,7 +319,7 @@ def master_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def master_map_collisions(spark: SparkSession, sf: str) -> DataFrame:
-    return masterlist.master_map(sheet_rows(spark, sf))
+    return masterlist.master_map(sheet_rows(spark, sf)).drop("cand_ord")
 
 
 @query

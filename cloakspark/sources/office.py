@@ -173,14 +173,22 @@ def block_units(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(run, "path string, unit_idx int, text string, runs array<struct<run_idx:int,start:int,text:string>>")
 
 
-def save_redacted_workbook(redacted: DataFrame, crosswalk: DataFrame, path: str) -> None:
-    """One workbook with the sheets `Redacted` and `Crosswalk`, for results of a size a workbook can hold (2**20 rows)."""
-    rows = redacted.limit((1 << 20) + 1).collect()
-    if len(rows) > 1 << 20:
+#: Rows of data that a sheet holds below its header.
+MAX_SHEET_ROWS = (1 << 20) - 1
+
+
+def _sheet_rows(df: DataFrame) -> list:
+    rows = df.limit(MAX_SHEET_ROWS + 1).collect()
+    if len(rows) > MAX_SHEET_ROWS:
         raise ValueError("too many rows for a workbook; write a table instead")
+    return rows
+
+
+def save_redacted_workbook(redacted: DataFrame, crosswalk: DataFrame, path: str) -> None:
+    """One workbook with the sheets `Redacted` and `Crosswalk`, for results of a size a workbook can hold (`MAX_SHEET_ROWS` each)."""
+    rows, listed = _sheet_rows(redacted), _sheet_rows(crosswalk)
     columns = [c for c in redacted.columns if c != "changed"]
     shaded = {(r, columns.index(c)) for r, row in enumerate(rows) for c in (row["changed"] if "changed" in redacted.columns else ()) if c in columns}
-    listed = crosswalk.limit(1 << 20).collect()
     data = write_workbook({"Redacted": (columns, [[row[c] for c in columns] for row in rows]), "Crosswalk": (crosswalk.columns, [list(r) for r in listed])}, shaded)
     with open(path, "wb") as f:
         f.write(data)

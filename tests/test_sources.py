@@ -2,6 +2,8 @@ import io
 import json
 import zipfile
 
+import pytest
+
 from cloakspark import settings
 from cloakspark.sources import migrate, office
 
@@ -33,6 +35,18 @@ def test_workbook_round_trip(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "cw")).collect() == cw.collect()
 
 
+def test_workbook_takes_no_more_than_a_sheet_holds(spark, tmp_path, monkeypatch):
+    assert getattr(office, "MAX_SHEET_ROWS", 1 << 20) == (1 << 20) - 1  # and a header
+    monkeypatch.setattr(office, "MAX_SHEET_ROWS", 3)
+    rows = lambda n: spark.range(n).selectExpr("cast(id as string) as name")
+    for redacted, crosswalk in ((3, 4), (4, 3)):
+        with pytest.raises(ValueError):
+            office.save_redacted_workbook(rows(redacted), rows(crosswalk), str(tmp_path / "out.xlsx"))
+        assert not (tmp_path / "out.xlsx").exists()
+    office.save_redacted_workbook(rows(3), rows(3), str(tmp_path / "out.xlsx"))
+    assert {n: len(r) for n, r in office.read_workbook((tmp_path / "out.xlsx").read_bytes()).items()} == {"Redacted": 4, "Crosswalk": 4}
+
+
 def test_document_blocks(spark, tmp_path):
     data = document(["Hello ", "World"], ["x"], table=[["in cell"]], header=[["top"]])
     assert office.read_blocks(data) == [["Hello ", "World"], ["x"], ["in cell"], ["top"]]

@@ -2,8 +2,8 @@
 
 Each distinct name is rewritten by rule (`namerules`: look-alikes, accents, titles, nicknames, company forms, lines of
 business and their abbreviations, order) to a key, which joins all spellings without an error. A key is then exploded
-into its forms: every rewriting with one letter left out of one of its words, and every rewriting of a full given name
-to its initial. Forms are equi-joined, never compared pairwise: a form's best-standing key is its centre (a grouped
+into its forms: every rewriting with one letter left out of one of its words (two of a long word), and every rewriting
+of a full given name to its initial. Forms are equi-joined, never compared pairwise: a form's best-standing key is its centre (a grouped
 maximum), and the other keys that share the form point to it. A pointer made by a spelling error holds only if the
 rewritten word is the rarer one, by the number of names that have it: two words that are both common are two words, not
 one and its error. An initial is resolved only if one single person fits it.
@@ -25,6 +25,8 @@ from .namerules import Name, distance, nickname_table, parse
 #: The nickname list is a fixed table; more rows than this are refused, not sent to every task.
 MAX_NICKNAMES = 10_000
 _ROUNDS = 3
+#: Letters from which on a word may have two errors that no spelling in between bridges.
+_LONG = 9
 
 
 # Letters that are written for one another because they sound alike.
@@ -38,8 +40,8 @@ def by_sound(word: str) -> str:
     return word
 
 
-def _less_one(word: str) -> list[str]:
-    """The word by sound, the same with rn as scans read m, and of both each rewriting with one letter left out.
+def _less(word: str) -> list[str]:
+    """The word by sound, the same with rn as scans read m, and of both each rewriting with one letter left out, or two of a long word.
 
     Words of three letters or fewer stand as they are.
     """
@@ -48,6 +50,8 @@ def _less_one(word: str) -> list[str]:
         out[w] = None
         if len(w) > 3:
             out |= dict.fromkeys(w[:i] + w[i + 1 :] for i in range(len(w)))
+        if len(w) >= _LONG:
+            out |= dict.fromkeys(w[:i] + w[i + 1 : j] + w[j + 1 :] for i in range(len(w)) for j in range(i + 1, len(w)))
     return list(out)
 
 
@@ -58,17 +62,17 @@ def forms_of(n: Name) -> list[tuple[str, str, str]]:
     name offers to such.
     """
     if n.kind == "O":
-        return [("error", f"O#{f}#{' '.join(n.lines)}", n.parts[0]) for f in _less_one(n.parts[0])]
+        return [("error", f"O#{f}#{' '.join(n.lines)}", n.parts[0]) for f in _less(n.parts[0])]
     out = []
     if len(n.parts) == 1:
         if not n.initials or not n.parts[0]:
             return []
         given, middle = n.initials[0], n.initials[1:]
-        return [("open", f"P#{f}#{given}#{middle}", n.parts[0]) for f in _less_one(n.parts[0])]
+        return [("open", f"P#{f}#{given}#{middle}", n.parts[0]) for f in _less(n.parts[0])]
     for i, word in enumerate(n.parts):
         rest = n.parts[:i] + n.parts[i + 1 :]
         other = " ".join(sorted(map(by_sound, rest)))
-        for f in _less_one(word):
+        for f in _less(word):
             out.append(("error", f"P#{other}#{f}#{n.initials}", word))
             if len(rest) == 1:
                 out.append(("full", f"P#{f}#{rest[0][0]}#{n.initials}", word))
@@ -97,8 +101,8 @@ def parsed(names: DataFrame, nicknames: dict[str, str]) -> DataFrame:
 
 
 @F.pandas_udf(T.BooleanType())
-def _one_letter_apart(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether each of two words becomes, by sound, the other by at most one letter left out and one put in."""
+def _few_letters_apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether each of two words becomes, by sound, the other by at most two errors, or one if a word has four letters or fewer."""
     return pd.Series([distance(x, y) <= (1 if min(len(x), len(y)) <= 4 else 2) for x, y in zip(a.map(by_sound), b.map(by_sound))], dtype=bool)
 
 
@@ -132,7 +136,7 @@ def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted"
     centres = errors.groupBy("form").agg(F.max(F.struct("standing", "word", "df")).alias("top"), F.count("*").alias("n")).where("n > 1")
     centres = centres.select("form", F.col("top.standing.key").alias("to"), F.col("top.standing").alias("to_standing"), F.col("top.word").alias("to_word"), F.col("top.df").alias("to_df"))
     edges = errors.join(centres, "form").where("key <> to").select("key", "word", "df", "to", "to_word", "to_df", "to_standing").distinct()
-    edges = edges.where(_one_letter_apart("word", "to_word")).withColumn("alike", _same_sound("word", "to_word"))
+    edges = edges.where(_few_letters_apart("word", "to_word")).withColumn("alike", _same_sound("word", "to_word"))
     edges = edges.where("alike or df <= 2 or df * 2 <= to_df")
     parents = edges.groupBy("key").agg(F.max(F.struct("to_standing", "to")).alias("top")).select("key", F.col("top.to").alias("parent"))
     root = materialise(nodes.select("key").join(parents, "key", "left").select("key", F.coalesce("parent", "key").alias("root")))
@@ -144,7 +148,7 @@ def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted"
     # an initial stands for the one person whose full name offers it; an exact surname goes before one with an error
     offers = forms.where("use = 'full'").join(root, "key").select("form", F.col("word").alias("to_word"), "root")
     asked = forms.where("use = 'open'").select("key", "form", "word")
-    met = asked.join(offers, "form").select("key", "root", "word", "to_word").distinct().where(_one_letter_apart("word", "to_word"))
+    met = asked.join(offers, "form").select("key", "root", "word", "to_word").distinct().where(_few_letters_apart("word", "to_word"))
     met = met.withColumn("exact", F.col("word") == F.col("to_word"))
     one = met.groupBy("key").agg(F.count_distinct(F.when(F.col("exact"), F.col("root"))).alias("n_exact"), F.max(F.when(F.col("exact"), F.col("root"))).alias("exact_root"), F.count_distinct("root").alias("n_all"), F.max("root").alias("any_root"))
     settled = one.select("key", F.when(F.col("n_exact") == 1, F.col("exact_root")).when((F.col("n_exact") == 0) & (F.col("n_all") == 1), F.col("any_root")).alias("settled"))

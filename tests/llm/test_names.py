@@ -82,3 +82,8 @@ def test_list(spark):
 def test_found(spark):
     x = spark.createDataFrame([(1, "Bob Kanevosuti", "PERSON", True), (2, "Bob Kanevosuti", "PERSON", False), (3, "none such", "PERSON", True), (4, None, "PERSON", True), (5, " ", "PERSON", True), (1, "Bob Kanevosuti", "PERSON", True), (6, "x", None, None)], "xwalk_id long, original_name string, entity_type string, auto boolean")
     assert {tuple(r) for r in M.found(x, canon(spark), nick(spark)).collect()} == {(1, 1), (3, 0)}
+
+
+def test_two_errors_in_a_long_word(spark):
+    rows = [(1, "Humphrey Rumunofobu", "PERSON", True), (2, "Humphrey Rymunofohu", "PERSON", False), (3, "Edward Tugizaseeshe", "PERSON", True), (4, "Edward Tugziaseshe", "PERSON", False), (5, "Edward Tugizasobshe", "PERSON", False), (6, "Anna Kanevo", "PERSON", True), (7, "Anna Kenova", "PERSON", False), (8, "H. Rumanofobe", "PERSON", False)]
+    assert classes(spark, rows) == {frozenset({1, 2, 8}), frozenset({3, 4, 5}), frozenset({6}), frozenset({7})}

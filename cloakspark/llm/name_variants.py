@@ -24,7 +24,6 @@ from .namerules import Name, distance, nickname_table, parse
 
 #: The nickname list is a fixed table; more rows than this are refused, not sent to every task.
 MAX_NICKNAMES = 10_000
-_ROUNDS = 3
 #: Letters from which on a word may have two errors that no spelling in between bridges.
 _LONG = 9
 
@@ -140,10 +139,13 @@ def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted"
     edges = edges.where("alike or df <= 2 or df * 2 <= to_df")
     parents = edges.groupBy("key").agg(F.max(F.struct("to_standing", "to")).alias("top")).select("key", F.col("top.to").alias("parent"))
     root = materialise(nodes.select("key").join(parents, "key", "left").select("key", F.coalesce("parent", "key").alias("root")))
-    for _ in range(_ROUNDS):  # a pointer leads to a key of higher standing, so chains are short and without circles
+    while True:  # a pointer leads to a key of higher standing, so there are no circles; each round doubles the steps
         up = root.select(F.col("key").alias("root"), F.col("root").alias("above"))
-        root = root.join(up, "root").select("key", F.col("above").alias("root"))
-    root = materialise(root)
+        root = materialise(root.join(up, "root").select("key", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
+        if root.where("moved").isEmpty():
+            break
+        root = root.drop("moved")
+    root = root.drop("moved")
 
     # an initial stands for the one person whose full name offers it; an exact surname goes before one with an error
     offers = forms.where("use = 'full'").join(root, "key").select("form", F.col("word").alias("to_word"), "root")

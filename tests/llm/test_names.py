@@ -87,3 +87,11 @@ def test_found(spark):
 def test_two_errors_in_a_long_word(spark):
     rows = [(1, "Humphrey Rumunofobu", "PERSON", True), (2, "Humphrey Rymunofohu", "PERSON", False), (3, "Edward Tugizaseeshe", "PERSON", True), (4, "Edward Tugziaseshe", "PERSON", False), (5, "Edward Tugizasobshe", "PERSON", False), (6, "Anna Kanevo", "PERSON", True), (7, "Anna Kenova", "PERSON", False), (8, "H. Rumanofobe", "PERSON", False)]
     assert classes(spark, rows) == {frozenset({1, 2, 8}), frozenset({3, 4, 5}), frozenset({6}), frozenset({7})}
+
+
+def test_a_long_chain_is_one_class(spark):
+    word, rows = list("bdfghlmn"), []
+    for n in range(24):  # each spelling one error from the next, which more names have
+        rows += [(1000 * n + k, f"Robert {''.join(word)}", "PERSON", False) for k in range(n + 1)]
+        word[n % 8] = "aeou"[n // 8] if n % 2 else "qtbr"[n // 8]
+    assert len(classes(spark, rows)) == 1

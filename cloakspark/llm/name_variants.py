@@ -4,7 +4,8 @@ Each distinct name is rewritten by rule (`namerules`: look-alikes, accents, titl
 business and their abbreviations, order) to a key, which joins all spellings without an error. A key is then exploded
 into its forms: every rewriting with one letter left out of one of its words (two of a long word), and every rewriting
 of a full given name to its initial. Forms are equi-joined, never compared pairwise: a form's best-standing key is its centre (a grouped
-maximum), and the other keys that share the form point to it. A pointer made by a spelling error holds only if the
+maximum), and the other keys that share the form point to it; one that it turns away points to the best-standing other
+key of the form that takes it. A pointer made by a spelling error holds only if the
 rewritten word is the rarer one, by the number of names that have it: two words that are both common are two words, not
 one and its error. An initial is resolved only if one single person fits it.
 """
@@ -26,6 +27,8 @@ from .namerules import Name, distance, nickname_table, parse
 MAX_NICKNAMES = 10_000
 #: Letters from which on a word may have two errors that no spelling in between bridges.
 _LONG = 9
+#: Names whose forms a task holds at once.
+_PARSED_AT_ONCE = 1000
 
 
 # Letters that are written for one another because they sound alike.
@@ -90,7 +93,7 @@ def parsed(names: DataFrame, nicknames: dict[str, str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("use", pa.string()), ("form", pa.string()), ("word", pa.string())]))
-        for b in batches:
+        for b in (whole.slice(i, _PARSED_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, _PARSED_AT_ONCE)):
             got = [parse(n, e, nicknames) for n, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             keys = [g.key if any(g.parts) else f"R|{n}" for g, n in zip(got, b.column(0).to_pylist())]
             forms = [[{"use": u, "form": f, "word": w} for u, f, w in forms_of(g)] if any(g.parts) else [] for g in got]
@@ -110,6 +113,13 @@ def _same_sound(a: pd.Series, b: pd.Series) -> pd.Series:
     return a.map(by_sound) == b.map(by_sound)
 
 
+def _judged(links: DataFrame) -> DataFrame:
+    """With `holds`: the words are near enough, and alike by sound or the rewritten one is rare beside the other."""
+    near = F.col("alike") | (F.col("df") <= 2) | (F.col("df") * 2 <= F.col("to_df"))
+    links = links.withColumn("apart", _few_letters_apart("word", "to_word")).withColumn("alike", _same_sound("word", "to_word"))
+    return links.withColumn("holds", F.col("apart") & near).drop("apart", "alike")
+
+
 def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted") -> DataFrame:
     """`id, name, class` of each named row; rows of one class mean the same person or organisation.
 
@@ -131,12 +141,17 @@ def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted"
     errors = forms.where("use = 'error'").join(rarity, "word")
     # a key stands as high as its rarest word; one order of all keys, so pointers can't run in a circle
     rank = errors.groupBy("key").agg(F.min("df").alias("least"))
-    errors = errors.join(rank, "key").select("key", "form", "word", "df", F.struct("least", "trusted", "n", "key").alias("standing"))
+    errors = materialise(errors.join(rank, "key").select("key", "form", "word", "df", F.struct("least", "trusted", "n", "key").alias("standing")))
     centres = errors.groupBy("form").agg(F.max(F.struct("standing", "word", "df")).alias("top"), F.count("*").alias("n")).where("n > 1")
     centres = centres.select("form", F.col("top.standing.key").alias("to"), F.col("top.standing").alias("to_standing"), F.col("top.word").alias("to_word"), F.col("top.df").alias("to_df"))
-    edges = errors.join(centres, "form").where("key <> to").select("key", "word", "df", "to", "to_word", "to_df", "to_standing").distinct()
-    edges = edges.where(_few_letters_apart("word", "to_word")).withColumn("alike", _same_sound("word", "to_word"))
-    edges = edges.where("alike or df <= 2 or df * 2 <= to_df")
+    link = ["key", "word", "df", "to", "to_word", "to_df", "to_standing"]
+    tried = materialise(_judged(errors.join(centres, "form").where("key <> to").select(*link).distinct()))
+    # a key that its centre turns away is tried with every other key of higher standing that shares the form
+    away = errors.join(tried.where("not holds").select("key", "word").distinct(), ["key", "word"])
+    others = errors.select("form", F.col("key").alias("to"), F.col("word").alias("to_word"), F.col("df").alias("to_df"), F.col("standing").alias("to_standing"))
+    again = away.join(others, "form").where("to_standing > standing").select(*link).distinct()
+    again = _judged(again.join(tried.select("key", "word", "to", "to_word"), ["key", "word", "to", "to_word"], "left_anti").select(*link))
+    edges = tried.unionByName(again).where("holds")
     parents = edges.groupBy("key").agg(F.max(F.struct("to_standing", "to")).alias("top")).select("key", F.col("top.to").alias("parent"))
     root = materialise(nodes.select("key").join(parents, "key", "left").select("key", F.coalesce("parent", "key").alias("root")))
     while True:  # a pointer leads to a key of higher standing, so there are no circles; each round doubles the steps

@@ -95,3 +95,8 @@ def test_a_long_chain_is_one_class(spark):
         rows += [(1000 * n + k, f"Robert {''.join(word)}", "PERSON", False) for k in range(n + 1)]
         word[n % 8] = "aeou"[n // 8] if n % 2 else "qtbr"[n // 8]
     assert len(classes(spark, rows)) == 1
+
+
+def test_a_key_turned_away_by_the_centre_finds_the_next(spark):
+    rows = [(k, "Robert Xmob", "PERSON", True) for k in range(4)] + [(10, "Robert Mobu", "PERSON", False), (11, "Robert Mobu", "PERSON", False), (12, "Robert Mobe", "PERSON", False)]
+    assert classes(spark, rows) == {frozenset({0, 1, 2, 3}), frozenset({10, 11, 12})}

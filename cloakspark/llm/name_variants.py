@@ -1,35 +1,39 @@
 """Variant spellings of one person or organisation, linked by canonical rewritings.
 
 Each distinct name is rewritten by rule (`namerules`: look-alikes, accents, titles, nicknames, company forms, lines of
-business and their abbreviations, order) to a key, which joins all spellings without an error. A key is then exploded
-into its forms: every rewriting with one letter left out of one of its words (two of a long word), and every rewriting
-of a full given name to its initial. Forms are equi-joined, never compared pairwise: a form's best-standing key is its centre (a grouped
-maximum), and the other keys that share the form point to it; one that it turns away points to the best-standing other
-key of the form that takes it. A pointer made by a spelling error holds only if the
-rewritten word is the rarer one, by the number of names that have it: two words that are both common are two words, not
-one and its error. An initial is resolved only if one single person fits it.
+business in short or in full, order) to a key, which joins all spellings without an error. Errors are bridged word by
+word: each distinct word of the keys, not each name, is exploded into its rewritings (by sound, with one letter left
+out, or two of a long word), which are equi-joined; a word that is rare beside one of them, by the number of keys that
+have it, may be an error of it. Every key is then rewritten with one or two of its words replaced so, and the rewritings
+are equi-joined with the keys. A key points to its best rewriting: one that is a key itself, then the fewest errors, then
+the commoner word. An initial is a rewriting of every given name, and is resolved only if one single person fits it.
+
+Pointers lead to commoner words, so there are no circles, and they are followed until none changes. A spelling that lies
+between two established ones (more than `RARE` keys have each of their words) goes to the better and doesn't join them;
+if neither is established, it does.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import materialise, spread
-from .namerules import Name, distance, nickname_table, parse
+from .linewords import frequent, lines_of
+from .namerules import Lines, Rules, nickname_table, parse
 
-#: The nickname list is a fixed table; more rows than this are refused, not sent to every task.
-MAX_NICKNAMES = 10_000
 #: Letters from which on a word may have two errors that no spelling in between bridges.
 _LONG = 9
-#: Names whose forms a task holds at once.
-_PARSED_AT_ONCE = 1000
-
+#: Keys that may have a word before it counts as established.
+RARE = 2
+#: Names that a task holds parsed at once.
+_PARSED_AT_ONCE = 10_000
+#: Rows of a class that meet in one task when pairs are made.
+_PAIR_BLOCK = 2000
 
 # Letters that are written for one another because they sound alike.
 SOUNDS = (("ph", "f"), ("y", "i"), ("j", "i"), ("z", "s"), ("w", "v"), ("k", "c"))
@@ -42,147 +46,246 @@ def by_sound(word: str) -> str:
     return word
 
 
-def _less(word: str) -> list[str]:
-    """The word by sound, the same with rn as scans read m, and of both each rewriting with one letter left out, or two of a long word.
+def sound(word: Column) -> Column:
+    """`by_sound` of a column."""
+    return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), SOUNDS, word)
 
-    Words of three letters or fewer stand as they are.
-    """
-    out = {}
-    for w in {by_sound(word), by_sound(word.replace("rn", "m"))}:
-        out[w] = None
-        if len(w) > 3:
-            out |= dict.fromkeys(w[:i] + w[i + 1 :] for i in range(len(w)))
-        if len(w) >= _LONG:
-            out |= dict.fromkeys(w[:i] + w[i + 1 : j] + w[j + 1 :] for i in range(len(w)) for j in range(i + 1, len(w)))
-    return list(out)
 
+def _one_left_out(w: Column) -> Column:
+    """The word and each rewriting with one letter left out; words of three letters or fewer stand as they are."""
+    one = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
+    return F.when(F.length(w) <= 3, F.array(w)).otherwise(F.concat(F.array(w), one))
 
-def forms_of(n: Name) -> list[tuple[str, str, str]]:
-    """(use, form, word that the form rewrites) of one key.
 
-    Use `error` links keys by spelling errors; `open` is a name with an initial for the given name, `full` what a full
-    name offers to such.
-    """
-    if n.kind == "O":
-        return [("error", f"O#{f}#{' '.join(n.lines)}", n.parts[0]) for f in _less(n.parts[0])]
-    out = []
-    if len(n.parts) == 1:
-        if not n.initials or not n.parts[0]:
-            return []
-        given, middle = n.initials[0], n.initials[1:]
-        return [("open", f"P#{f}#{given}#{middle}", n.parts[0]) for f in _less(n.parts[0])]
-    for i, word in enumerate(n.parts):
-        rest = n.parts[:i] + n.parts[i + 1 :]
-        other = " ".join(sorted(map(by_sound, rest)))
-        for f in _less(word):
-            out.append(("error", f"P#{other}#{f}#{n.initials}", word))
-            if len(rest) == 1:
-                out.append(("full", f"P#{f}#{rest[0][0]}#{n.initials}", word))
-    return out
+def _two_left_out(w: Column) -> Column:
+    """The word and each rewriting with one or two letters left out."""
+    cut = lambda i, j: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, j - i - 1), F.substring(w, j + 1, F.length(w)))
+    two = F.flatten(F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.transform(F.sequence(i + 1, F.length(w)), lambda j: cut(i, j))))
+    return F.concat(_one_left_out(w), two)
 
 
 def nicknames_of(nickname: DataFrame) -> dict[str, str]:
-    rows = nickname.select("short_form", "full_form").limit(MAX_NICKNAMES + 1).collect()
-    if len(rows) > MAX_NICKNAMES:
-        raise ValueError(f"more than {MAX_NICKNAMES} nicknames; the list is taken to be short and fixed")
-    return nickname_table([(r[0], r[1]) for r in rows])
+    """The nickname list, a fixed table of given names in use: it grows with languages, not with rows."""
+    return nickname_table([(r[0], r[1]) for r in nickname.select("short_form", "full_form").where("short_form is not null and full_form is not null").distinct().toLocalIterator()])
 
 
-def parsed(names: DataFrame, nicknames: dict[str, str]) -> DataFrame:
-    """`name, entity_type` with `key` and the forms of the key."""
+def is_named(column: str) -> str:
+    """SQL: neither null nor blank."""
+    return f"{column} is not null and {column} rlike '(?U)[^\\\\s\\\\p{{Cf}}]'"
+
+
+def parsed(names: DataFrame, nicknames: dict[str, str], words: list[str], short: list[str], more: Sequence[tuple] = ()) -> DataFrame:
+    """The table of `name, entity_type` with `key` and what it is made of: `kind` (null without letters), `parts`, `initials`, `lines`.
+
+    `more` adds columns: (name, type in Arrow, type in SQL, function of a `Name`).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("use", pa.string()), ("form", pa.string()), ("word", pa.string())]))
+        rules = Rules(nicknames, Lines(words, short))
         for b in (whole.slice(i, _PARSED_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, _PARSED_AT_ONCE)):
-            got = [parse(n, e, nicknames) for n, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            keys = [g.key if any(g.parts) else f"R|{n}" for g, n in zip(got, b.column(0).to_pylist())]
-            forms = [[{"use": u, "form": f, "word": w} for u, f, w in forms_of(g)] if any(g.parts) else [] for g in got]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.string()), pa.array(forms, kind)], ["name", "entity_type", "key", "forms"])
+            names = b.column("name").to_pylist()
+            got = [parse(n, e, rules) for n, e in zip(names, b.column("entity_type").to_pylist())]
+            real = [any(g.parts) for g in got]
+            cols = [
+                pa.array([g.key if r else f"R|{n}" for g, n, r in zip(got, names, real)], pa.string()),
+                pa.array([g.kind if r else None for g, r in zip(got, real)], pa.string()),
+                pa.array([list(g.parts) if r else [] for g, r in zip(got, real)], pa.list_(pa.string())),
+                pa.array([g.initials for g in got], pa.string()),
+                pa.array([" ".join(g.lines) for g in got], pa.string()),
+            ]
+            cols += [pa.array([f(g) for g in got], kind) for _, kind, _, f in more]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "key", "kind", "parts", "initials", "lines", *(m[0] for m in more)])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names.schema)
+    return names.mapInArrow(run, f"{own}, key string, kind string, parts array<string>, initials string, lines string" + "".join(f", {m[0]} {m[2]}" for m in more))
 
-    return names.select("name", "entity_type").mapInArrow(run, "name string, entity_type string, key string, forms array<struct<use:string,form:string,word:string>>")
 
+def _key(parts: Column) -> Column:
+    """`namerules.Name.key` of other parts."""
+    return F.concat(F.col("kind"), F.lit("|"), F.array_join(F.array_sort(parts), " "), F.lit("|"), F.col("initials"), F.col("lines"))
 
-@F.pandas_udf(T.BooleanType())
-def _few_letters_apart(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether each of two words becomes, by sound, the other by at most two errors, or one if a word has four letters or fewer."""
-    return pd.Series([distance(x, y) <= (1 if min(len(x), len(y)) <= 4 else 2) for x, y in zip(a.map(by_sound), b.map(by_sound))], dtype=bool)
 
+def _replaced(at: str, word: str, parts: Column) -> Column:
+    return F.transform(parts, lambda w, i: F.when(i == F.col(at), F.col(word)).otherwise(w))
 
-@F.pandas_udf(T.BooleanType())
-def _same_sound(a: pd.Series, b: pd.Series) -> pd.Series:
-    return a.map(by_sound) == b.map(by_sound)
 
+def _meeting(words: DataFrame, rewritings: Callable[[Column], Column]) -> DataFrame:
+    """`a, b`: the numbers of each two words of one kind that share a rewriting, each pair once."""
+    split = words.withColumn("m", sound(F.replace("word", F.lit("rn"), F.lit("m")))).withColumn("s", sound(F.col("word")))
+    every = F.when(F.col("s") == F.col("m"), rewritings(F.col("s"))).otherwise(F.concat(rewritings(F.col("s")), rewritings(F.col("m"))))
+    forms = split.select("kind", "w", F.explode(every).alias("form")).select(F.xxhash64("kind", "form").alias("form"), F.col("w").alias("a"))
+    # never a broadcast: what an explosion makes is no size that the planner knows
+    return forms.hint("merge").join(forms.withColumnRenamed("a", "b"), "form").where("a < b").select("a", "b").distinct()
 
-def _judged(links: DataFrame) -> DataFrame:
-    """With `holds`: the words are near enough, and alike by sound or the rewritten one is rare beside the other."""
-    near = F.col("alike") | (F.col("df") <= 2) | (F.col("df") * 2 <= F.col("to_df"))
-    links = links.withColumn("apart", _few_letters_apart("word", "to_word")).withColumn("alike", _same_sound("word", "to_word"))
-    return links.withColumn("holds", F.col("apart") & near).drop("apart", "alike")
 
+def similar_words(words: DataFrame) -> DataFrame:
+    """`kind, word, to, errors, weight`: what each of the distinct words `kind, word, df, trusted` may be an error of.
 
-def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted") -> DataFrame:
+    `to` stands higher: more keys have it, or as many and it is on the list, or it is later in the alphabet. The word must
+    be rare beside it, or just rarer where one error parts two long words, unless both sound alike; `weight` says how much commoner `to` is. First all words meet with one
+    letter left out; then the long ones that this finds no `to` for meet each other and the established ones with two
+    left out. However many rows there are, a rewriting is shared by one word at most for each letter of the alphabet in
+    each place (or two).
+    """
+    words = words.withColumn("w", F.xxhash64("kind", "word"))
+
+    def judged(met: DataFrame) -> DataFrame:
+        one, two = (words.select(*(F.col(c).alias(f"{c}_{x}") for c in ("w", "kind", "word", "df", "trusted"))) for x in "ab")
+        both = met.join(one, met["a"] == one["w_a"]).join(two, met["b"] == two["w_b"]).where("kind_a = kind_b")
+        low, high = (F.struct(*(F.col(f"{c}_{x}").alias(c) for c in ("df", "trusted", "word"))) for x in "ab")
+        both = both.select(F.col("kind_a").alias("kind"), F.least(low, high).alias("low"), F.greatest(low, high).alias("high"))
+        near = both.select("kind", F.col("low.word").alias("word"), F.col("low.df").alias("df"), F.col("high.word").alias("to"), F.col("high.df").alias("to_df"))
+        x, y = sound(F.col("word")), sound(F.col("to"))
+        m, n = (sound(F.replace(c, F.lit("rn"), F.lit("m"))) for c in ("word", "to"))
+        # hashes only bring words together; whether they are near enough is seen here
+        near = near.withColumn("errors", F.least(F.levenshtein(x, y), F.levenshtein(m, y) + 1, F.levenshtein(x, n) + 1)).where(F.col("errors") <= F.when(F.least(F.length("word"), F.length("to")) <= 4, 1).otherwise(3))
+        slip = (F.col("errors") == 1) & (F.least(F.length("word"), F.length("to")) >= _LONG) & (F.col("df") < F.col("to_df"))
+        rare = (F.col("errors") == 0) | (F.col("df") <= RARE) | (F.col("df") * 2 <= F.col("to_df")) | slip
+        return near.where(rare).select("kind", "word", "to", "errors", (F.col("to_df") / F.col("df")).alias("weight"))
+
+    first = materialise(judged(_meeting(words, _one_left_out)))
+    done = first.select("kind", "word").distinct()
+    long = words.where(F.length("word") >= _LONG)
+    open_ = long.where((F.col("df") > RARE) | F.col("trusted")).unionByName(long.where((F.col("df") <= RARE) & ~F.col("trusted")).join(done, ["kind", "word"], "left_anti"))
+    second = judged(_meeting(open_, _two_left_out)).join(done, ["kind", "word"], "left_anti")
+    return first.unionByName(second)
+
+
+def _rewritten(nodes: DataFrame, similar: DataFrame) -> DataFrame:
+    """`key, to, errors, weight, at, word`: each key with one of its words replaced (then `at, word` say which and by what), or two."""
+    parts = nodes.where("kind is not null and (kind = 'O' or size(parts) > 1 or initials <> '')").select("key", "kind", "parts", "initials", "lines", F.posexplode("parts").alias("at", "word"))
+    one = parts.join(similar.withColumnRenamed("to", "new"), ["kind", "word"]).select("key", "kind", "parts", "initials", "lines", "at", "new", "errors", "weight")
+    two = one.join(one.select("key", F.col("at").alias("at2"), F.col("new").alias("new2"), F.col("errors").alias("e2"), F.col("weight").alias("w2")), "key").where("at < at2")
+    both = two.select("key", _key(_replaced("at2", "new2", _replaced("at", "new", F.col("parts")))).alias("to"), (F.col("errors") + F.col("e2")).alias("errors"), F.least("weight", "w2").alias("weight"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("string").alias("word"))
+    return one.select("key", _key(_replaced("at", "new", F.col("parts"))).alias("to"), "errors", "weight", "at", F.col("new").alias("word")).unionByName(both)
+
+
+def _follow(pointers: DataFrame) -> DataFrame:
+    """`key, root` of `key, root` pointers without circles: each round doubles the steps, until one changes none."""
+    while True:
+        up = pointers.select(F.col("key").alias("root"), F.col("root").alias("above"))
+        pointers = materialise(pointers.join(up, "root", "left").select("key", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        if pointers.where("moved").isEmpty():
+            return pointers.drop("moved")
+        pointers = pointers.drop("moved")
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """`key, root` of every end of undirected edges `a, b`: the least end that it can be reached from; rounds until none changes."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    label = materialise(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    while True:
+        least = both.join(label, both["b"] == label["key"]).groupBy("a").agg(F.min("root").alias("near"))
+        up = label.select(F.col("key").alias("root"), F.col("root").alias("above"))
+        new = label.join(least, label["key"] == least["a"]).join(up, "root", "left")
+        new = new.select("key", F.least("root", "near", F.coalesce("above", "root")).alias("new"), "root")
+        label = materialise(new.select("key", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")))
+        if label.where("moved").isEmpty():
+            return label.drop("moved")
+        label = label.drop("moved")
+
+
+def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted", hint: str | None = None) -> DataFrame:
     """`id, name, class` of each named row; rows of one class mean the same person or organisation.
 
     `named` has `id, name, entity_type` and a boolean column that says whether the row comes from a curated list, whose
     spelling is preferred. Null and blank names are left out. An id that comes twice with one name counts once; names
     without letters are a class for each spelling; an empty table gives an empty table; further columns are ignored;
-    names are read whole. Names spelt the same are always one class, unless their entity types differ.
+    names are read whole. Names spelt the same are always one class, unless their entity types differ. `hint` names a
+    column with another name that the row may mean; it is weak evidence, read only where an initial fits several people.
     """
-    rows = named.selectExpr("cast(id as long) as id", "cast(name as string) as name", "entity_type", f"coalesce({trusted}, false) as trusted")
-    rows = rows.where("id is not null and name is not null and name rlike '(?U)[^\\\\s\\\\p{Cf}]'").distinct()
+    hinted = F.col(hint).cast("string") if hint else F.lit(None).cast("string")
+    rows = named.select(F.col("id").cast("long").alias("id"), F.col("name").cast("string").alias("name"), "entity_type", F.coalesce(trusted, F.lit(False)).alias("trusted"), hinted.alias("hint"))
+    rows = rows.where(f"id is not null and {is_named('name')}")
     distinct = rows.groupBy("name", "entity_type").agg(F.count("*").alias("n"), F.max("trusted").alias("trusted"))
-    keyed = materialise(parsed(spread(distinct), nicknames_of(nickname)).select("name", "entity_type", "key", "forms"))
-    support = distinct.join(keyed.select("name", F.col("entity_type").alias("et"), "key"), (distinct["name"] == keyed["name"]) & F.col("entity_type").eqNullSafe(F.col("et")))
-    nodes = support.groupBy("key").agg(F.max("trusted").alias("trusted"), F.sum("n").alias("n"))
-    forms = keyed.dropDuplicates(["key"]).select("key", F.explode("forms").alias("f")).select("key", "f.use", "f.form", "f.word").join(nodes, "key")
-    # how many names have a word: the rarity of a rewriting
-    rarity = forms.where("use = 'error'").select("key", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
-    forms = materialise(forms.select("key", "use", F.xxhash64("form").alias("form"), "word", "trusted", "n"))
-    errors = forms.where("use = 'error'").join(rarity, "word")
-    # a key stands as high as its rarest word; one order of all keys, so pointers can't run in a circle
-    rank = errors.groupBy("key").agg(F.min("df").alias("least"))
-    errors = materialise(errors.join(rank, "key").select("key", "form", "word", "df", F.struct("least", "trusted", "n", "key").alias("standing")))
-    centres = errors.groupBy("form").agg(F.max(F.struct("standing", "word", "df")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    centres = centres.select("form", F.col("top.standing.key").alias("to"), F.col("top.standing").alias("to_standing"), F.col("top.word").alias("to_word"), F.col("top.df").alias("to_df"))
-    link = ["key", "word", "df", "to", "to_word", "to_df", "to_standing"]
-    tried = materialise(_judged(errors.join(centres, "form").where("key <> to").select(*link).distinct()))
-    # a key that its centre turns away is tried with every other key of higher standing that shares the form
-    away = errors.join(tried.where("not holds").select("key", "word").distinct(), ["key", "word"])
-    others = errors.select("form", F.col("key").alias("to"), F.col("word").alias("to_word"), F.col("df").alias("to_df"), F.col("standing").alias("to_standing"))
-    again = away.join(others, "form").where("to_standing > standing").select(*link).distinct()
-    again = _judged(again.join(tried.select("key", "word", "to", "to_word"), ["key", "word", "to", "to_word"], "left_anti").select(*link))
-    edges = tried.unionByName(again).where("holds")
-    parents = edges.groupBy("key").agg(F.max(F.struct("to_standing", "to")).alias("top")).select("key", F.col("top.to").alias("parent"))
-    root = materialise(nodes.select("key").join(parents, "key", "left").select("key", F.coalesce("parent", "key").alias("root")))
-    while True:  # a pointer leads to a key of higher standing, so there are no circles; each round doubles the steps
-        up = root.select(F.col("key").alias("root"), F.col("root").alias("above"))
-        root = materialise(root.join(up, "root").select("key", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
-        if root.where("moved").isEmpty():
-            break
-        root = root.drop("moved")
-    root = root.drop("moved")
-
-    # an initial stands for the one person whose full name offers it; an exact surname goes before one with an error
-    offers = forms.where("use = 'full'").join(root, "key").select("form", F.col("word").alias("to_word"), "root")
-    asked = forms.where("use = 'open'").select("key", "form", "word")
-    met = asked.join(offers, "form").select("key", "root", "word", "to_word").distinct().where(_few_letters_apart("word", "to_word"))
-    met = met.withColumn("exact", F.col("word") == F.col("to_word"))
-    one = met.groupBy("key").agg(F.count_distinct(F.when(F.col("exact"), F.col("root"))).alias("n_exact"), F.max(F.when(F.col("exact"), F.col("root"))).alias("exact_root"), F.count_distinct("root").alias("n_all"), F.max("root").alias("any_root"))
-    settled = one.select("key", F.when(F.col("n_exact") == 1, F.col("exact_root")).when((F.col("n_exact") == 0) & (F.col("n_all") == 1), F.col("any_root")).alias("settled"))
-    classes = root.join(settled, "key", "left").select("key", F.coalesce("settled", "root").alias("class"))
-    named_keys = keyed.select("name", F.col("entity_type").alias("et"), "key").join(classes, "key")
-    return rows.join(named_keys, "name").where(F.col("entity_type").eqNullSafe(F.col("et"))).select("id", rows["name"], "class").distinct()
+    nicknames = nicknames_of(nickname)
+    words, short = lines_of(frequent(rows.where("upper(trim(entity_type)) = 'ORGANIZATION'").select("name").distinct()))
+    keyed = materialise(parsed(spread(distinct), nicknames, words, short))
+    nodes = keyed.groupBy("key").agg(F.max("trusted").alias("trusted"), F.first("kind").alias("kind"), F.first("parts").alias("parts"), F.first("initials").alias("initials"), F.first("lines").alias("lines"))
+
+    vocabulary = nodes.select("kind", "trusted", F.explode("parts").alias("word")).groupBy("kind", "word").agg(F.count("*").alias("df"), F.max("trusted").alias("trusted"))
+    vocabulary = materialise(vocabulary)
+    similar = materialise(similar_words(vocabulary))
+    rewritten = materialise(_rewritten(nodes, similar))
+    # a rewriting links if it is a key, or if it is one of two keys at least
+    shared = rewritten.select("key", "to").distinct().groupBy("to").agg(F.count("*").alias("n"))
+    real = nodes.select(F.col("key").alias("to"), F.lit(True).alias("real"))
+    edges = materialise(rewritten.join(shared, "to").join(real, "to", "left").where("real or n > 1").select("key", "to", "errors", "weight", F.coalesce("real", F.lit(False)).alias("real")))
+    best = F.max_by("to", F.struct("real", (-F.col("errors")).alias("near"), "weight", "to"))
+    root = _follow(edges.groupBy("key").agg(best.alias("root")))
+
+    # spellings that none is established of are one class by way of any between them
+    ends = edges.select("key", "to").join(root.withColumnRenamed("root", "a"), "key").join(root.select(F.col("key").alias("to"), F.col("root").alias("up")), "to", "left").select("a", F.coalesce("up", "to").alias("b")).where("a <> b").distinct()
+    ends = materialise(ends)
+    if not ends.isEmpty():
+        least = nodes.join(ends.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key").select("key", "kind", F.explode("parts").alias("word")).join(vocabulary, ["kind", "word"]).groupBy("key").agg(F.min("df").alias("least"))
+        rare = least.where(F.col("least") <= RARE).select("key")
+        loose = materialise(ends.join(rare.withColumnRenamed("key", "a"), "a").join(rare.withColumnRenamed("key", "b"), "b"))
+        if not loose.isEmpty():
+            joined = _components(loose).where("key <> root").select(F.col("key").alias("root"), F.col("root").alias("joint"))
+            moved = root.join(joined, "root", "left").select("key", F.coalesce("joint", "root").alias("root"))
+            root = materialise(moved.unionByName(joined.select(F.col("root").alias("key"), F.col("joint").alias("root")).join(root.select("key"), "key", "left_anti")))
+
+    rooted = nodes.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    settled = _settled(rooted, rewritten, rows, keyed, nicknames, words, short)
+    classes = rooted.select("key", "root").join(settled, "root", "left").select("key", F.coalesce("settled", "root").alias("class"))
+    held = keyed.select(F.col("name").alias("k_name"), F.col("entity_type").alias("k_type"), "key").join(classes, "key")
+    return rows.join(held, (rows["name"] == held["k_name"]) & rows["entity_type"].eqNullSafe(held["k_type"])).select("id", "name", "class").distinct()
+
+
+def _settled(rooted: DataFrame, rewritten: DataFrame, rows: DataFrame, keyed: DataFrame, nicknames: dict[str, str], words: list[str], short: list[str]) -> DataFrame:
+    """`root, settled`: the one person that each class of names with an initial for the given name means.
+
+    A full name offers each of its two words with the initial of the other, as it stands and as its errors are put
+    right; an exact word goes before one put right. Where several people fit, a hint decides that names one of them.
+    """
+    people = rooted.where("kind = 'P'").select("key", "root", "parts", "initials")
+    full = people.where("size(parts) = 2")
+    offered = lambda word, other: F.concat(word, F.lit("#"), F.substring(other, 1, 1), F.lit("#"), F.col("initials"))
+    each = full.select("root", F.explode(F.array(*(F.struct(offered(F.col("parts")[i], F.col("parts")[1 - i]).alias("form")) for i in (0, 1)))).alias("o")).select("root", "o.form")
+    right = full.join(rewritten.where("at is not null").select("key", "at", "word"), "key")
+    # where one word is put right, it is offered itself, and its initial beside the other word
+    right = right.select("root", F.explode(F.array(offered(F.col("word"), F.element_at("parts", 2 - F.col("at"))), offered(F.element_at("parts", 2 - F.col("at")), F.col("word")))).alias("form"))
+    offers = each.withColumn("own", F.lit(True)).unionByName(right.withColumn("own", F.lit(False))).groupBy("root", "form").agg(F.max("own").alias("own"))
+    open_ = people.where("size(parts) = 1 and initials <> ''")
+    asked = lambda word: F.concat(word, F.lit("#"), F.substring("initials", 1, 1), F.lit("#"), F.substring("initials", 2, 1 << 20))
+    exact = open_.select("root", asked(F.col("parts")[0]).alias("form"), F.lit(True).alias("exact"))
+    near = open_.join(rewritten.where("at is not null").select("key", "word"), "key").select("root", asked(F.col("word")).alias("form"), F.lit(False).alias("exact"))
+    met = exact.unionByName(near).distinct().join(offers.withColumnRenamed("root", "person"), "form")
+    one = met.groupBy("root", "person").agg(F.max(F.col("exact") & F.col("own")).alias("exact")).groupBy("root").agg(F.collect_set(F.when(F.col("exact"), F.col("person"))).alias("exact"), F.collect_set("person").alias("all"))
+    one = one.select("root", F.when(F.size("exact") > 0, F.col("exact")).otherwise(F.col("all")).alias("fit"))  # people of one surname and initial
+    one = materialise(one)
+    many = one.where("size(fit) > 1")
+    clear = one.where("size(fit) = 1").select("root", F.col("fit")[0].alias("settled"))
+    if many.isEmpty():
+        return clear
+    asking = keyed.select("name", "entity_type", "key").join(rooted.select("key", "root"), "key").join(many.select("root"), "root")
+    hints = rows.where(is_named("hint")).join(asking, ["name"]).where(rows["entity_type"].eqNullSafe(asking["entity_type"])).select("root", F.col("hint").alias("name"), asking["entity_type"]).groupBy("root", "name", "entity_type").agg(F.count("*").alias("n"))
+    meant = parsed(hints, nicknames, words, short).select(F.col("root").alias("r"), "key", "n").join(rooted.select("key", F.col("root").alias("person")), "key").join(many, F.col("r") == many["root"]).where("array_contains(fit, person)")
+    votes = meant.groupBy("r", "person").agg(F.sum("n").alias("n"))
+    return clear.unionByName(votes.groupBy(F.col("r").alias("root")).agg(F.max_by("person", F.struct("n", "person")).alias("settled")))
+
+
+def paired(held: DataFrame, key: str, block: int = _PAIR_BLOCK) -> DataFrame:
+    """All `id_a < id_b` of the distinct rows `id, key[, name]` of each key; with a column `name` only of different names.
+
+    A key of many rows is dealt into blocks, and each two blocks meet in a place of their own, so no task holds a whole key.
+    """
+    counts = held.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
+    dealt = held.join(counts, key).withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id", *(["name"] if "name" in held.columns else [])), F.col("blocks"))).otherwise(F.lit(0)).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = dealt.select(key, F.col("own").alias("p"), F.explode(others).alias("q"), *(F.col(c).alias(f"{c}_a") for c in held.columns if c != key))
+    b = dealt.select(key, F.explode(others).alias("p"), F.col("own").alias("q"), *(F.col(c).alias(f"{c}_b") for c in held.columns if c != key))
+    met = a.join(b, [key, "p", "q"]).where("id_a < id_b")
+    return (met.where("name_a <> name_b") if "name" in held.columns else met).select("id_a", "id_b").distinct()
 
 
 def pairs(classes: DataFrame) -> DataFrame:
     """`id_a, id_b` (id_a < id_b) of each pair of different ids of one class: what TESTDATA.md asks for."""
-    held = classes.select("id", "class").distinct()
-    many = held.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    held = held.join(many, "class")
-    return held.withColumnRenamed("id", "id_a").join(held.withColumnRenamed("id", "id_b"), "class").where("id_a < id_b").select("id_a", "id_b").distinct()
+    return paired(classes.select("id", "class").distinct(), "class")
 
 
 def names_of(master_row: DataFrame, assignment: DataFrame) -> DataFrame:
-    """`id, name, entity_type, trusted` of both tables; their ids never coincide. The hints of the assignments are not used."""
-    curated = master_row.select(F.col("row_ord").alias("id"), "name", "entity_type", F.lit(True).alias("trusted"))
-    return curated.unionByName(assignment.select(F.col("assign_id").alias("id"), F.col("original_name").alias("name"), "entity_type", F.lit(False).alias("trusted")))
+    """`id, name, entity_type, trusted, hint` of both tables; their ids never coincide."""
+    curated = master_row.select(F.col("row_ord").alias("id"), "name", "entity_type", F.lit(True).alias("trusted"), F.lit(None).cast("string").alias("hint"))
+    return curated.unionByName(assignment.select(F.col("assign_id").alias("id"), F.col("original_name").alias("name"), "entity_type", F.lit(False).alias("trusted"), F.col("suggested_name").alias("hint")))

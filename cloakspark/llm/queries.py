@@ -24,7 +24,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     named = name_variants.names_of(table(spark, sf, "master_row"), table(spark, sf, "assignment"))
-    return name_variants.pairs(name_variants.link_classes(named, table(spark, sf, "nickname")))
+    return name_variants.pairs(name_variants.link_classes(named, table(spark, sf, "nickname"), hint="hint"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -201,8 +201,8 @@ def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted"
     nicknames = nicknames_of(nickname)
     words, short = lines_of(frequent(rows.where("upper(trim(entity_type)) = 'ORGANIZATION'").select("name").distinct()))
     keyed = materialise(parsed(spread(distinct), nicknames, words, short))
-    nodes = keyed.groupBy("key").agg(F.max("trusted").alias("trusted"), F.first("kind").alias("kind"), F.first("parts").alias("parts"), F.first("initials").alias("initials"), F.first("lines").alias("lines"))
-
+    # tables that several steps read are written, so that no step's plan holds another's
+    nodes = materialise(keyed.groupBy("key").agg(F.max("trusted").alias("trusted"), F.first("kind").alias("kind"), F.first("parts").alias("parts"), F.first("initials").alias("initials"), F.first("lines").alias("lines")))
     vocabulary = nodes.select("kind", "trusted", F.explode("parts").alias("word")).groupBy("kind", "word").agg(F.count("*").alias("df"), F.max("trusted").alias("trusted"))
     vocabulary = materialise(vocabulary)
     similar = materialise(similar_words(vocabulary))
@@ -226,9 +226,9 @@ def link_classes(named: DataFrame, nickname: DataFrame, trusted: str = "trusted"
             moved = root.join(joined, "root", "left").select("key", F.coalesce("joint", "root").alias("root"))
             root = materialise(moved.unionByName(joined.select(F.col("root").alias("key"), F.col("joint").alias("root")).join(root.select("key"), "key", "left_anti")))
 
-    rooted = nodes.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = materialise(nodes.drop("trusted", "lines").join(root, "key", "left").withColumn("root", F.coalesce("root", "key")))
     settled = _settled(rooted, rewritten, rows, keyed, nicknames, words, short)
-    classes = rooted.select("key", "root").join(settled, "root", "left").select("key", F.coalesce("settled", "root").alias("class"))
+    classes = materialise(rooted.select("key", "root").join(settled, "root", "left").select("key", F.coalesce("settled", "root").alias("class")))
     held = keyed.select(F.col("name").alias("k_name"), F.col("entity_type").alias("k_type"), "key").join(classes, "key")
     return rows.join(held, (rows["name"] == held["k_name"]) & rows["entity_type"].eqNullSafe(held["k_type"])).select("id", "name", "class").distinct()
 

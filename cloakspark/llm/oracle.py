@@ -21,6 +21,13 @@ select g.group_no, coalesce(c.merge_id, 0) as category_row, coalesce(n.merge_id,
 from g left join c on g.group_no = c.group_no left join n on g.group_no = n.group_no left join s on g.group_no = s.group_no"""
 
 
+def _p1_votes() -> str:
+    return """
+with m as (select distinct merge_id, group_no, category, trust, edited_at from master_merge where group_no is not null and merge_id is not null and category in ('Staff', 'Vendor', 'Funder')),
+v as (select group_no, category, sum(coalesce(trust, 0) + 1) as weight, max(row(coalesce(trust, -1), coalesce(edited_at, timestamp '0001-01-01'), -merge_id)) as standing from m group by all)
+select group_no, category as value from (select *, row_number() over (partition by group_no order by weight desc, standing desc) as p from v) where p = 1"""
+
+
 def _p3() -> str:
     def words(text: str) -> str:
         bare = rf"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '([\p{{L}}\p{{N}}])[''‘’ʼ]([\p{{L}}\p{{N}}])', '\1\2', 'g'), '([\p{{L}}\p{{N}}])[''‘’ʼ]([\p{{L}}\p{{N}}])', '\1\2', 'g')"
@@ -58,4 +65,4 @@ with d as ({windows("doc_id", "text", "documents")}), e as ({windows("item_id",
 select distinct d.doc_id, e.item_id from d join e on d.run = e.run"""
 
 
-ORACLE: dict[str, str] = {"p1_found": _p1(), "p3_found": _p3(), "p5_found": _p5(), "p7_found": _p7()}
+ORACLE: dict[str, str] = {"p1_found": _p1(), "p1_votes": _p1_votes(), "p3_found": _p3(), "p5_found": _p5(), "p7_found": _p7()}

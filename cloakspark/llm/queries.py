@@ -14,6 +14,16 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.found(table(spark, sf, "master_merge"), table(spark, sf, "stand_in"))
 
 
+def p1_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """The same fields where trust adds up, so that many rows can outvote one."""
+    return survivor.voted(table(spark, sf, "master_merge"), table(spark, sf, "stand_in"))
+
+
+def p1_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """The category that the rows of a group vote for: a consensus of one token, which SQL can express."""
+    return survivor.voted(table(spark, sf, "master_merge"), table(spark, sf, "stand_in")).where("field = 'category'").select("group_no", "value")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return canon_map.found(table(spark, sf, "crosswalk"), table(spark, sf, "canon_name"), table(spark, sf, "nickname"))
 
@@ -43,4 +53,4 @@ def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitter.split_oversized(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consensus, p1_votes, p2_found, p3_found, p4_found, p5_found, p6_ids, p7_found, p8_pieces)}

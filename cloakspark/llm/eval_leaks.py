@@ -25,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .wordhash import Words, mix, words
+from .wordhash import Words, fold_table, mix, words
 
 CHUNK_BYTES = 8 << 20
-MAX_REPETITIONS = 512
+MAX_REPETITIONS = 64
 _BITS = 20
 
 
@@ -72,7 +72,8 @@ class _Walk:
                 if tries is None:
                     seen.append(sig)
                 else:
-                    ok = tries[sampled][(sig >> np.uint64(64 - _BITS)).astype(np.int64)]
+                    at_bit = (sig >> np.uint64(64 - _BITS)).astype(np.int64)
+                    ok = (tries[sampled][at_bit >> 3] >> (7 - (at_bit & 7)).astype(np.uint8)) & 1 > 0
                     left, at, sig, word = left[ok], at[ok], sig[ok], word[ok]
                 sampled += 1
             at = at + ((mix(word + self.step[j]) >> np.uint64(63)).astype(np.int64))
@@ -80,14 +81,15 @@ class _Walk:
 
 
 @lru_cache(maxsize=32)
-def _repetitions(n_words: int, samples: int, max_edits: int, recall: float, seed: int) -> int:
-    """How often to repeat until random windows with `max_edits` random edits between them meet with the recall asked for.
+def _repetitions(n_words: int, samples: int, max_edits: int, recall: float, seed: int) -> tuple[int, int]:
+    """How many places to sample and how often to repeat until random windows with `max_edits` random edits between them
+    meet with the recall asked for. Where that takes too many repetitions, fewer places are sampled, one at last.
 
     Measured with the very walks that will be used, on windows whose edits lie anywhere: what meets often and what seldom
     does is averaged as the recall is, not as the chance of one repetition.
     """
     if max_edits == 0:
-        return 1
+        return samples, 1
     rng, n_pairs = np.random.default_rng(seed), 1000
     left, right = [], []
     for _ in range(n_pairs):
@@ -105,8 +107,10 @@ def _repetitions(n_words: int, samples: int, max_edits: int, recall: float, seed
         sig = _Walk(n_words, samples, seed + 104729 * r, False).signatures(h, np.concatenate([half, half + n_pairs * n_words]), None)[1]
         met |= sig[:n_pairs] == sig[n_pairs:]
         if met.mean() >= recall:
-            return r + 1
-    raise ValueError(f"more than {MAX_REPETITIONS} repetitions for this recall; take fewer samples or edits")
+            return samples, r + 1
+    if samples == 1:
+        raise ValueError("windows with so many edits hardly share a word; take fewer edits or longer windows")
+    return _repetitions(n_words, samples - 1, max_edits, recall, seed)
 
 
 def _starts(w: Words, n: int) -> np.ndarray:
@@ -134,11 +138,12 @@ class _Index:
             by = defaultdict(list)
             for s, a in zip(sig.tolist(), left.tolist()):
                 by[s].append(a)
-            self.tries.append(maps)
+            self.tries.append([np.packbits(m) for m in maps])  # 128 KB a sampled place
             self.by_sig.append(dict(by))
 
     def letters(self, w: Words, first: int) -> list[bytes]:
-        return [w.letters[s : s + k].tobytes() for s, k in zip(w.start[first : first + self.n].tolist(), w.length[first : first + self.n].tolist())]
+        table, places = fold_table(), slice(first, first + self.n)
+        return [table[w.raw[s : s + k]].tobytes() for s, k in zip(w.begin[places].tolist(), w.span[places].tolist())]  # no sign is skipped within a word here
 
     def pairs(self, col: pa.Array) -> list[tuple[int, int]]:
         """(row, item id) of the rows of a column and the items that share a window."""
@@ -170,7 +175,7 @@ def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     other columns are ignored.
     """
     spark = docs.sparkSession
-    repetitions = _repetitions(n_words, samples, max_edits, recall, seed)
+    samples, repetitions = _repetitions(n_words, samples, max_edits, recall, seed)
     schema = "doc_id long, item_id long"
 
     def block(rows: list) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import Words, gather, mix, words
+from .wordhash import folded, gather, mix, words
 
 #: Signs that don't part a word when they stand within it.
 APOSTROPHES = "'‘’ʼ"
@@ -32,23 +32,25 @@ class _Records:
     def __init__(self, pooled: Sequence[pa.Array], key: Sequence[pa.Array], joining: str):
         parts = [(words(c, joining), 0) for c in pooled] + [(words(c, joining), 1) for c in key]
         self.n = parts[0][0].n_rows
-        base = np.cumsum([0] + [len(w.letters) for w, _ in parts])
-        self.letters = np.concatenate([w.letters for w, _ in parts])
-        start = np.concatenate([w.start + b for (w, _), b in zip(parts, base)])
+        base = np.cumsum([0] + [len(w.raw) for w, _ in parts])
+        self.raw = np.concatenate([w.raw for w, _ in parts])  # as read: nothing canonical is kept
+        begin = np.concatenate([w.begin + b for (w, _), b in zip(parts, base)])
+        span = np.concatenate([w.span for w, _ in parts])
         length = np.concatenate([w.length for w, _ in parts])
         row = np.concatenate([w.row for w, _ in parts])
-        field = np.concatenate([np.full(len(w.start), f, np.uint64) for w, f in parts])
-        one, two = (np.concatenate([w.hashes(s) for w, _ in parts]) for s in (0, 1))
+        field = np.concatenate([np.full(len(w.begin), f, np.uint64) for w, f in parts])
+        each = [(w.hashes(0, letters), w.hashes(1, letters)) for w, _ in parts for letters in (w.letters,)]
+        one, two = (np.concatenate([h[s] for h in each]) for s in (0, 1))
         one, two = mix(one + field * np.uint64(0xA24BAED4963EE407)), mix(two + field * np.uint64(0x9FB21C651E98DF25))
         self.h1, self.h2 = np.zeros(self.n, np.uint64), np.zeros(self.n, np.uint64)
         np.add.at(self.h1, row, one)
         np.add.at(self.h2, row, two)
         order = np.lexsort((one, field, row))
-        self.start, self.length, self.field = start[order], length[order], field[order]
+        self.begin, self.span, self.length, self.field = begin[order], span[order], length[order], field[order]
         self.first = np.searchsorted(row[order], np.arange(self.n + 1))
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether rows a[i] and b[i] hold the same words: both pointers walk the kept letters only."""
+        """Whether rows a[i] and b[i] hold the same words: two pointers walk their code points and skip what is no letter."""
         na, nb = self.first[a + 1] - self.first[a], self.first[b + 1] - self.first[b]
         ok = na == nb
         for pointers in (self._words, self._letters):
@@ -67,9 +69,8 @@ class _Records:
     def _letters(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.first[a + 1] - self.first[a]
         x, y = gather(self.first[a], n), gather(self.first[b], n)
-        each = self.length[x]
-        p, q = gather(self.start[x], each), gather(self.start[y], each)
-        return self.letters[p] != self.letters[q], np.repeat(np.repeat(np.arange(len(a)), n), each)
+        differ = folded(self.raw, self.begin[x], self.span[x]) != folded(self.raw, self.begin[y], self.span[y])
+        return differ, np.repeat(np.repeat(np.arange(len(a)), n), self.length[x])
 
 
 def _collapse(t: pa.Table, pooled: Sequence[str], key: Sequence[str], joining: str) -> pa.Table:

@@ -77,52 +77,71 @@ def codepoints(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """Words of a batch in reading order: folded letters, where each word's letters begin, its length and its row."""
+    """Words of a batch in reading order, as places in the code points that were read; no folded text is kept.
 
-    letters: np.ndarray
-    start: np.ndarray
+    `raw` holds all code points, `begin` and `span` where a word stands in them, signs that are skipped within it
+    included, `length` how many letters it has, `start` how many letters stand before it, `row` its row.
+    """
+
+    raw: np.ndarray
+    begin: np.ndarray
+    span: np.ndarray
     length: np.ndarray
     row: np.ndarray
     n_rows: int
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
+    @property
+    def start(self) -> np.ndarray:
+        return np.cumsum(self.length) - self.length
+
+    @property
+    def letters(self) -> np.ndarray:
+        """The folded letters of all words one after another, made when asked for."""
+        return folded(self.raw, self.begin, self.span)
+
+    def hashes(self, seed: int = 0, letters: np.ndarray | None = None) -> np.ndarray:
         """One 64-bit hash of each word."""
-        if not len(self.start):
+        if not len(self.begin):
             return np.zeros(0, np.uint64)
-        at = np.arange(len(self.letters), dtype=np.int64) - np.repeat(self.start, self.length)
-        term = (self.letters.astype(np.uint64) + np.uint64(0x51)) * powers(seed, int(self.length.max()))[at]
-        return mix(np.add.reduceat(term, self.start) ^ (self.length.astype(np.uint64) * _BASE[1 - seed]))
+        letters, start = self.letters if letters is None else letters, self.start
+        at = np.arange(len(letters), dtype=np.int64) - np.repeat(start, self.length)
+        term = (letters.astype(np.uint64) + np.uint64(0x51)) * powers(seed, int(self.length.max()))[at]
+        return mix(np.add.reduceat(term, start) ^ (self.length.astype(np.uint64) * _BASE[1 - seed]))
 
     def first_of_row(self) -> np.ndarray:
         """The number of the first word of each row, and the number of all words at the end."""
         return np.searchsorted(self.row, np.arange(self.n_rows + 1))
 
 
+def folded(raw: np.ndarray, begin: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """The letters of slices of code points through the table, what it skips left out."""
+    fold = fold_table()[raw[gather(begin, span)]]
+    return fold[fold > 0]
+
+
 def words(col: pa.Array, joining: str = "") -> Words:
     """Words of each row. A sign of `joining` between two letters or digits is skipped without parting the word."""
     cps, off = codepoints(col)
     fold = fold_table()[cps]
+    kept = fold > 0
+    inside = kept  # letters, and signs that don't part a word
     if joining and len(cps) > 2:
-        inner = np.isin(cps[1:-1], np.array([ord(x) for x in joining], np.uint32)) & (fold[:-2] > 0) & (fold[2:] > 0)
+        inner = np.isin(cps[1:-1], np.array([ord(x) for x in joining], np.uint32)) & kept[:-2] & kept[2:]
         if inner.any():
-            drop = np.flatnonzero(inner) + 1
-            row = np.searchsorted(off, drop, side="right")
+            skip = np.flatnonzero(inner) + 1
+            row = np.searchsorted(off, skip, side="right")
             # a sign at the very edge of a row touches another row's letter, so it stays a sign
-            drop = drop[(off[row - 1] < drop) & (drop < off[row] - 1)]
-            keep = np.ones(len(cps), bool)
-            keep[drop] = False
-            fold = fold[keep]
-            off = off - np.searchsorted(drop, off)
-    kept = fold > 0
-    before = np.concatenate([[False], kept[:-1]]) if len(kept) else kept
-    before[off[:-1][off[:-1] < len(kept)]] = False
-    begins = kept & ~before
-    letters = fold[kept]
-    at = np.flatnonzero(begins)
-    start = (np.cumsum(kept) - 1)[at] if len(at) else np.zeros(0, np.int64)
-    length = np.diff(np.append(start, len(letters)))
-    row = np.searchsorted(off, at, side="right") - 1
-    return Words(letters, start, length, row, len(off) - 1)
+            skip = skip[(off[row - 1] < skip) & (skip < off[row] - 1)]
+            inside = kept.copy()
+            inside[skip] = True
+    before = np.concatenate([[False], inside[:-1]]) if len(inside) else inside
+    before[off[:-1][off[:-1] < len(inside)]] = False
+    begin = np.flatnonzero(inside & ~before)
+    upto = np.concatenate([[0], np.cumsum(inside)])
+    # a word's span ends before the next sign that parts, or the next row
+    span = np.diff(np.append(upto[begin], upto[-1]))
+    count = np.concatenate([[0], np.cumsum(kept)])
+    return Words(cps, begin, span, count[begin + span] - count[begin], np.searchsorted(off, begin, side="right") - 1, len(off) - 1)
 
 
 def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:

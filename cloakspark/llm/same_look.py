@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookalike import tables
+from .name_variants import paired
 
 
 def folded(column: str) -> Column:
@@ -66,13 +67,11 @@ def pairs(named: DataFrame) -> DataFrame:
     """`id_a, id_b` (id_a < id_b) of the ids of a table `id, name` whose names look the same but differ in a character.
 
     A name delivered twice under one id counts once; an id that carries several names pairs by each. Classes of one
-    spelling are gone before ids come in, so the join handles only names that have a look-alike.
+    spelling are gone before ids come in, so the join handles only names that have a look-alike; a class of many rows is paired in blocks.
     """
     rows = named.select(F.col("id").cast("long").alias("id"), F.col("name").cast("string").alias("name")).where("id is not null and name is not null").distinct()
     alike = canonical_forms(rows, "name").where("n_spellings > 1").select(F.col("value").alias("name"), "canonical")
-    held = rows.join(alike, "name")
-    a, b = (held.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "name")), "canonical") for s in "ab")
-    return a.join(b, "canonical").where("id_a < id_b and name_a <> name_b").select("id_a", "id_b").distinct()
+    return paired(rows.join(alike, "name").select("id", "name", "canonical"), "canonical")
 
 
 def names_of(master_row: DataFrame, assignment: DataFrame) -> DataFrame:

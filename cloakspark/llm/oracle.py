@@ -65,4 +65,4 @@ with d as ({windows("doc_id", "text", "documents")}), e as ({windows("item_id",
 select distinct d.doc_id, e.item_id from d join e on d.run = e.run"""
 
 
-ORACLE: dict[str, str] = {"p1_found": _p1(), "p1_votes": _p1_votes(), "p3_found": _p3(), "p5_found": _p5(), "p7_found": _p7()}
+ORACLE: dict[str, str] = {"p1_found": _p1(), "p1_votes": _p1_votes(), "p3_found": _p3(), "p5_found": _p5(), "p6_decode": "select doc_id, coalesce(text, '') as text from documents", "p7_found": _p7()}

@@ -3,7 +3,8 @@
 `encode_corpus` splits texts into the tokenizer's words, encodes each distinct word of the corpus once, and joins the
 ids back by position. Texts travel in chunks of bounded size; each chunk ships only its distinct words to the word
 table and gets a dictionary back, so the shuffle carries the texts once and a fraction of their words, not one row per
-token. `decode_corpus` is the way back, a join of ids with the id-to-piece table.
+token. A word of very many chunks is answered from a counted table that is sent to the tasks, so its chunks never meet in
+one. Partitions of chunks are counted by bytes, so what a task holds doesn't grow with the corpus. `decode_corpus` is the way back, a join of ids with the id-to-piece table.
 """
 
 from __future__ import annotations
@@ -21,12 +22,20 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: Where the public vocabulary files lie, and which one is used; both are parameters.
 TOKENIZER_DIR = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
 # Fixed value: how byte-level BPE vocabularies of this family part a text into words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK_BYTES = 4 << 20
+#: Texts that a task puts together from chunks, in bytes.
+TASK_BYTES = 16 << 20
+#: A word of more chunks than this is looked up where its chunk is, and not joined.
+HOT_CHUNKS = 10_000
+#: Words in the table sent to the tasks for that, the commonest first; about 10 MB. The rest is joined, hot or not.
+HOT_WORDS = 100_000
 
 
 def vocabulary_path(vocabulary: str = VOCABULARY, directory: str | None = None) -> str:
@@ -74,7 +83,7 @@ def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_table(words: DataFrame, path: str) -> DataFrame:
-    """`word, ids` of each distinct word: the only place where the tokenizer runs."""
+    """`word, ids` of each row, one for each distinct word: the only place where the tokenizer runs."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -82,10 +91,22 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
             ids = [enc.encode_ordinary(w) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    return words.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
+    return words.select("word").mapInArrow(encode, "word string, ids array<int>")
+
+
+def _dictionary(words: DataFrame, path: str, hot_chunks: int) -> DataFrame:
+    """`chunk, word, ids` of `chunk, word`, each distinct word encoded once."""
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    if words.select("chunk").distinct().count() <= hot_chunks:  # so no word can have more
+        return words.join(word_table(counts, path), "word").select("chunk", "word", "ids")
+    common = counts.where((F.col("n") > hot_chunks) & (F.length("word") <= 256)).orderBy(F.desc("n"), "word").limit(HOT_WORDS)  # the limit is the feature: what isn't sent is joined
+    hot = materialise(word_table(common, path))
+    rest = words.join(F.broadcast(hot.select("word")), "word", "left_anti")
+    joined = rest.join(word_table(rest.select("word").distinct(), path), "word")
+    return words.join(F.broadcast(hot), "word").select("chunk", "word", "ids").unionByName(joined.select("chunk", "word", "ids"))
 
 
-def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, hot_chunks: int = HOT_CHUNKS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """`doc_id, ids` of each row. Null and empty texts have the empty list; blank ones have tokens like any other.
 
     `doc_id` names a row and should be unique; rows that repeat an id come out as often as they came in. An empty
@@ -95,8 +116,11 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # both passes read the same rows in the same order; a word that a chunk's dictionary should lack is encoded on the spot
     texts = rows.mapInArrow(_chunked, "chunk long, id long, text string")
-    words = rows.mapInArrow(_chunk_words, "chunk long, word string")
-    dictionary = words.join(word_table(words, path), "word").select("chunk", "word", "ids")
+    words = materialise(rows.mapInArrow(_chunk_words, "chunk long, word string"))  # split once, read by the counts and by the join
+    dictionary = _dictionary(words, path, hot_chunks)
+    spark = docs.sparkSession
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
 
     def assemble(texts: pa.Table, entries: pa.Table) -> pa.Table:
         split, lists = word_pattern().findall, entries["ids"].combine_chunks()
@@ -126,6 +150,7 @@ def encode_corpus(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         ids = pa.ListArray.from_arrays(pa.array(total[np.array(ends)], pa.int32()), pa.array(flat[where], pa.int32()))
         return pa.table([texts["id"], ids], names=["doc_id", "ids"])
 
+    texts, dictionary = (df.repartition(parts, "chunk") for df in (texts, dictionary))
     return texts.groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(assemble, "doc_id long, ids array<int>")
 
 

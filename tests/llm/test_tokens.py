@@ -33,6 +33,12 @@ def test_json_vocabulary_agrees(spark):
     assert got == [t.encode(x or "", add_special_tokens=False).ids for x in ODD]
 
 
+def test_hot_words_and_many_partitions(spark):
+    df = docs(spark, [*ODD, *(f"the same words {i}" for i in range(50))]).repartition(6)
+    got = {r.doc_id: r.ids for r in K.encode_corpus(df, hot_chunks=1, task_bytes=50).collect()}
+    assert got == {r.doc_id: ENC.encode_ordinary(r.text or "") for r in df.collect()}
+
+
 def test_round_trip(spark):
     back = {r.doc_id: r.text for r in K.decode_corpus(K.encode_corpus(docs(spark, ODD)), part=100).collect()}
     assert back == {i: t or "" for i, t in enumerate(ODD)}

@@ -7,10 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_text, col
+from .text import COMPANY_FORMS, clean_text, col
 
-# Company forms that stand for one another.
-COMPANY_FORMS = {"ltd": ["ltd", "limited"], "inc": ["inc", "incorporated"], "corp": ["corp", "corporation"], "co": ["co", "company"], "llc": ["llc"], "plc": ["plc"]}
 _EACH = {form: forms for forms in COMPANY_FORMS.values() for form in forms}
 
 

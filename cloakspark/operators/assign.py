@@ -28,7 +28,7 @@ def assign(names: DataFrame, master: DataFrame | None, settings: Settings = DEFA
     out = joined.withColumn("auto", F.col("pseudonym").isNull()).withColumn("pseudonym", F.coalesce("pseudonym", auto_pseudonym("entity_type", "norm_name", settings.auto_hash_length, settings.auto_prefixes)))
     blank = {"suggested_pseudonym": "string", "suggested_name": "string", "suggested_score": "double"}
     if master is not None and with_hints:
-        ordered = master.withColumn("cand_ord", F.xxhash64("entity_type", "norm_name")) if "cand_ord" not in master.columns else master
+        ordered = master.withColumn("cand_ord", F.col("norm_name")) if "cand_ord" not in master.columns else master  # a list without an order goes by name
         found = hints(joined.where("pseudonym is null").select("entity_type", "norm_name"), ordered, settings.fuzzy_threshold, settings.length_slack)
         out = out.join(found, ["entity_type", "norm_name"], "left")
     else:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from uuid import uuid4
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +95,9 @@ def patterns_and_words(texts: DataFrame, entities: Iterable[str], words: Iterabl
 
 def _scan(texts: DataFrame, parts: list[tuple[Column, Column]], in_lower_case: bool = False) -> DataFrame:
     """One pass for all parts: texts without any sign go first, and a part's spans are made only in texts with its sign."""
-    if not parts:
-        return texts.sparkSession.createDataFrame([], DETECTION)
+    if not parts:  # nothing asked for: no rows, and no scan
+        nothing = texts.where("false").select("text_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("hit"))
+        return _shaped(nothing, "", 0.0, "")
     rows = with_text(texts).select("text_id", "text", *([F.explode(F.array(_low(F.col("text")))).alias("low")] if in_lower_case else []))
     none = F.expr("cast(array() as array<struct<seq:int,entity_type:string,start:int,end:int,score:double,text:string,source:string>>)")
     held = reduce(lambda a, b: a | b, (sign for sign, _ in parts))
@@ -134,38 +137,50 @@ def _by_automaton(texts: DataFrame, keys: DataFrame, max_keys: int) -> DataFrame
     table: dict[str, list[str]] = {}
     for r in rows:
         table.setdefault(r["key"], []).append(r["entity_type"])
-    held = spark.sparkContext.broadcast(table)
+    held, name = spark.sparkContext.broadcast(table), uuid4().hex
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for k, types in held.value.items():
-            machine.add_word(k, (len(k), types))
-        if len(machine):
-            machine.make_automaton()
+        machine = _machine(name, held)
         for b in batches:
-            ids, types, starts, ends, found = [], [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if len(machine) else ():
-                low = text.replace("İ", "i").lower()
-                n = len(low)
+            rows, types, starts, ends, found, around = [], [], [], [], [], []
+            for i, (text, low) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())) if len(machine) else ():
                 for last, (size, kinds) in machine.iter(low):
                     s, e = last + 1 - size, last + 1
-                    if (s and _is_word(low[s - 1])) or (e < n and _is_word(low[e])):
+                    beside = low[s - 1 : s] + low[e : e + 1] if s else low[e : e + 1]
+                    if beside.isascii() and any(c.isalnum() or c == "_" for c in beside):
                         continue
                     for k in kinds:
-                        ids.append(i)
+                        rows.append(i)
                         types.append(k)
                         starts.append(s)
                         ends.append(e)
                         found.append(text[s:e])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(types, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(found, pa.string())], ["text_id", "entity_type", "start", "end", "hit"])
+                        around.append(beside)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(types, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(found, pa.string()), pa.array(around, pa.string())], ["text_id", "entity_type", "start", "end", "hit", "beside"])
+
+    # lower case and word characters are the JVM's, as in the join, so that both strategies give the same rows
+    rows = with_text(texts).select("text_id", "text", lowered("text").alias("low"))
+    hits = rows.mapInArrow(scan, f"text_id {rows.schema['text_id'].dataType.simpleString()}, entity_type string, start int, end int, hit string, beside string")
+    return hits.where(~F.col("beside").rlike(WORD)).drop("beside")
 
-    return with_text(texts).select(F.col("text_id").cast("long").alias("text_id"), "text").mapInArrow(scan, "text_id long, entity_type string, start int, end int, hit string")
 
+#: The automaton of the list that this worker saw last, by the list's name.
+_MACHINES: dict = {}
 
-def _is_word(c: str) -> bool:
-    return c.isalnum() or c == "_"
+
+def _machine(name: str, held: Broadcast):
+    """The automaton of a list, built once for a worker and not for each of its tasks."""
+    if name not in _MACHINES:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for k, types in held.value.items():
+            machine.add_word(k, (len(k), types))
+        if len(machine):
+            machine.make_automaton()
+        _MACHINES.clear()
+        _MACHINES[name] = machine
+    return _MACHINES[name]
 
 
 _LEVELS = 3

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.aliases import aliases
 from ..functions.text import clean_id, clean_name, clean_text, curated_pseudonym, normalize_name
+from ..session import materialise, numbered
 from ..settings import DEFAULTS, Settings
 
 # Ordinary English words that a name of one word may collide with.
@@ -21,6 +22,8 @@ COMMON_WORDS = frozenset(
     you your yours yourself yourselves""".split()
 )
 EXAMPLES = 5
+#: Rows that one sheet may have; places of different sheets never meet.
+ROWS = 1 << 40
 
 
 def _table(pairs: dict[str, str]):
@@ -31,7 +34,7 @@ def parse_sheets(sheets: dict[str, DataFrame], settings: Settings = DEFAULTS) ->
     """Rows of all sheets: `row_ord, category, name, entity_type, pseudonym`.
 
     `sheets` maps a sheet's name to its table with `Name` and, if it has them, `Category`, `Internal ID` and a `row_id`
-    that gives the order. Blank names and rows of another category than the sheet's are dropped; a missing sheet is
+    that gives the order, else rows are numbered as they stand. Blank names and rows of another category than the sheet's are dropped; a missing sheet is
     skipped; categories come in the order of the settings.
     """
     parts = []
@@ -44,22 +47,31 @@ def parse_sheets(sheets: dict[str, DataFrame], settings: Settings = DEFAULTS) ->
         own = F.col("Category") if "Category" in df.columns else F.lit(category)
         dtype = dict(df.dtypes).get("Internal ID")
         internal = clean_id("`Internal ID`", dtype) if dtype else F.lit(None).cast("string")
-        row = F.col("row_id").cast("long") if "row_id" in df.columns else F.monotonically_increasing_id()
-        parts.append(df.select(F.lit(order).alias("sheet_ord"), row.alias("row_id"), clean_text(own).alias("category"), clean_name("Name").alias("name"), internal.alias("internal_id")).where((F.col("category") == category) & (F.col("name") != "")))
+        if "row_id" not in df.columns:
+            df = numbered(df, "row_id")
+        parts.append(df.select(F.lit(order).alias("sheet_ord"), F.lit(category).alias("wanted"), F.col("row_id").cast("long").alias("row_id"), clean_text(own).alias("category"), clean_name("Name").alias("name"), internal.alias("internal_id")))
     if not parts:
         raise ValueError("no sheet of the master list is there")
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
+    return _parsed(df, settings)
+
+
+def _parsed(df: DataFrame, settings: Settings) -> DataFrame:
+    """List rows from `sheet_ord, wanted, row_id, category, name, internal_id`."""
     prefixes, types = _table(settings.prefix_of), _table(settings.entity_of)
-    order = (F.col("sheet_ord").cast("long") * (1 << 40) + F.col("row_id")).alias("row_ord")
-    return df.select(order, "category", "name", F.element_at(types, F.col("category")).alias("entity_type"), curated_pseudonym(F.element_at(prefixes, F.col("category")), F.col("internal_id")).alias("pseudonym"))
+    place = F.when(F.col("row_id").between(0, ROWS - 1), F.col("row_id")).otherwise(F.raise_error(F.format_string("row_id %s is not within 0 and 2^40 - 1, so it can't be a place in a sheet", F.col("row_id").cast("string"))))
+    order = (F.col("sheet_ord").cast("long") * ROWS + place).alias("row_ord")
+    kept = df.where((F.col("category") == F.col("wanted")) & (F.col("name") != ""))
+    return kept.select(order, "category", "name", F.element_at(types, F.col("category")).alias("entity_type"), curated_pseudonym(F.element_at(prefixes, F.col("category")), F.col("internal_id")).alias("pseudonym"))
 
 
 def from_raw_sheet(sheet: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Rows of one table that holds all sheets, with a column `sheet` that says which."""
-    named = sheet.select("sheet", "row_id", F.col("category").alias("Category"), F.col("internal_id").alias("Internal ID"), F.col("name").alias("Name"))
-    return parse_sheets({s: named.where(F.col("sheet") == s) for s in settings.sheets.values()}, settings)
+    """Rows of one table that holds all sheets, with a column `sheet` that says which; read once."""
+    of = F.create_map(*(x for order, (category, name) in enumerate(settings.sheets.items()) for x in (F.lit(name), F.struct(F.lit(order).alias("sheet_ord"), F.lit(category).alias("wanted")))))
+    named = sheet.select(F.try_element_at(of, F.col("sheet")).alias("s"), F.col("row_id").cast("long").alias("row_id"), clean_text("category").alias("category"), clean_name("name").alias("name"), clean_id("internal_id").alias("internal_id"))
+    return _parsed(named.where("s is not null").select("s.sheet_ord", "s.wanted", "row_id", "category", "name", "internal_id"), settings)
 
 
 def master_map(rows: DataFrame) -> DataFrame:
@@ -69,18 +81,19 @@ def master_map(rows: DataFrame) -> DataFrame:
     key, and a later row of the same pseudonym renews the entry; aliases fill what is free, by row and then by their order.
     `cand_ord` is the order of the list: names by the first row that has the key, then aliases.
     """
-    curated = rows.where("pseudonym is not null and entity_type is not null").withColumn("forms", aliases("name"))
-    each = curated.select("row_ord", "category", "name", "entity_type", "pseudonym", F.posexplode("forms").alias("form_ord", "form")).withColumn("norm_name", normalize_name("form"))
+    curated = rows.where("pseudonym is not null and entity_type is not null")
     key = ["entity_type", "norm_name"]
-    first = F.min_by("pseudonym", F.when(F.col("form_ord") == 0, F.col("row_ord")))
-    # one entry: of the names the last row of the first row's pseudonym, else the first alias
-    names = each.where("form_ord = 0")
-    holder = names.groupBy(*key).agg(first.alias("pseudonym"), F.min("row_ord").alias("first_ord"))
-    entry = names.join(holder, [*key, "pseudonym"]).groupBy(*key, "pseudonym", "first_ord").agg(F.max_by("category", "row_ord").alias("category"), F.max_by("name", "row_ord").alias("display_name"))
-    ranked = each.where("form_ord > 0").groupBy(*key).agg(F.min_by(F.struct("pseudonym", "category", F.col("name").alias("display_name")), F.struct("row_ord", "form_ord")).alias("e"), F.min(F.struct("row_ord", "form_ord")).alias("o"))
     order = lambda alias, row, form: F.struct(F.lit(alias).alias("alias"), F.col(row).alias("row_ord"), form.cast("int").alias("form_ord")).alias("cand_ord")
-    free = ranked.join(entry, key, "left_anti").select(*key, "e.pseudonym", "e.category", "e.display_name", order(True, "o.row_ord", F.col("o.form_ord")))
-    return entry.select(*key, "pseudonym", "category", "display_name", order(False, "first_ord", F.lit(0))).unionByName(free)
+    # one row for each spelling of a name, so a name typed many times is expanded once and weighs as one in the joinless rest
+    spelt = curated.groupBy("entity_type", "name", "pseudonym").agg(F.min("row_ord").alias("first_ord"), F.min_by("category", "row_ord").alias("first_category"), F.max("row_ord").alias("last_ord"), F.max_by("category", "row_ord").alias("last_category"))
+    # a name's entry: of its rows with the first row's pseudonym the last
+    latest = F.max_by(F.struct(F.col("last_category").alias("category"), F.col("name").alias("display_name")), "last_ord")
+    names = spelt.groupBy("entity_type", normalize_name("name").alias("norm_name"), "pseudonym").agg(F.min("first_ord").alias("first_ord"), latest.alias("e"))
+    names = names.select(*key, "pseudonym", "e.category", "e.display_name", order(False, "first_ord", F.lit(0)))
+    forms = spelt.select("entity_type", "pseudonym", F.col("first_category").alias("category"), F.col("name").alias("display_name"), "first_ord", F.posexplode(aliases("name")).alias("form_ord", "form")).where("form_ord > 0")
+    forms = forms.select("entity_type", normalize_name("form").alias("norm_name"), "pseudonym", "category", "display_name", order(True, "first_ord", F.col("form_ord")))
+    entry = F.min_by(F.struct("pseudonym", "category", "display_name", "cand_ord"), "cand_ord")
+    return names.unionByName(forms).groupBy(*key).agg(entry.alias("e")).select(*key, "e.pseudonym", "e.category", "e.display_name", "e.cand_ord")
 
 
 def dictionary(rows: DataFrame) -> DataFrame:
@@ -134,6 +147,7 @@ def ambiguous_words(rows: DataFrame) -> DataFrame:
 
 def quality_report(rows: DataFrame) -> DataFrame:
     """Up to five findings about the list (kinds, severities, titles and examples are fixed values): `kind, severity, title, detail, examples, total`; none that doesn't occur."""
+    rows = materialise(rows)  # read by each finding twice, for the total and for the first examples
     tick = lambda c: F.concat(F.lit("`"), F.col(c), F.lit("`"))
     listed = lambda c: F.array_join(c, ", ")
     of_category = F.concat(F.lit(" ("), F.col("category"), F.lit(")"))

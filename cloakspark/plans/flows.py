@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import normalize_name, normalize_page_text, page_offsets, to_raw_span
+from ..functions.text import normalize_name, normalize_page_text, page_offsets, search_variants, to_raw_span
 from ..operators import assign as A
 from ..operators import detect, resolve, splice
 from ..session import materialise
@@ -20,11 +20,12 @@ PSEUDONYMIZE, BLACKOUT = "pseudonymize", "blackout"
 
 @dataclass(frozen=True)
 class Result:
-    """`redacted` texts or table, `findings` that stand, the `crosswalk` of the run. Keep the crosswalk apart: it names people."""
+    """`redacted` texts or table, `findings` that stand, the `crosswalk` of the run, and `boxes` to draw on pages. Keep the crosswalk apart: it names people."""
 
     redacted: DataFrame
     findings: DataFrame
     crosswalk: DataFrame
+    boxes: DataFrame | None = None
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -41,10 +42,14 @@ def unpivot(df: DataFrame, columns: Sequence[str], row_id: str = "row_id") -> Da
     return df.select(F.col(row_id).cast("long").alias("row_id"), F.explode(cells).alias("c")).select("row_id", "c.col_pos", "c.column", "c.text")
 
 
-def distinct_texts(cells: DataFrame, n_columns: int) -> DataFrame:
-    """`text_id, text`: each distinct text once, named after its first cell, column by column."""
-    place = F.col("row_id") * n_columns + F.col("col_pos")
-    return cells.where("text rlike '(?U)\\\\S'").groupBy("text").agg(F.min(place).alias("text_id"))
+def with_text_ids(cells: DataFrame) -> DataFrame:
+    """Cells that aren't blank with a `text_id` that equal texts share: 256 bits of SHA-2, so whole texts are sorted and joined by it."""
+    return cells.where("text rlike '(?U)\\\\S'").withColumn("text_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+
+
+def distinct_texts(cells: DataFrame) -> DataFrame:
+    """`text_id, text`: each distinct text once. The only shuffle that carries texts, folded before it."""
+    return cells.groupBy("text_id").agg(F.first("text").alias("text"))
 
 
 def documents_detector(rows: DataFrame, settings: Settings = DEFAULTS, entities: Iterable[str] | None = None):
@@ -74,31 +79,32 @@ def cells(df: DataFrame, detector: detect.Detector, master: DataFrame | None, co
     Cells without a finding and columns not scanned keep their values and types.
     """
     chosen = [c for c in (columns or [c for c in text_columns(df) if c != row_id]) if c in df.columns]
-    long = unpivot(df, chosen, row_id)
-    texts = distinct_texts(long, max(1, len(chosen)))
+    long = with_text_ids(unpivot(df, chosen, row_id))
+    texts = distinct_texts(long)
+    places = long.select("row_id", "col_pos", "column", "text_id")
     spans = materialise(detector(texts))  # read by the crosswalk and by the splicing; far smaller than the texts
-    with_spans = texts.join(spans.select("text_id").distinct(), "text_id")
-    hit = long.join(with_spans, "text")
-    findings = hit.select("row_id", "col_pos", "column", "text_id").join(spans, "text_id")
+    with_spans = texts.join(spans.select("text_id").distinct(), "text_id", "left_semi")
+    findings = places.join(spans, "text_id")
     # the first surface form of a name: column by column, row by row, and the rightmost in a cell
     named = findings.select("entity_type", "text", "col_pos", "row_id", (-F.col("start")).alias("from_right"))
     assigned = A.assign(A.distinct_names(named, ["col_pos", "row_id", "from_right"]), master, settings, with_hints)
     done = splice.redact(with_spans, _values(spans, assigned)).select("text_id", "redacted")
-    changed = hit.select("row_id", "column", "text_id").join(done, "text_id").groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "redacted"))).alias("new"))  # a row has a bounded number of columns
+    changed = places.join(done, "text_id").groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "redacted"))).alias("new"))  # a row has a bounded number of columns
     out = df.join(changed.withColumnRenamed("row_id", "__row"), F.col(row_id).cast("long") == F.col("__row"), "left")
     redacted = out.select(*(F.coalesce(F.col("new")[c], F.col(f"`{c}`").cast("string")).alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns), F.coalesce(F.array_sort(F.map_keys("new")), F.expr("cast(array() as array<string>)")).alias("changed"))
     return Result(redacted, findings, assigned)
 
 
 def _unit_id(units: DataFrame) -> DataFrame:
-    return units.withColumn("text_id", F.col("doc_id").cast("long") * (1 << 20) + F.col("unit_idx"))
+    """A text is named by its document and its place in it, both whole, so no two have one name."""
+    return units.withColumn("text_id", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("unit_idx").cast("long").alias("unit_idx")))
 
 
 def _units_result(units: DataFrame, spans: DataFrame, assigned: DataFrame, raw: DataFrame, style: str) -> Result:
     values = splice.blacked_out(raw) if style == BLACKOUT else _values(raw, assigned)
     done = splice.redact(units, values.select("text_id", "start", "end", "value"))
-    back = [F.shiftright("text_id", 20).alias("doc_id"), F.col("text_id").bitwiseAND((1 << 20) - 1).cast("int").alias("unit_idx")]
-    return Result(done.drop("text_id"), spans.select(*back, *spans.columns[1:]), assigned)
+    back = [F.col("text_id.doc_id").alias("doc_id"), F.col("text_id.unit_idx").cast(dict(units.dtypes)["unit_idx"]).alias("unit_idx")]
+    return Result(done.drop("text_id"), spans.select(*back, *(c for c in spans.columns if c != "text_id")), assigned)
 
 
 def raw_spans(units: DataFrame, spans: DataFrame) -> DataFrame:
@@ -111,8 +117,34 @@ def raw_spans(units: DataFrame, spans: DataFrame) -> DataFrame:
     return each.select("text_id", *(F.col(f"m.raw.{c}" if c in ("start", "end") else f"m.d.{c}").alias(c) for c in spans.columns if c != "text_id"))
 
 
-def pages(units: DataFrame, words: Iterable[str] = (), style: str = PSEUDONYMIZE, settings: Settings = DEFAULTS) -> Result:
-    """Pages `doc_id, unit_idx, text`: patterns and typed words on the running text, replaced in the raw text. No list is used."""
+def image_boxes(units: DataFrame) -> DataFrame:
+    """`doc_id, unit_idx, image_idx, x0, y0, x1, y1, fill` of every image of pages with `images array<struct<x0,y0,x1,y1>>`.
+
+    An image is covered by a black box of its own size, whatever the style of the text; null and empty lists have none.
+    """
+    each = units.select("doc_id", "unit_idx", F.posexplode("images").alias("image_idx", "box")).where("box is not null")
+    return each.select("doc_id", "unit_idx", "image_idx", *(F.col(f"box.{c}").cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")), F.lit("black").alias("fill"))
+
+
+def searched(found: DataFrame, page: str = "page", text: str = "text", raw: str | None = None) -> DataFrame:
+    """The rows with `candidate`, what to look for on the page, and `n_places`, how often it stands there.
+
+    Tried are the text found, its variants, then what stands at its place in the raw page, and the variants of that; the
+    first that the page holds, in any case of letters, is taken. Null and 0 if it holds none.
+    """
+    tried = [F.array(F.col(text)), search_variants(text)] + ([F.array(F.col(raw)), search_variants(raw)] if raw else [])
+    low = F.lower(F.col(page))
+    fits = F.filter(F.array_distinct(F.concat(*tried)), lambda c: low.contains(F.lower(c)))
+    out = found.withColumn("candidate", F.try_element_at(fits, F.lit(1)))
+    sought = F.lower("candidate")
+    return out.withColumn("n_places", F.coalesce((F.length(low) - F.length(F.replace(low, sought, F.lit("")))) / F.length(sought), F.lit(0)).cast("int"))
+
+
+def pages(units: DataFrame, words: Iterable[str] = (), style: str = PSEUDONYMIZE, settings: Settings = DEFAULTS, redact_images: bool = False) -> Result:
+    """Pages `doc_id, unit_idx, text[, images]`: patterns and typed words on the running text, replaced in the raw text. No list is used.
+
+    With `redact_images` the result has the boxes that cover the images, in either style and whether or not words are found.
+    """
     ids, words = _unit_id(units), tuple(words)
     plain = ids.select("text_id", F.explode(F.array(normalize_page_text("text"))).alias("text"))  # a generator, so that it is worked out once and not in every expression that reads it
     found = materialise(detect.patterns_and_words(plain, settings.entities, words, settings.pattern_score, settings.custom_score))  # one pass over the pages; far smaller than they are
@@ -121,7 +153,8 @@ def pages(units: DataFrame, words: Iterable[str] = (), style: str = PSEUDONYMIZE
     ranked = spans.withColumn("p", resolve.priority())
     assigned = A.assign(A.distinct_names(ranked, ["text_id", "p", "start"]), None, settings)
     raw = raw_spans(ids, spans)
-    return _units_result(ids, spans, assigned, raw, style)
+    result = _units_result(ids, spans, assigned, raw, style)
+    return replace(result, boxes=image_boxes(units)) if redact_images and "images" in units.columns else result
 
 
 def blocks(units: DataFrame, detector: detect.Detector, master: DataFrame | None, words: Iterable[str] = (), settings: Settings = DEFAULTS, with_hints: bool = True) -> Result:

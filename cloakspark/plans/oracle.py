@@ -55,8 +55,17 @@ def _aliases(x: str) -> str:
     return f"case when {text} = '' then [] else list_prepend({text}, {rest}) end"
 
 
-_MEMO = "memos as (select o_orderkey as row_id, c_custkey, c_acctbal, c_name, 'Paid to ' as head, ' by ' || o_orderpriority as tail from orders join customer on o_custkey = c_custkey)"
-_MEMO_ID = f"case when c_acctbal >= 0 then 'STF-' || c_custkey else {_auto(_q('PERSON'), 'lower(c_name)')} end"
+_MEMO = """memos as (select o_orderkey as row_id, c_custkey, c_acctbal, c_name, c_custkey % 10 = 9 as longer, case when c_custkey % 10 = 9 then 'Paid ' else 'Paid to ' end as head,
+  case when c_custkey % 10 = 9 then 'to ' else '' end || c_name as first_name, ' by ' || o_orderpriority || ' / ' as mid from orders join customer on o_custkey = c_custkey)"""
+_OWN_ID = f"case when c_acctbal >= 0 then 'STF-' || c_custkey else {_auto(_q('PERSON'), 'lower(c_name)')} end"
+_FIRST_ID = f"case when longer then 'STF-L' || c_custkey else {_OWN_ID} end"
+_REDACTED = f"head || {_FIRST_ID} || mid || {_OWN_ID}"
+_FOUND = f"""found as (select row_id, first_name as name, {_FIRST_ID} as pseudonym, not longer and c_acctbal < 0 as auto from memos
+  union all select row_id, c_name, {_OWN_ID}, c_acctbal < 0 from memos), names as (select distinct name, pseudonym, auto from found)"""
+# a hint is made if a curated name of like length shares enough letters at both ends; for these names that finds every hint
+_NEAR = """curated as (select name from names where not auto union select c_name from customer where c_acctbal >= 0),
+hinted as (select n.name from names n where n.auto and exists (select 1 from curated c where length(c.name) = length(n.name)
+  and len(list_filter(range(1, length(c.name) + 1), lambda i: substr(c.name, i, 1) = substr(n.name, i, 1))) * 2.0 / (2 * length(c.name)) >= 0.84))"""
 
 _SHEET = f"""parsed as (
   select o.ord * 1099511627776 + s.row_id as row_ord, o.category, {_collapse(f"regexp_replace({_trim('s.name')}, '(?s){_B}+-{_B}.*$', '')")} as name, o.entity_type,
@@ -101,17 +110,56 @@ def _kept(source: str, out: str) -> str:
   select text_id, unnest(list_reduce(list({item} order by prio, "start", "end" desc, seq), lambda a, d: case when len(list_filter(a, lambda k: d[1].s < k.e and d[1].e > k.s)) > 0 then a else a || d end)) as k from {source} group by text_id))"""
 
 
-def _master_map() -> str:
+def _map_of(rows: str) -> str:
+    """CTEs that end in `map_`, the look-up map of list rows."""
     return f"""
-with {_SHEET}, cur as (select *, {_aliases("name")} as forms from rows_ where pseudonym is not null),
+cur as (select *, {_aliases("name")} as forms from {rows} where pseudonym is not null and entity_type is not null),
 names as (select entity_type, {_norm("name")} as norm_name, row_ord, pseudonym, category, name from cur),
 firsts as (select entity_type, norm_name, arg_min(pseudonym, row_ord) as pseudonym from names group by all),
 entry as (select n.entity_type, n.norm_name, n.pseudonym, arg_max(n.category, n.row_ord) as category, arg_max(n.name, n.row_ord) as display_name from names n join firsts f on n.entity_type = f.entity_type and n.norm_name = f.norm_name and n.pseudonym = f.pseudonym group by all),
 al as (select entity_type, row_ord, pseudonym, category, name, unnest(forms) as form, unnest(range(0, len(forms))) as form_ord from cur),
 aln as (select *, {_norm("form")} as norm_name from al where form_ord > 0),
-best as (select entity_type, norm_name, arg_min({{'p': pseudonym, 'c': category, 'd': name}}, {{'r': row_ord, 'f': form_ord}}) as e from aln group by all)
-select entity_type, norm_name, pseudonym, category, display_name from entry
-union all select b.entity_type, b.norm_name, b.e.p, b.e.c, b.e.d from best b where not exists (select 1 from entry x where x.entity_type = b.entity_type and x.norm_name = b.norm_name)"""
+best as (select entity_type, norm_name, arg_min({{'p': pseudonym, 'c': category, 'd': name}}, {{'r': row_ord, 'f': form_ord}}) as e from aln group by all),
+map_ as (select entity_type, norm_name, pseudonym, category, display_name from entry
+  union all select b.entity_type, b.norm_name, b.e.p, b.e.c, b.e.d from best b where not exists (select 1 from entry x where x.entity_type = b.entity_type and x.norm_name = b.norm_name))"""
+
+
+def _master_map() -> str:
+    return f"with {_SHEET}, {_map_of('rows_')} select entity_type, norm_name, pseudonym, category, display_name from map_"
+
+
+def _found_in(texts: str, pattern: str, kind: str, seq: int, score: float, source: str, prio: int) -> str:
+    """Spans of a pattern in the column `text`, by the lengths of what stands between matches."""
+    upto = "list_sum(list_transform(gaps[:i], lambda x: length(x)))"
+    hits = lambda n: f"coalesce(list_sum(list_transform(hits[:{n}], lambda x: length(x))), 0)"
+    return f"""
+  select text_id, {seq} as seq, '{kind}' as entity_type, cast({upto} + {hits('i - 1')} as int) as "start", cast({upto} + {hits('i')} as int) as "end", {score} as score, '{source}' as source, {prio} as prio, hits[i] as text
+  from (select text_id, hits, regexp_split_to_array(text, '{pattern}') as gaps, unnest(range(1, len(hits) + 1)) as i from (select *, regexp_extract_all(text, '{pattern}') as hits from {texts}))"""
+
+
+def _greedy(source: str, out: str, best: bool) -> str:
+    """CTE `out`: of spans of one place the best, if asked for, then those that overlap none that goes before."""
+    first = f"(select * exclude (rn) from (select *, row_number() over (partition by text_id, \"start\", \"end\" order by score desc, seq, prio, entity_type, source) as rn from {source}) where rn = 1)" if best else source
+    item = "[{'p': prio, 's': \"start\", 'n': -\"end\", 'q': seq, 'e': \"end\", 't': entity_type, 'c': score, 'o': source, 'x': text}]"
+    return f"""{out} as (select text_id, k.q as seq, k.t as entity_type, k.s as "start", k.e as "end", k.c as score, k.o as source, k.p as prio, k.x as text from (
+  select text_id, unnest(list_reduce(list({item} order by prio, "start", "end" desc, seq), lambda a, d: case when len(list_filter(a, lambda k: d[1].s < k.e and d[1].e > k.s)) > 0 then a else a || d end)) as k from {first} group by text_id))"""
+
+
+def _flow(texts: str, words: bool) -> str:
+    """CTEs from `texts` (`text_id, text`) to `done` (`text_id, redacted`) with the names of master_row."""
+    custom = " union all ".join(_found_in(texts, r"(?i)\b" + f"{_B}+".join(w.split()) + r"\b", "CUSTOM", n, 1.0, "custom word", 2) for n, w in enumerate(WORDS))
+    staged = f"""words_ as ({custom}), all_ as (select * from engine_ union all select * from words_), {_greedy("all_", "spans_", False)}""" if words else "spans_ as (select * from engine_)"
+    return f"""
+forms_ as (select distinct entity_type, lower(trim(a)) as key from (select entity_type, unnest({_aliases("name")}) as a from master_row where entity_type is not null) where trim(a) <> ''),
+met_ as (select text_id, text, low, entity_type, key, string_split(low, key) as parts from (select *, replace(lower(text), 'i̇', 'i') as low from {texts}) join forms_ on contains(low, key)),
+at_ as (select text_id, text, low, entity_type, key, cast(list_sum(list_transform(parts[:i], lambda x: length(x))) + (i - 1) * length(key) as int) as pos from (select *, unnest(range(1, len(parts))) as i from met_)),
+listed_ as (select text_id, case entity_type when 'PERSON' then 0 else 1 end as seq, entity_type, pos as "start", cast(pos + length(key) as int) as "end", 0.9 as score, 'master list' as source, 0 as prio, substr(text, pos + 1, length(key)) as text
+  from at_ where not regexp_matches(substr(low, pos, 1), '^{_W}') and not regexp_matches(substr(low, pos + length(key) + 1, 1), '^{_W}')),
+found_ as (select * from listed_ union all {_found_in(texts, EMAIL, "EMAIL_ADDRESS", 0, 0.5, "model", 3)} union all {_found_in(texts, URL, "URL", 0, 0.5, "model", 3)}),
+{_greedy("found_", "engine_", True)}, {staged}, {_map_of("master_row")},
+valued_ as (select s.text_id, s."start", s."end", coalesce(m.pseudonym, {_auto("s.entity_type", _norm("s.text"))}) as value from spans_ s left join map_ m on m.entity_type = s.entity_type and m.norm_name = {_norm("s.text")}),
+done as (select t.text_id, list_reduce(list_prepend({{'s': 0, 'e': 0, 'v': any_value(t.text)}}, list({{'s': v."start", 'e': v."end", 'v': v.value}} order by v."start" desc)), lambda a, d: {{'s': 0, 'e': 0, 'v': substr(a.v, 1, d.s) || d.v || substr(a.v, d.e + 1)}}).v as redacted
+  from {texts} t join valued_ v on t.text_id = v.text_id group by t.text_id)"""
 
 
 def _quality() -> str:
@@ -132,7 +180,7 @@ def _quality() -> str:
 
 def _dictionary_hits() -> str:
     return f"""
-with forms as (select distinct entity_type, lower(trim(a)) as key from (select entity_type, unnest({_aliases("name")}) as a from master_row where entity_type is not null) where trim(a) <> ''),
+with forms as (select distinct entity_type, lower(trim(a)) as key from (select entity_type, unnest({_aliases("name")}) as a from (select entity_type, name from master_row union all select 'PERSON', unnest([short_form, full_form]) from nickname) where entity_type is not null) where trim(a) <> ''),
 d as (select doc_id, replace(lower(text), 'i̇', 'i') as low from documents where text is not null),
 m as (select doc_id, low, entity_type, key, string_split(low, key) as parts from d join forms on contains(low, key)),
 p as (select doc_id, low, entity_type, key, cast(list_sum(list_transform(parts[:i], lambda x: length(x))) + (i - 1) * length(key) as int) as pos from (select *, unnest(range(1, len(parts))) as i from m))
@@ -162,17 +210,18 @@ _IDS = f"ids as (select distinct entity_type, {_norm('original_name')} as norm_n
 
 _VARIANTS = ", ".join([
     _collapse("name"), "trim(regexp_replace(name, '[.,;]+$', ''))", "replace(name, '&', 'and')", r"regexp_replace(name, '(?i)\band\b', '&', 'g')",
-    r"trim(regexp_replace(name, '(?i)\s*(?:\b(?:Ltd\.?|Limited|Inc\.?|Incorporated|LLC|PLC|Corp\.?|Corporation|Co\.?|Company)\b)?\s*[.,;]*\s*$', ''))",
+    f"trim(regexp_replace(regexp_replace(name, '{_B}*[.,;]*{_B}*$', ''), '(?i){_B}*\\b(?:{'|'.join(f for fs in COMPANY_FORMS.values() for f in fs)})$', ''))",
 ])
 
 ORACLE: dict[str, str] = {
-    "redact_order_memos": f"with {_MEMO} select row_id, head || {_MEMO_ID} || tail as memo from memos",
-    "crosswalk_order_memos": f"with {_MEMO} select distinct c_name as original_name, 'PERSON' as entity_type, case when c_acctbal >= 0 then 'Staff' end as category, {_MEMO_ID} as pseudonym, c_acctbal < 0 as auto from memos",
-    "findings_view": f"""with {_MEMO} select row_id + 1 as "Row", 'memo' as "Column", c_name as "Detected text", 'PERSON' as "Entity type", 0.9::double as "Confidence", 'master list' as "Source" from memos""",
-    "crosswalk_view": f"""with {_MEMO} select distinct c_name as "Original name", 'PERSON' as "Entity type", case when c_acctbal >= 0 then 'Staff' else '(unknown)' end as "Category", {_MEMO_ID} as "Pseudonym", case when c_acctbal < 0 then 'yes' else '' end as "Flagged", '' as "Possible match" from memos""",
-    "entity_cell_counts": f"with {_MEMO} select count(*) as entity_count, count(*) as cell_count from memos",
-    "flag_counts": f"with {_MEMO} select count(*) as n, count(*) filter (where c_acctbal < 0) as n_flagged, 0::bigint as n_suggested from (select distinct c_custkey, c_acctbal from memos)",
-    "html_rows": f"""with {_MEMO} select row_id, '<tr><td class="changed">' || head || {_MEMO_ID} || tail || '</td></tr>' as html from memos""",
+    "redact_order_memos": f"with {_MEMO} select row_id, {_REDACTED} as memo from memos",
+    "crosswalk_order_memos": f"with {_MEMO}, {_FOUND} select name as original_name, 'PERSON' as entity_type, case when not auto then 'Staff' end as category, pseudonym, auto from names",
+    "findings_view": f"""with {_MEMO}, {_FOUND} select row_id + 1 as "Row", 'memo' as "Column", name as "Detected text", 'PERSON' as "Entity type", 0.9::double as "Confidence", 'master list' as "Source" from found""",
+    "exported_crosswalk_view": """select original_name as "Original name", entity_type as "Entity type", case when coalesce(category, '') = '' then '(unknown)' else category end as "Category", pseudonym as "Pseudonym", case when auto then 'yes' else '' end as "Flagged",
+  case when coalesce(suggested_pseudonym, '') = '' then '' else suggested_name || ' (' || suggested_pseudonym || ', ' || cast(cast(floor(suggested_score * 100 + 0.5) as bigint) as varchar) || '% match)' end as "Possible match" from (select distinct * exclude (loaded_at) from crosswalk)""",
+    "entity_cell_counts": f"with {_MEMO}, {_FOUND} select count(*) as entity_count, count(distinct row_id) as cell_count from found",
+    "flag_counts": f"with {_MEMO}, {_FOUND}, {_NEAR} select count(*) as n, count(*) filter (where auto) as n_flagged, (select count(*) from hinted) as n_suggested from names",
+    "html_rows": f"""with {_MEMO} select row_id, '<tr><td class="changed">' || {_REDACTED} || '</td></tr>' as html from memos""",
     "dictionary_hits": _dictionary_hits(),
     "dictionary_hits_by_join": _dictionary_hits(),
     "email_findings": _positions("text", EMAIL),
@@ -191,7 +240,7 @@ select text_id, seq, "start", "end", source from v""",
     "unpivot_cells": " union all ".join(f"""select row_id, {n} as col_pos, '{c}' as "column", coalesce({c}, '') as text from master_sheet""" for n, c in enumerate(("name", "primary_subsidiary", "country"))),
     "normalize_names": f"select row_id, {_norm('name')} as norm_name from master_sheet",
     "auto_ids": f"with {_IDS} select entity_type, norm_name, {_auto('entity_type', 'norm_name')} as pseudonym from ids",
-    "auto_id_collisions": f"with {_IDS} select pseudonym, n_names, names from (select {_auto('entity_type', 'norm_name')} as pseudonym, count(distinct norm_name) as n_names, array_to_string(list_sort(list_distinct(list(norm_name))), '|') as names from ids group by 1) where n_names > 1",
+    "auto_id_collisions": f"with all_ as (select entity_type, original_name as name from assignment union all select entity_type, original_name from crosswalk union all select 'ORGANIZATION', name from master_sheet), ids as (select distinct entity_type, {_norm('name')} as norm_name from all_ where name is not null) select pseudonym, n_names, names from (select {_auto('entity_type', 'norm_name')} as pseudonym, count(distinct norm_name) as n_names, array_to_string(list_sort(list_distinct(list(norm_name))), '|') as names from ids group by 1) where n_names > 1",
     "assign_crosswalk": f"with {_CANON}, {_XNAMES} select x.original_name, x.entity_type, c.category, coalesce(c.pseudonym, {_auto('x.entity_type', 'x.norm_name')}) as pseudonym, c.pseudonym is null as auto from xn x left join canon c on x.entity_type = c.entity_type and x.norm_name = c.norm_name",
     "fuzzy_candidates": f"with {_CANON}, {_XNAMES} select x.entity_type, x.norm_name, count(*) as n from xn x join canon c on x.entity_type = c.entity_type and abs(length(x.norm_name) - length(c.norm_name)) <= 3 group by all",
     "alias_expansion": f"with n as (select distinct name from master_row), a as (select name, unnest(f) as alias, unnest(range(0, len(f))) as p from (select name, {_aliases('name')} as f from n)) select name, cast(row_number() over (partition by name order by p) - 1 as int) as alias_ord, alias from (select name, alias, min(p) as p from a group by 1, 2)",
@@ -209,9 +258,44 @@ select text_id, seq, "start", "end", source from v""",
     "quality_report": _quality(),
 }
 _MERGED = """
-merged as (
-  select 'Staff' as "Category", case when c_acctbal >= 0 then cast(c_custkey as varchar) end as "Internal ID", replace(c_name, '#', ' ') as "Name", null::varchar as "Primary Subsidiary", null::varchar as "Country" from customer
-  union all select 'Vendor', null, replace(s_name, '#', ' '), null, null from supplier
-  union all select 'Funder', cast(n_nationkey as varchar), n_name, null, null from nation)"""
+lines_ as (
+  select 'Staff' as cat, case when c_acctbal >= 0 then cast(c_custkey as varchar) end as id, replace(c_name, '#', ' ') as name, 1 as origin, c_custkey as ord from customer
+  union all select 'Staff', null, replace(c_name, '#', ' '), 1, c_custkey - 1073741824 from customer where c_custkey % 3 = 0
+  union all select 'Staff', cast(c_custkey + 1000000 as varchar), replace(c_name, '#', ' '), 1, c_custkey - 2147483648 from customer where c_custkey % 5 = 0
+  union all select 'Vendor', null, replace(s_name, '#', ' '), 1, s_suppkey + 1099511627776 from supplier
+  union all select 'Funder', cast(n_nationkey as varchar), n_name, 0, n_nationkey from nation
+  union all select 'Staff', case when c_custkey % 2 = 0 then 'old' || c_custkey end, replace(c_name, '#', ' '), 0, c_custkey from customer where c_custkey % 7 = 0),
+merged as (select cat as "Category", id as "Internal ID", name as "Name", null::varchar as "Primary Subsidiary", null::varchar as "Country"
+  from (select *, row_number() over (partition by cat, name order by id is null, origin, ord) as p from lines_) where p = 1)"""
 ORACLE["migration_merge"] = f"with {_MERGED} select * from merged"
 ORACLE["migration_totals"] = f"""with {_MERGED} select "Category", count(*) as n_rows, count("Internal ID") as n_with_id from merged group by 1"""
+_WORDS = f"""words_ as (select distinct name from (select unnest([short_form, full_form]) as name from nickname union all select word from stand_in)),
+common as (select name from words_ where {_trim("name")} not like '% %' and lower({_trim("name")}) in ({", ".join(map(_q, sorted(COMMON_WORDS)))}))"""
+ORACLE["ambiguous_words"] = f"with {_WORDS} select 'Staff' as category, name from common"
+ORACLE["quality_common"] = f"""with {_WORDS} select 'blank_ids' as kind, 'info' as severity, count(*) || ' name(s) have no Internal ID' as title, count(*) as total from words_
+union all select 'ambiguous_common_word', 'info', count(*) || ' name(s) are also ordinary English words', count(*) from common having count(*) > 0"""
+ORACLE["quality_blank"] = f"with {_SHEET} select category, count(*) as n from rows_ where pseudonym is null group by 1"
+ORACLE["whitespace_collapse"] = f"select row_id, {_collapse('name')} as name from master_sheet where name is not null"
+_IMAGES = "pages_ as (select doc_id, 0 as unit_idx, greatest(doc_id % 10 - 6, 0) as n from documents), boxes_ as (select doc_id, unit_idx, unnest(range(0, n)) as image_idx from pages_ where n > 0)"
+ORACLE["page_images"] = f"with {_IMAGES} select doc_id, unit_idx, cast(image_idx as int) as image_idx, cast(image_idx * 10 + 10 as double) as x0, cast(image_idx * 10 + 11 as double) as y0, cast(image_idx * 10 + 12 as double) as x1, cast(image_idx * 10 + 13 as double) as y1, 'black' as fill from boxes_"
+ORACLE["page_images_blackout"] = f"with {_IMAGES} select doc_id, count(*) as n, cast(4.0 * count(*) as double) as area from boxes_ group by 1"
+ORACLE["page_search"] = f"""
+with x as (select distinct xwalk_id, original_name, suggested_name as name from crosswalk where suggested_name is not null and original_name is not null),
+t as (select xwalk_id, original_name, list_filter([name, {_VARIANTS}], lambda c: c <> '' and contains(lower(original_name), lower(c)))[1] as candidate from x)
+select xwalk_id, candidate, cast((length(lower(original_name)) - length(replace(lower(original_name), lower(candidate), ''))) / length(lower(candidate)) as int) as n_places from t where candidate is not null"""
+_CELLS = ("original_name", "entity_type", "category", "pseudonym", "suggested_pseudonym", "suggested_name")
+_REDACTED_CELLS = ", ".join(f"coalesce(d{n}.redacted, x.{c}) as {c}" for n, c in enumerate(_CELLS))
+_CHANGED = " + ".join(f"cast(d{n}.redacted is not null as int)" for n in range(len(_CELLS)))
+_JOINS = " ".join(f"left join done d{n} on d{n}.text_id = x.{c}" for n, c in enumerate(_CELLS))
+ORACLE["cells_flow"] = f"""
+with x as (select distinct xwalk_id as row_id, {", ".join(_CELLS)} from crosswalk),
+cells_ as (select distinct t as text_id, t as text from (select unnest([{", ".join(_CELLS)}]) as t from x) where t is not null), {_flow("cells_", False)}
+select x.row_id, {_REDACTED_CELLS}, cast({_CHANGED} as int) as n_changed from x {_JOINS}"""
+ORACLE["blocks_flow"] = f"""
+with lines_ as (select doc_id, unnest(parts) as text, cast(unnest(range(0, len(parts))) as int) as unit_idx from (select doc_id, regexp_split_to_array(text, '\r\n|[\n\r]') as parts from documents where text is not null)),
+units_ as (select {{'d': doc_id, 'u': unit_idx}} as text_id, doc_id, unit_idx, text from lines_), {_flow("units_", True)}
+select u.doc_id, u.unit_idx, coalesce(d.redacted, u.text) as redacted from units_ u left join done d on d.text_id = u.text_id"""
+# every address found in the running text leads back to the same address in the raw text
+_BROKEN = r"regexp_replace(text, '([a-z]{4})([a-z]{4})', '\1-' || chr(10) || ' \2', 'g')"
+_RUNNING = _collapse(rf"regexp_replace({_replace(_BROKEN, LIGATURES)}, '-{_B[:-1]}]*?\n{_B}*([\p{{L}}\p{{N}}])', '\1', 'g')")
+ORACLE["offset_roundtrip"] = f"select doc_id, cast(n as bigint) as n, cast(n as bigint) as n_same from (select doc_id, len(regexp_extract_all({_RUNNING}, '{EMAIL}')) as n from documents where text is not null) where n > 0"

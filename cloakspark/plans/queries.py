@@ -29,14 +29,17 @@ def query(f: Query) -> Query:
 
 
 def customers_list(spark: SparkSession, sf: str) -> DataFrame:
-    """A list of staff from the customers; those in debt have no id."""
+    """A list of staff from the customers; those in debt have no id, and every tenth stands in it with the word before its name, too."""
     c = table(spark, sf, "customer")
-    return c.select(F.col("c_custkey").alias("row_ord"), F.lit("Staff").alias("category"), F.col("c_name").alias("name"), F.lit("PERSON").alias("entity_type"), F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("STF-"), F.col("c_custkey").cast("string"))).alias("pseudonym"))
+    own = c.select(F.col("c_custkey").alias("row_ord"), F.lit("Staff").alias("category"), F.col("c_name").alias("name"), F.lit("PERSON").alias("entity_type"), F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("STF-"), F.col("c_custkey").cast("string"))).alias("pseudonym"))
+    longer = c.where("c_custkey % 10 = 9").select((F.col("c_custkey") + (1 << 40)).alias("row_ord"), F.lit("Staff").alias("category"), F.concat(F.lit("to "), F.col("c_name")).alias("name"), F.lit("PERSON").alias("entity_type"), F.concat(F.lit("STF-L"), F.col("c_custkey").cast("string")).alias("pseudonym"))
+    return own.unionByName(longer)
 
 
 def order_memos(spark: SparkSession, sf: str) -> DataFrame:
+    """One memo for each order, which names its customer twice; where the list has the longer name, the first place holds two overlapping ones."""
     o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("row_id"), F.concat(F.lit("Paid to "), F.col("c_name"), F.lit(" by "), F.col("o_orderpriority")).alias("memo"))
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("row_id"), F.concat(F.lit("Paid to "), F.col("c_name"), F.lit(" by "), F.col("o_orderpriority"), F.lit(" / "), F.col("c_name")).alias("memo"))
 
 
 def sheet_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,6 +105,12 @@ def crosswalk_view(spark: SparkSession, sf: str) -> DataFrame:
     return views.crosswalk_view(memo_result(spark, sf, with_hints=True).crosswalk)
 
 
+@query
+def exported_crosswalk_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The exported crosswalks as readers see them, hints included."""
+    return views.crosswalk_view(table(spark, sf, "crosswalk").drop("loaded_at").distinct())
+
+
 @query
 def entity_cell_counts(spark: SparkSession, sf: str) -> DataFrame:
     return views.scan_counts(memo_result(spark, sf).findings)
@@ -117,16 +126,23 @@ def html_rows(spark: SparkSession, sf: str) -> DataFrame:
     return views.html_rows(memo_result(spark, sf).redacted, ["memo"])
 
 
+def listed_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The master list and all given names: with single words in it, hits are many and some overlap."""
+    n = table(spark, sf, "nickname")
+    given = n.select(F.explode(F.array("short_form", "full_form")).alias("name")).select(F.lit("PERSON").alias("entity_type"), "name")
+    return table(spark, sf, "master_row").select("entity_type", "name").unionByName(given)
+
+
 @query
 def dictionary_hits(spark: SparkSession, sf: str) -> DataFrame:
-    names = masterlist.dictionary(table(spark, sf, "master_row"))
+    names = masterlist.dictionary(listed_names(spark, sf))
     hits = detect.dictionary(document_texts(spark, sf), names)
     return hits.groupBy(F.col("text_id").alias("doc_id"), "entity_type", F.lower("text").alias("key")).agg(F.count("*").alias("n"))
 
 
 @query
 def dictionary_hits_by_join(spark: SparkSession, sf: str) -> DataFrame:
-    names = masterlist.dictionary(table(spark, sf, "master_row"))
+    names = masterlist.dictionary(listed_names(spark, sf))
     hits = detect.dictionary(document_texts(spark, sf), names, strategy="join")
     return hits.groupBy(F.col("text_id").alias("doc_id"), "entity_type", F.lower("text").alias("key")).agg(F.count("*").alias("n"))
 
@@ -154,7 +170,7 @@ def email_redacted_docs(spark: SparkSession, sf: str) -> DataFrame:
 def run_splice(spark: SparkSession, sf: str) -> DataFrame:
     """The same redaction in paragraphs cut into runs of 40 characters: values once, runs kept apart."""
     lines = documents(spark, sf).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("unit_idx", "text"))
-    texts = lines.withColumn("text_id", F.col("doc_id") * (1 << 20) + F.col("unit_idx"))
+    texts = lines.withColumn("text_id", F.struct("doc_id", "unit_idx"))
     hits = detect.patterns(texts, ("EMAIL_ADDRESS",)).withColumn("value", T.auto_pseudonym("entity_type", T.normalize_name("text")))
     joined = texts.join(splice.span_lists(hits), "text_id")
     runs = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 40).cast("int")), lambda i: F.struct(i.alias("run_idx"), (i * 40).alias("start"), F.substring("text", i * 40 + 1, F.lit(40)).alias("text")))
@@ -215,8 +231,9 @@ def unpivot_cells(spark: SparkSession, sf: str) -> DataFrame:
 def cells_flow(spark: SparkSession, sf: str) -> DataFrame:
     """Spreadsheet flow over the exported crosswalks: every string column is scanned for list names and addresses."""
     rows = table(spark, sf, "master_row")
-    x = table(spark, sf, "crosswalk").select(F.col("xwalk_id").alias("row_id"), "original_name", "suggested_name").dropDuplicates(["row_id"])
-    return flows.cells(x, flows.documents_detector(rows), masterlist.master_map(rows.where("entity_type is not null")), with_hints=False).redacted.select("row_id", "original_name", "suggested_name", F.size("changed").alias("n_changed"))
+    x = table(spark, sf, "crosswalk").drop("made_at", "loaded_at").distinct().withColumnRenamed("xwalk_id", "row_id")
+    done = flows.cells(x, flows.documents_detector(rows), masterlist.master_map(rows.where("entity_type is not null")), with_hints=False).redacted
+    return done.select("row_id", *flows.text_columns(x), F.size("changed").alias("n_changed"))
 
 
 @query
@@ -225,6 +242,32 @@ def pages_flow(spark: SparkSession, sf: str) -> DataFrame:
     return flows.pages(units, WORDS).redacted.select("doc_id", "redacted")
 
 
+def pages_with_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as pages; a page has as many images as the last digit of its id is above 6."""
+    box = lambda i: F.struct(*((i * 10 + n).cast("double").alias(c) for n, c in enumerate(("x0", "y0", "x1", "y1"))))
+    n = F.greatest((F.col("doc_id") % 10 - 6).cast("int"), F.lit(0))
+    images = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), box)).otherwise(F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
+    return documents(spark, sf).select("doc_id", F.lit(0).alias("unit_idx"), "text", images.alias("images"))
+
+
+@query
+def page_images(spark: SparkSession, sf: str) -> DataFrame:
+    return flows.pages(pages_with_images(spark, sf), redact_images=True).boxes.select("doc_id", "unit_idx", "image_idx", "x0", "y0", "x1", "y1", "fill")
+
+
+@query
+def page_images_blackout(spark: SparkSession, sf: str) -> DataFrame:
+    boxes = flows.pages(pages_with_images(spark, sf), WORDS, flows.BLACKOUT, redact_images=True).boxes
+    return boxes.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.expr("(x1 - x0) * (y1 - y0)")).alias("area"))
+
+
+@query
+def page_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The hint of each crosswalk row looked for in the name that was typed, as it stands and in its variants."""
+    x = table(spark, sf, "crosswalk").where("suggested_name is not null and original_name is not null").select("xwalk_id", "original_name", "suggested_name").distinct()
+    return flows.searched(x, "original_name", "suggested_name").where("candidate is not null").select("xwalk_id", "candidate", "n_places")
+
+
 @query
 def blocks_flow(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraph flow: documents cut at line ends, list names, addresses and typed words."""
@@ -250,7 +293,10 @@ def auto_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def auto_id_collisions(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "assignment").where("original_name is not null").select("entity_type", T.normalize_name("original_name").alias("norm_name")).distinct()
+    """Ids of all names of the assignments, the crosswalks and the sheets: enough for some to meet."""
+    a, x, s = table(spark, sf, "assignment"), table(spark, sf, "crosswalk"), table(spark, sf, "master_sheet")
+    names = a.select("entity_type", F.col("original_name").alias("name")).unionByName(x.select("entity_type", F.col("original_name").alias("name"))).unionByName(s.select(F.lit("ORGANIZATION").alias("entity_type"), "name"))
+    a = names.where("name is not null").select("entity_type", T.normalize_name("name").alias("norm_name")).distinct()
     ids = a.select("norm_name", F.lit(True).alias("auto"), T.auto_pseudonym("entity_type", "norm_name").alias("pseudonym"))
     return A.collisions(ids).select("pseudonym", "n_names", F.array_join("names", "|").alias("names"))
 
@@ -358,15 +404,50 @@ def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
     return masterlist.duplicate_ids(sheet_rows(spark, sf)).select("category", "pseudonym", F.array_join("names", ", ").alias("names"))
 
 
+def word_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Given names and stand-ins as rows of a list: some are ordinary words."""
+    names = table(spark, sf, "nickname").select(F.explode(F.array("short_form", "full_form")).alias("name")).unionByName(table(spark, sf, "stand_in").select(F.col("word").alias("name"))).distinct()
+    return names.select(F.crc32(F.col("name").cast("binary")).alias("row_ord"), F.lit("Staff").alias("category"), "name", F.lit("PERSON").alias("entity_type"), F.lit(None).cast("string").alias("pseudonym"))
+
+
+@query
+def ambiguous_words(spark: SparkSession, sf: str) -> DataFrame:
+    return masterlist.ambiguous_words(word_rows(spark, sf)).select("category", "name")
+
+
+@query
+def quality_common(spark: SparkSession, sf: str) -> DataFrame:
+    r = masterlist.quality_report(word_rows(spark, sf))
+    return r.select("kind", "severity", "title", "total")
+
+
+@query
+def quality_blank(spark: SparkSession, sf: str) -> DataFrame:
+    return sheet_rows(spark, sf).where("pseudonym is null").groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query
+def whitespace_collapse(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "master_sheet").where("name is not null").select("row_id", T.collapse_blanks("name").alias("name"))
+
+
 @query
 def migration_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Text lists made from customers and suppliers, merged into a sheet made from the nations."""
+    """Text lists made from customers and suppliers, merged into a sheet made from the nations and some customers.
+
+    A third of the customers stand in the list twice, with and without an id, a fifth with another id before their own,
+    and every seventh is in the sheet already, half of them with an id.
+    """
     c, s, n = (table(spark, sf, t) for t in ("customer", "supplier", "nation"))
     person = c.select(F.col("c_custkey").alias("ord"), F.concat(F.replace("c_name", F.lit("#"), F.lit(" ")), F.when(F.col("c_acctbal") >= 0, F.concat(F.lit(" - "), F.col("c_custkey").cast("string"))).otherwise(F.lit(" # no id"))).alias("value"))
+    again = c.where("c_custkey % 3 = 0").select((F.col("c_custkey") - (1 << 30)).alias("ord"), F.replace("c_name", F.lit("#"), F.lit(" ")).alias("value"))
+    other = c.where("c_custkey % 5 = 0").select((F.col("c_custkey") - (1 << 31)).alias("ord"), F.concat(F.replace("c_name", F.lit("#"), F.lit(" ")), F.lit(" - "), (F.col("c_custkey") + 1000000).cast("string")).alias("value"))
+    person = person.unionByName(again).unionByName(other)
     firm = s.select((F.col("s_suppkey") + (1 << 40)).alias("ord"), F.replace("s_name", F.lit("#"), F.lit(" ")).alias("value"))
     new = migrate.people(migrate.clean_lines(person)).unionByName(migrate.organisations(migrate.clean_lines(firm)))
     old = n.select(F.col("n_nationkey").cast("long").alias("ord"), F.lit("Funder").alias("Category"), F.col("n_nationkey").cast("string").alias("Internal ID"), F.col("n_name").alias("Name"))
-    return migrate.merged(old, new)
+    known = c.where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("long").alias("ord"), F.lit("Staff").alias("Category"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("old"), F.col("c_custkey").cast("string"))).alias("Internal ID"), F.replace("c_name", F.lit("#"), F.lit(" ")).alias("Name"))
+    return migrate.merged(old.unionByName(known), new)
 
 
 @query

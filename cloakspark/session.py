@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def numbered(df: DataFrame, column: str) -> DataFrame:
+    """The rows with their number, from 0 without gaps, in the order of partitions and within them.
+
+    Rows are counted by partition first (one number a partition comes to the driver). The table is written to the
+    checkpoint folder, so that numbers stay the same whenever a partition is read again.
+    """
+    placed = materialise(df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = dict(placed.groupBy("__part").agg(F.max("__at") + 1).collect())
+    before, total = {}, 0
+    for p in sorted(sizes):
+        before[p] = total
+        total += sizes[p]
+    offset = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("__part")] if before else F.lit(0)
+    return placed.withColumn(column, (offset + F.col("__at")).cast("long")).drop("__part", "__at")
+
+
 def widened(scan: DataFrame) -> DataFrame:
     """A scan of fewer partitions than there are cores (few files, large row groups) dealt out to all of them; any other as it is.
 

@@ -36,7 +36,7 @@ def test_each_text_is_analysed_once(spark):
 
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["John paid", "John paid", "no name", "John paid", "no name"])], "row_id long, notes string")
     long = flows.unpivot(df, ["notes"])
-    assert flows.distinct_texts(long, 1).count() == 2
+    assert flows.distinct_texts(flows.with_text_ids(long)).count() == 2
     found = flows.cells(df, detector, None).findings
     assert sorted(r.row_id for r in found.collect()) == [0, 1, 3] and seen.value <= 4
 
@@ -86,3 +86,35 @@ def test_observed(spark):
     df, watch = flows.observed(spark.range(7))
     df.write.format("noop").mode("overwrite").save()
     assert watch.get == {"rows": 7}
+
+
+def test_units_of_different_documents_are_never_one_text(spark):
+    units = spark.createDataFrame([(1, 1 << 20, "write to a@b.example"), (2, 0, "nothing here"), (1 << 50, 3, "c@d.example")], "doc_id long, unit_idx int, text string")
+    for result in (flows.pages(units), flows.blocks(units, lambda t: detect.patterns(t), None)):
+        assert {(r.doc_id, r.unit_idx) for r in result.findings.collect()} == {(1, 1 << 20), (1 << 50, 3)}
+        got = {(r.doc_id, r.unit_idx): r.redacted for r in result.redacted.collect()}
+        assert got[2, 0] == "nothing here" and got[1, 1 << 20].startswith("write to EML-AUTO-") and got[1 << 50, 3].startswith("EML-AUTO-")
+
+
+def test_nothing_asked_for_is_nothing_found(spark):
+    units = spark.createDataFrame([(1, 0, "a@b.example")], "doc_id long, unit_idx int, text string")
+    assert flows.blocks(units, lambda t: detect.patterns(t, ()), None).findings.count() == 0
+
+
+def test_images_are_covered_in_either_style(spark):
+    box = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    units = spark.createDataFrame([(1, 0, "John paid", [(10.0, 10.0, 50.0, 50.0), (0.0, 1.0, 2.0, 3.0)]), (1, 1, None, []), (2, 0, "x", None)], f"doc_id long, unit_idx int, text string, images {box}")
+    for words, style in (([], flows.BLACKOUT), (["John"], flows.PSEUDONYMIZE), ([], flows.PSEUDONYMIZE)):
+        result = flows.pages(units, words, style, redact_images=True)
+        got = {(r.doc_id, r.unit_idx, r.image_idx, r.x0, r.y1, r.fill) for r in result.boxes.collect()}
+        assert got == {(1, 0, 0, 10.0, 50.0, "black"), (1, 0, 1, 0.0, 3.0, "black")}
+    text = {(r.doc_id, r.unit_idx): r.redacted for r in flows.pages(units, ["John"], redact_images=True).redacted.collect()}
+    assert text[1, 0].startswith("CST-AUTO-")  # the text is still pseudonymised, not blacked out
+    assert flows.pages(units, ["John"]).boxes is None and flows.pages(units.drop("images"), redact_images=True).boxes is None
+
+
+def test_search_on_a_page_takes_the_first_that_hits(spark):
+    rows = [(1, "Acme & Sons Ltd, ACME AND SONS", "Acme and Sons Ltd.", None), (2, "Acme Sup-\nplies and more", "Acme Supplies", "Acme Sup-\nplies"), (3, "none of it", "Acme", None), (4, None, "Acme", None), (5, "acme acme", "Acme", None)]
+    df = spark.createDataFrame(rows, "id int, page string, text string, raw string")
+    got = {r.id: (r.candidate, r.n_places) for r in flows.searched(df, raw="raw").collect()}
+    assert got == {1: ("Acme and Sons", 1), 2: ("Acme Sup-\nplies", 1), 3: (None, 0), 4: (None, 0), 5: ("Acme", 2)}

@@ -68,3 +68,16 @@ def test_groups(spark):
     assert {(r.category, r.n) for r in M.summary(rows).collect()} == {("Vendor", 2), ("Staff", 1), (None, 3)}
     assert [r.name for r in M.names_by_entity(rows).where("entity_type = 'ORGANIZATION'").orderBy("row_ord").collect()] == ["A", "B"]
     assert len(M.COMMON_WORDS) == 167
+
+
+def test_places_in_sheets_never_meet(spark):
+    """Rows without an id are numbered as they stand, however many partitions there are; an id out of bounds is refused."""
+    staff = spark.range(0, 260, 1, 130).selectExpr("concat('Person ', id) as Name")
+    vendors = spark.createDataFrame([("V1",), ("V2",)], "Name string")
+    rows = M.parse_sheets({"Staff": staff, "Vendors": vendors})
+    ords = {r.name: r.row_ord for r in rows.collect()}
+    assert len(set(ords.values())) == 262 and [ords[f"Person {i}"] for i in range(260)] == list(range(260))
+    assert {r.name: r.row_ord for r in rows.collect()} == ords
+    for bad in (1 << 40, -1):
+        with pytest.raises(Exception, match="place in a sheet"):
+            M.parse_sheets({"Staff": spark.createDataFrame([(bad, "A")], "row_id long, Name string")}).collect()

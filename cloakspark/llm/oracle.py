@@ -30,7 +30,7 @@ select group_no, category as value from (select *, row_number() over (partition
 
 def _p3() -> str:
     def words(text: str) -> str:
-        bare = rf"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '([\p{{L}}\p{{N}}])[''‘’ʼ]([\p{{L}}\p{{N}}])', '\1\2', 'g'), '([\p{{L}}\p{{N}}])[''‘’ʼ]([\p{{L}}\p{{N}}])', '\1\2', 'g')"
+        bare = rf"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '([\p{{L}}\p{{N}}])[''‘’ʼ]+([\p{{L}}\p{{N}}])', '\1\2', 'g'), '([\p{{L}}\p{{N}}])[''‘’ʼ]+([\p{{L}}\p{{N}}])', '\1\2', 'g')"
         return rf"list_sort(regexp_extract_all({bare}, '[\p{{L}}\p{{N}}]+'))"
 
     both = "coalesce(category, '') || ' ' || name"

@@ -120,18 +120,22 @@ def folded(raw: np.ndarray, begin: np.ndarray, span: np.ndarray) -> np.ndarray:
 
 
 def words(col: pa.Array, joining: str = "") -> Words:
-    """Words of each row. A sign of `joining` between two letters or digits is skipped without parting the word."""
+    """Words of each row. A sign of `joining`, or several, between two letters or digits are skipped without parting the word."""
     cps, off = codepoints(col)
     fold = fold_table()[cps]
     kept = fold > 0
     inside = kept  # letters, and signs that don't part a word
     if joining and len(cps) > 2:
-        inner = np.isin(cps[1:-1], np.array([ord(x) for x in joining], np.uint32)) & kept[:-2] & kept[2:]
-        if inner.any():
-            skip = np.flatnonzero(inner) + 1
-            row = np.searchsorted(off, skip, side="right")
-            # a sign at the very edge of a row touches another row's letter, so it stays a sign
-            skip = skip[(off[row - 1] < skip) & (skip < off[row] - 1)]
+        sign = np.isin(cps, np.array([ord(x) for x in joining], np.uint32))
+        at = np.flatnonzero(sign)
+        if len(at):
+            # the nearest other sign or letter before and after each
+            place = np.arange(len(cps))
+            last = np.maximum.accumulate(np.where(sign, -1, place))[at]
+            next_ = np.minimum.accumulate(np.where(sign, len(cps), place)[::-1])[::-1][at]
+            row = np.searchsorted(off, at, side="right")
+            own = (last >= off[row - 1]) & (next_ < off[row])  # at the very edge of a row it touches another row's letter
+            skip = at[own & kept[np.maximum(last, 0)] & kept[np.minimum(next_, len(cps) - 1)]]
             inside = kept.copy()
             inside[skip] = True
     before = np.concatenate([[False], inside[:-1]]) if len(inside) else inside

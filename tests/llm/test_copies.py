@@ -27,9 +27,10 @@ def test_layouts(spark):
     rows = [
         (5, "Vendor", "12", "O'Brien & Sons Ltd", "x", 9), (3, "vendor ", "#12", "ltd SONS o’brien", None, 9), (4, "O'Brien Sons", "12.", "Vendor Ltd", "", 9), (6, "Vendor", "12", "O Brien & Sons Ltd", "", 9),
         (7, "Vendor", None, "A A B", "", 9), (8, "Vendor", "", "A B", "", 9), (9, "Vendor", " - ", "b a a", "", 9), (10, None, "1", "x", "", 9), (11, None, "1", None, "", 9), (12, None, "1", "  ", "", 9), (13, "", "1", "X!", "", 9),
+        (17, "Vendor", "3", "D''Lo Sulo", "", 9), (18, "Vendor", "3", "d’lo sulo", "", 9), (19, "Vendor", "3", "D' 'Lo Sulo", "", 9), (20, "Vendor", "3", "'D'Lo' Sulo", "", 9),
         (14, "Staff", "a b", "é", "", 9), (15, "Staff", "b A", "É", "", 9), (16, "Staff", "ab", "É", "", 9),
     ]
-    assert found(spark, rows) == {(3, 3), (7, 2), (10, 2), (14, 2)} == brute(rows)
+    assert found(spark, rows) == {(3, 3), (7, 2), (10, 2), (14, 2), (17, 3)} == brute(rows)
 
 
 def test_empty_and_repeated(spark):

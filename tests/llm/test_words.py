@@ -14,7 +14,7 @@ def plain(text, joining=""):
     """The same by regular expressions, letter by letter."""
     text = text or ""
     if joining:
-        text = re.sub(f"(?<=[^\\W_])[{joining}](?=[^\\W_])", "", text)
+        text = re.sub(f"(?<=[^\\W_])[{joining}]+(?=[^\\W_])", "", text)
     fold = lambda c: f if len(f := c.casefold()) == 1 and f.isalnum() else l if len(l := c.lower()) == 1 and l.isalnum() else c  # noqa: E731, E741
     return ["".join(map(fold, w)) for w in re.findall(r"[^\W_]+", text)]
 

@@ -96,8 +96,9 @@ class Words:
 
     @property
     def letters(self) -> np.ndarray:
-        """The folded letters of all words one after another, made when asked for."""
-        return folded(self.raw, self.begin, self.span)
+        """The folded letters of all words one after another, made when asked for: whatever the table doesn't skip is in a word."""
+        fold = fold_table()[self.raw]
+        return fold[fold > 0]
 
     def hashes(self, seed: int = 0, letters: np.ndarray | None = None) -> np.ndarray:
         """One 64-bit hash of each word."""

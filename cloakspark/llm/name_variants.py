@@ -271,6 +271,7 @@ def paired(held: DataFrame, key: str, block: int = _PAIR_BLOCK) -> DataFrame:
 
     A key of many rows is dealt into blocks, and each two blocks meet in a place of their own, so no task holds a whole key.
     """
+    held = materialise(held)  # counted, and read from both sides
     counts = held.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
     dealt = held.join(counts, key).withColumn("own", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id", *(["name"] if "name" in held.columns else [])), F.col("blocks"))).otherwise(F.lit(0)).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)

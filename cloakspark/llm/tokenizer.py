@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_50k"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK_BYTES = 4 << 20
 #: Texts that a task puts together from chunks, in bytes.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 64 << 20
 #: A word of more chunks than this is looked up where its chunk is, and not joined.
 HOT_CHUNKS = 10_000
 #: Words in the table sent to the tasks for that, the commonest first; about 10 MB. The rest is joined, hot or not.

@@ -72,8 +72,7 @@ class _Walk:
                 if tries is None:
                     seen.append(sig)
                 else:
-                    at_bit = (sig >> np.uint64(64 - _BITS)).astype(np.int64)
-                    ok = (tries[sampled][at_bit >> 3] >> (7 - (at_bit & 7)).astype(np.uint8)) & 1 > 0
+                    ok = tries[sampled][(sig >> np.uint64(65 - len(tries[sampled]).bit_length())).astype(np.int64)]
                     left, at, sig, word = left[ok], at[ok], sig[ok], word[ok]
                 sampled += 1
             at = at + ((mix(word + self.step[j]) >> np.uint64(63)).astype(np.int64))
@@ -132,13 +131,14 @@ class _Index:
         self.tries, self.by_sig = [], []
         for walk in self.walks:
             left, sig, seen = walk.signatures(self.h, starts, None)
-            maps = [np.zeros(1 << _BITS, bool) for _ in seen]
+            bits = _BITS if repetitions <= 8 else _BITS - 2  # 1 MB or 256 KB a sampled place, 80 MB in all at most
+            maps = [np.zeros(1 << bits, bool) for _ in seen]
             for m, s in zip(maps, seen):
-                m[(s >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+                m[(s >> np.uint64(64 - bits)).astype(np.int64)] = True
             by = defaultdict(list)
             for s, a in zip(sig.tolist(), left.tolist()):
                 by[s].append(a)
-            self.tries.append([np.packbits(m) for m in maps])  # 128 KB a sampled place
+            self.tries.append(maps)
             self.by_sig.append(dict(by))
 
     def letters(self, w: Words, first: int) -> list[bytes]:

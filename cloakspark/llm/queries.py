@@ -54,13 +54,8 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return eval_leaks.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_item"))
 
 
-def p7_near(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents and items that share a run of 12 words but for one word put in, left out or changed."""
-    return eval_leaks.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_item"), max_edits=1)
-
-
 def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitter.split_oversized(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consensus, p1_votes, p2_found, p3_found, p4_found, p5_found, p6_ids, p6_decode, p7_found, p7_near, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_consensus, p1_votes, p2_found, p3_found, p4_found, p5_found, p6_ids, p6_decode, p7_found, p8_pieces)}

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WORD, col, recase_uppercase, regex_spans
+from ..functions.text import WORD, col, page_offsets, recase_uppercase, regex_spans, to_raw_span
 from ..schemas import DETECTION
 from ..settings import DEFAULTS
 
@@ -87,22 +87,31 @@ def custom_words(texts: DataFrame, words: Iterable[str], score: float = DEFAULTS
     return _scan(texts, _word_parts(words, score), True)
 
 
-def patterns_and_words(texts: DataFrame, entities: Iterable[str], words: Iterable[str], pattern_score: float = DEFAULTS.pattern_score, word_score: float = DEFAULTS.custom_score) -> DataFrame:
-    """Both at once, in one pass over the texts; `source` tells them apart."""
+def patterns_and_words(texts: DataFrame, entities: Iterable[str], words: Iterable[str], pattern_score: float = DEFAULTS.pattern_score, word_score: float = DEFAULTS.custom_score, raw: str | None = None) -> DataFrame:
+    """Both at once, in one pass over the texts; `source` tells them apart.
+
+    With `raw`, a column with the page text that `text` is the running text of, detections have `raw_start` and `raw_end`, too.
+    """
     typed = _word_parts(words, word_score)
-    return _scan(texts, _pattern_parts(entities, pattern_score, "pattern match") + typed, bool(typed))
+    return _scan(texts, _pattern_parts(entities, pattern_score, "pattern match") + typed, bool(typed), raw)
 
 
-def _scan(texts: DataFrame, parts: list[tuple[Column, Column]], in_lower_case: bool = False) -> DataFrame:
+def _scan(texts: DataFrame, parts: list[tuple[Column, Column]], in_lower_case: bool = False, raw: str | None = None) -> DataFrame:
     """One pass for all parts: texts without any sign go first, and a part's spans are made only in texts with its sign."""
     if not parts:  # nothing asked for: no rows, and no scan
         nothing = texts.where("false").select("text_id", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("hit"))
-        return _shaped(nothing, "", 0.0, "")
-    rows = with_text(texts).select("text_id", "text", *([F.explode(F.array(_low(F.col("text")))).alias("low")] if in_lower_case else []))
+        empty = _shaped(nothing, "", 0.0, "")
+        return empty.select("*", F.lit(0).alias("raw_start"), F.lit(0).alias("raw_end")) if raw else empty
+    rows = with_text(texts).select("text_id", "text", *([F.col(raw).alias("raw")] if raw else []), *([F.explode(F.array(_low(F.col("text")))).alias("low")] if in_lower_case else []))
     none = F.expr("cast(array() as array<struct<seq:int,entity_type:string,start:int,end:int,score:double,text:string,source:string>>)")
     held = reduce(lambda a, b: a | b, (sign for sign, _ in parts))
-    each = rows.where(held).select("text_id", F.explode(F.concat(*(F.when(sign, spans).otherwise(none) for sign, spans in parts))).alias("m"))
-    return each.select("text_id", "m.*")
+    found = F.concat(*(F.when(sign, spans).otherwise(none) for sign, spans in parts))
+    if raw is None:
+        return rows.where(held).select("text_id", F.explode(found).alias("m")).select("text_id", "m.*")
+    hit = rows.where(held).select("text_id", "raw", F.explode(F.array(found)).alias("all")).where(F.size("all") > 0)
+    placed = hit.select("text_id", "all", page_offsets("raw").alias("o"))  # only of texts with a detection
+    moved = F.transform("all", lambda m: F.struct(m.alias("m"), to_raw_span(F.col("o"), m["start"], m["end"]).alias("raw")))
+    return placed.select("text_id", F.explode(moved).alias("x")).select("text_id", "x.m.*", F.col("x.raw.start").alias("raw_start"), F.col("x.raw.end").alias("raw_end"))
 
 
 def lowered(x: Column | str) -> Column:
@@ -184,6 +193,8 @@ def _machine(name: str, held: Broadcast):
 
 
 _LEVELS = 3
+#: Different first runs of keys that are sent to the tasks; with more of them, starts go to the join unfiltered.
+MAX_FIRSTS = 500_000
 
 
 def _by_anchor(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -191,18 +202,23 @@ def _by_anchor(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
     A hit starts where a run starts and its runs are the key's, since no word character stands at its sides, so equal
     runs are necessary; with two words of each key in the anchor, hardly anything but hits is left to compare. Starts are
-    a running sum over a text's runs, by a window that is spilled rather than held.
+    a running sum over a text's runs, by a window that is spilled rather than held. Texts are dealt out whole before they
+    are taken apart, so runs aren't shuffled, and starts that begin no key are dropped before the join.
     """
     runs = rf"({WORD}+|[^\p{{L}}\p{{N}}_])"
     split = lambda c: F.regexp_extract_all(c, F.lit(runs), F.lit(1))
     shaped = keys.select("entity_type", "key", F.explode(F.array(split(F.col("key")))).alias("r"))
-    shaped = shaped.select("entity_type", "key", F.length("key").alias("n"), F.least(F.size("r"), F.lit(_LEVELS)).alias("level"), F.array_join(F.slice("r", 1, _LEVELS), "").alias("anchor"))
-    tokens = with_text(texts).select("text_id", F.posexplode(split(lowered("text"))).alias("pos", "run"))
+    shaped = shaped.select("entity_type", "key", F.length("key").alias("n"), F.least(F.size("r"), F.lit(_LEVELS)).alias("level"), F.array_join(F.slice("r", 1, _LEVELS), "").alias("anchor"), F.col("r")[0].alias("run"))
+    firsts = shaped.select("run").distinct()
+    tokens = with_text(texts).repartition("text_id").select("text_id", F.posexplode(split(lowered("text"))).alias("pos", "run"))
     order = Window.partitionBy("text_id").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = tokens.withColumn("start", F.coalesce(F.sum(F.length("run")).over(upto), F.lit(0)).cast("int")).withColumn("second", F.lead("run", 1).over(order)).withColumn("third", F.lead("run", 2).over(order))
     anchors = F.array(*(F.struct(F.lit(n + 1).alias("level"), F.concat(*cols).alias("anchor")) for n, cols in enumerate((["run"], ["run", "second"], ["run", "second", "third"]))))
-    starts = placed.where("run <> ' '").select("text_id", "start", F.explode(anchors).alias("a")).select("text_id", "start", "a.level", "a.anchor").where("anchor is not null")
+    placed = placed.where("run <> ' '")
+    if firsts.limit(MAX_FIRSTS + 1).count() <= MAX_FIRSTS:
+        placed = placed.join(F.broadcast(firsts), "run", "left_semi")
+    starts = placed.select("text_id", "start", F.explode(anchors).alias("a")).select("text_id", "start", "a.level", "a.anchor").where("anchor is not null")
     met = starts.join(shaped, ["level", "anchor"]).select("text_id", "start", "entity_type", "key", "n")
     low, raw = lowered("text"), F.col("text")
     at = met.join(with_text(texts).select("text_id", "text"), "text_id")

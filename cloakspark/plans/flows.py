@@ -146,13 +146,15 @@ def pages(units: DataFrame, words: Iterable[str] = (), style: str = PSEUDONYMIZE
     With `redact_images` the result has the boxes that cover the images, in either style and whether or not words are found.
     """
     ids, words = _unit_id(units), tuple(words)
-    plain = ids.select("text_id", F.explode(F.array(normalize_page_text("text"))).alias("text"))  # a generator, so that it is worked out once and not in every expression that reads it
-    found = materialise(detect.patterns_and_words(plain, settings.entities, words, settings.pattern_score, settings.custom_score))  # one pass over the pages; far smaller than they are
+    plain = ids.select("text_id", F.col("text").alias("raw"), F.explode(F.array(normalize_page_text("text"))).alias("text"))  # a generator, so that it is worked out once and not in every expression that reads it
+    # one pass over the pages, offsets in the raw text included; far smaller than they are
+    found = materialise(detect.patterns_and_words(plain, settings.entities, words, settings.pattern_score, settings.custom_score, "raw"))
     addresses = resolve.engine(found.where("source = 'pattern match'"), settings.pages_threshold)
     spans = materialise(resolve.staged(addresses, found.where("source = 'custom word'"))) if words else addresses
     ranked = spans.withColumn("p", resolve.priority())
     assigned = A.assign(A.distinct_names(ranked, ["text_id", "p", "start"]), None, settings)
-    raw = raw_spans(ids, spans)
+    where = ["text_id", "start", "end"]
+    raw = spans.join(found.select(*where, "raw_start", "raw_end").distinct(), where).drop("start", "end").withColumnsRenamed({"raw_start": "start", "raw_end": "end"})
     result = _units_result(ids, spans, assigned, raw, style)
     return replace(result, boxes=image_boxes(units)) if redact_images and "images" in units.columns else result
 

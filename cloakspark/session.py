@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
             named = tempfile.mkdtemp(prefix="cloakspark-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 

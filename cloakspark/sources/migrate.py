@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ def organisations(lines: DataFrame) -> DataFrame:
 
 
 def merged(existing: DataFrame | None, new: DataFrame) -> DataFrame:
-    """One row per category and name, the one with an id before one without, then the earlier; existing rows come first."""
-    fit = lambda df, n: df.select(F.lit(n).alias("origin"), F.col("ord"), *(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS))
+    """One row per category and name, the one with an id before one without, then the earlier; existing rows come first, then new ones by `list_no`, if they have it."""
+    fit = lambda df, n: df.select((F.lit(n) + (F.col("list_no") if "list_no" in df.columns else 0)).alias("origin"), F.col("ord"), *(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS))
     rows = fit(new, 1) if existing is None else fit(existing, 0).unionByName(fit(new, 1))
     rest = F.struct("Internal ID", "Primary Subsidiary", "Country")
     kept = rows.groupBy("Category", "Name").agg(F.min_by(rest, F.struct(F.col("Internal ID").isNull().alias("n"), "origin", "ord")).alias("k"))
@@ -52,5 +54,5 @@ def run(spark: SparkSession, people_path: str | None, organisations_path: str |
     parts = [f(read_lines(spark, p)) for f, p in ((people, people_path), (organisations, organisations_path)) if p]
     if not parts:
         raise ValueError("no list to migrate")
-    new = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1].withColumn("ord", F.col("ord") + (1 << 52)))
+    new = reduce(DataFrame.unionByName, (p.withColumn("list_no", F.lit(n)) for n, p in enumerate(parts)))
     return merged(existing, new).orderBy("Category", "Name", F.col("Internal ID").isNull())

@@ -15,6 +15,7 @@ from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -30,6 +31,11 @@ def _column(reference: str) -> int:
 
 def read_workbook(data: bytes) -> dict[str, list[list[str | None]]]:
     """Rows of cell texts of each sheet, in the workbook's order; numbers as they are stored, null for empty cells."""
+    return {name: [[c and c[0] for c in row] for row in rows] for name, rows in _typed_cells(data).items()}
+
+
+def _typed_cells(data: bytes) -> dict[str, list[list[tuple[str, str] | None]]]:
+    """The same with what a cell is, besides its text: `number`, `boolean` or `text`."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         shared = []
@@ -40,19 +46,19 @@ def read_workbook(data: bytes) -> dict[str, list[list[str | None]]]:
         for sheet in ET.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
             target = targets[sheet.get(f"{_R}id")].lstrip("/")
             part = target if target.startswith("xl/") else f"xl/{target}"
-            rows: list[list[str | None]] = []
+            rows: list[list[tuple[str, str] | None]] = []
             for row in ET.fromstring(z.read(part)).iter(f"{_S}row"):
                 number = int(row.get("r") or len(rows) + 1)
                 rows += [[] for _ in range(number - 1 - len(rows))]
-                cells: list[str | None] = []
+                cells: list[tuple[str, str] | None] = []
                 for c in row.iter(f"{_S}c"):
                     at = _column(c.get("r")) if c.get("r") else len(cells)
                     cells += [None] * (at + 1 - len(cells))
                     kind, v = c.get("t"), c.find(f"{_S}v")
                     if kind == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in c.iter(f"{_S}t"))
+                        cells[at] = "".join(t.text or "" for t in c.iter(f"{_S}t")), "text"
                     elif v is not None and v.text is not None:
-                        cells[at] = shared[int(v.text)] if kind == "s" else ("TRUE" if v.text == "1" else "FALSE") if kind == "b" else v.text
+                        cells[at] = (shared[int(v.text)], "text") if kind == "s" else ("TRUE" if v.text == "1" else "FALSE", "boolean") if kind == "b" else (v.text, "number" if kind in (None, "n") else "text")
                 rows.append(cells)
             out[sheet.get("name")] = rows
     return out
@@ -136,27 +142,42 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sheet_cells(spark: SparkSession, path: str, first_only: bool = True) -> DataFrame:
-    """`path, sheet, sheet_ord, row_id, header, cells` of the workbooks under a path; the first row of a sheet is its header."""
+    """`path, sheet, sheet_ord, row_id, header, cells, kinds` of the workbooks under a path; the first row of a sheet is its header.
+
+    A sheet of a header alone has one row without `row_id`, so that its columns aren't lost. `kinds` says of each cell
+    whether it is a number, a boolean or text.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for n, (name, rows) in enumerate(read_workbook(data).items()):
+                for n, (name, rows) in enumerate(_typed_cells(data).items()):
                     if rows and not (first_only and n):
-                        body = rows[1:]
-                        texts = pa.list_(pa.string())
-                        yield pa.RecordBatch.from_arrays([pa.array([p] * len(body)), pa.array([name] * len(body), pa.string()), pa.array([n] * len(body), pa.int32()), pa.array(range(len(body)), pa.int64()), pa.array([rows[0]] * len(body), texts), pa.array(body, texts)], ["path", "sheet", "sheet_ord", "row_id", "header", "cells"])
+                        part = lambda row, k: [c and c[k] for c in row]
+                        body = rows[1:] or [[]]
+                        texts, ids = pa.list_(pa.string()), list(range(len(body))) if rows[1:] else [None]
+                        yield pa.RecordBatch.from_arrays([pa.array([p] * len(body)), pa.array([name] * len(body), pa.string()), pa.array([n] * len(body), pa.int32()), pa.array(ids, pa.int64()), pa.array([part(rows[0], 0)] * len(body), texts), pa.array([part(r, 0) for r in body], texts), pa.array([part(r, 1) for r in body], texts)], ["path", "sheet", "sheet_ord", "row_id", "header", "cells", "kinds"])
 
-    return _files(spark, path).mapInArrow(run, "path string, sheet string, sheet_ord int, row_id long, header array<string>, cells array<string>")
+    return _files(spark, path).mapInArrow(run, "path string, sheet string, sheet_ord int, row_id long, header array<string>, cells array<string>, kinds array<string>")
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """One sheet of one workbook (the first, or by name) as a table with `row_id`; all columns are strings."""
+    """One sheet of one workbook (the first, or by name) as a table with `row_id`.
+
+    A column whose cells are all numbers is one of whole numbers or, if any has a fraction, of doubles; one of booleans
+    is boolean; any other, an empty one too, is a string. A sheet of a header alone is a table without rows.
+    """
     cells = sheet_cells(spark, path, first_only=sheet is None)
     if sheet is not None:
         cells = cells.where(cells["sheet"] == sheet)
     first = cells.select("header").limit(1).collect()
     header = [h for h in (first[0][0] if first else [])]
-    return cells.select("row_id", *(cells["cells"].getItem(n).alias(h) for n, h in enumerate(header) if h))
+    at = lambda c, n: F.get(F.col(c), n)
+    rows = cells.where("row_id is not null")
+    kept = [(n, h) for n, h in enumerate(header) if h]
+    kinds = F.struct(*(F.struct(F.collect_set(at("kinds", n)).alias("kinds"), F.coalesce(F.bool_and(at("cells", n).rlike("^-?[0-9]{1,18}$")), F.lit(False)).alias("whole")).alias(str(n)) for n, _ in kept))
+    seen = rows.agg(kinds.alias("k")).first()["k"] if kept else {}
+    type_of = lambda k: {("number",): "long" if k["whole"] else "double", ("boolean",): "boolean"}.get(tuple(k["kinds"]), "string")
+    return rows.select("row_id", *(at("cells", n).cast(type_of(seen[str(n)])).alias(h) for n, h in kept))
 
 
 def block_units(spark: SparkSession, path: str) -> DataFrame:

@@ -104,3 +104,13 @@ def test_migration_run(spark, tmp_path):
     (tmp_path / "o.txt").write_text("Acme\n")
     got = [(r["Category"], r["Name"], r["Internal ID"]) for r in migrate.run(spark, str(tmp_path / "p.txt"), str(tmp_path / "o.txt")).collect()]
     assert got == [("Staff", "Ann", None), ("Staff", "Zed", "3"), ("Vendor", "Acme", None)]
+
+
+def test_columns_of_a_sheet_have_types_and_a_header_alone_has_columns(spark, tmp_path):
+    data = office.write_workbook({"A": (["Name", "Id", "Amount", "Empty", "Mixed"], [["x", 5, 1.5, None, 1], [None, None, 2, None, "y"]]), "B": (["Name", "Internal ID"], [])})
+    (tmp_path / "a.xlsx").write_bytes(data)
+    path = str(tmp_path / "a.xlsx")
+    a, b = office.read_sheet(spark, path), office.read_sheet(spark, path, "B")
+    assert a.dtypes == [("row_id", "bigint"), ("Name", "string"), ("Id", "bigint"), ("Amount", "double"), ("Empty", "string"), ("Mixed", "string")]
+    assert [tuple(r) for r in a.orderBy("row_id").collect()] == [(0, "x", 5, 1.5, None, "1"), (1, None, None, 2.0, None, "y")]
+    assert b.columns == ["row_id", "Name", "Internal ID"] and b.count() == 0

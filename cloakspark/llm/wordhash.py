@@ -89,6 +89,7 @@ class Words:
     length: np.ndarray
     row: np.ndarray
     n_rows: int
+    once: np.ndarray | None = None  # the code points through the table, let go of as letters are first made
 
     @property
     def start(self) -> np.ndarray:
@@ -97,7 +98,7 @@ class Words:
     @property
     def letters(self) -> np.ndarray:
         """The folded letters of all words one after another, made when asked for: whatever the table doesn't skip is in a word."""
-        fold = fold_table()[self.raw]
+        fold, self.once = fold_table()[self.raw] if self.once is None else self.once, None
         return fold[fold > 0]
 
     def hashes(self, seed: int = 0, letters: np.ndarray | None = None) -> np.ndarray:
@@ -139,14 +140,16 @@ def words(col: pa.Array, joining: str = "") -> Words:
             skip = at[own & kept[np.maximum(last, 0)] & kept[np.minimum(next_, len(cps) - 1)]]
             inside = kept.copy()
             inside[skip] = True
-    before = np.concatenate([[False], inside[:-1]]) if len(inside) else inside
-    before[off[:-1][off[:-1] < len(inside)]] = False
-    begin = np.flatnonzero(inside & ~before)
-    upto = np.concatenate([[0], np.cumsum(inside)])
-    # a word's span ends before the next sign that parts, or the next row
-    span = np.diff(np.append(upto[begin], upto[-1]))
-    count = np.concatenate([[0], np.cumsum(kept)])
-    return Words(cps, begin, span, count[begin + span] - count[begin], np.searchsorted(off, begin, side="right") - 1, len(off) - 1)
+    edge = np.zeros(len(inside) + 1, bool)
+    edge[off[off <= len(inside)]] = True  # a row begins or ends here
+    begin = np.flatnonzero(inside & np.concatenate([[True], edge[1:-1] | ~inside[:-1]])) if len(inside) else np.zeros(0, np.int64)
+    end = np.flatnonzero(inside & np.concatenate([edge[1:-1] | ~inside[1:], [True]])) if len(inside) else begin
+    span = end + 1 - begin
+    length = span
+    if inside is not kept:
+        count = np.concatenate([[0], np.cumsum(kept)])
+        length = count[end + 1] - count[begin]
+    return Words(cps, begin, span, length, np.searchsorted(off, begin, side="right") - 1, len(off) - 1, fold)
 
 
 def gather(start: np.ndarray, length: np.ndarray) -> np.ndarray:

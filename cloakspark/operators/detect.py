@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from uuid import uuid4
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WORD, col, page_offsets, recase_uppercase, regex_spans, to_raw_span
 from ..schemas import DETECTION
+from ..session import materialise
 from ..settings import DEFAULTS
 
 Detector = Callable[[DataFrame], DataFrame]
@@ -127,13 +129,13 @@ def dictionary(texts: DataFrame, names: DataFrame, score: float = DEFAULTS.maste
     """Every occurrence of every key (`entity_type, key`) in every text, any case, no word character at its sides.
 
     Overlapping hits are all given. `automaton`: one narrow pass over the texts with all keys in one automaton per task;
-    only for a dictionary within `max_keys`. `join`: keys and word starts are joined on the key's first word and then
-    compared, for a dictionary of any size; all in the JVM. `auto` counts the keys and decides.
+    only for a dictionary within `max_keys`. `join`: one narrow pass with a filter of the keys of bounded size, then a join
+    with the whole keys, for a dictionary of any size. `auto` counts the keys and decides.
     """
-    keys = _keys(names)
+    keys = _keys(names) if strategy == "automaton" else materialise(_keys(names))  # read several times, and dear to make
     if strategy == "auto":
         strategy = "automaton" if keys.limit(max_keys + 1).count() <= max_keys else "join"
-    hits = _by_automaton(texts, keys, max_keys) if strategy == "automaton" else _by_anchor(texts, keys)
+    hits = _by_automaton(texts, keys, max_keys) if strategy == "automaton" else _by_join(texts, keys)
     rank = F.when(F.col("entity_type") == "PERSON", 0).otherwise(1)
     return _shaped(hits, F.col("entity_type"), score, "master list", rank)
 
@@ -192,39 +194,154 @@ def _machine(name: str, held: Broadcast):
     return _MACHINES[name]
 
 
-_LEVELS = 3
-#: Different first runs of keys that are sent to the tasks; with more of them, starts go to the join unfiltered.
-MAX_FIRSTS = 500_000
+#: Length of the prefixes that tell which lengths of keys may start at a place; shorter keys are looked up whole.
+_PREFIX = 6
+#: Code points of texts that are looked through at once.
+_CHUNK = 1 << 20
+_SEPARATOR = 0x110000
+_WORDS: list[np.ndarray] = []
+_POWERS: list[np.ndarray] = []
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+
+
+def _word_table(spark: SparkSession) -> np.ndarray:
+    """For each code point, as packed bits, whether the JVM takes it for a word character; asked for once."""
+    if not _WORDS:
+        points = [c for c in range(_SEPARATOR) if not 0xD800 <= c < 0xE000]
+        blocks = [(n, "".join(map(chr, points[n : n + 8192]))) for n in range(0, len(points), 8192)]
+        sign = F.regexp_replace(F.regexp_replace("s", "[^\\p{L}\\p{N}_]", "-"), WORD, "w")
+        table = np.zeros(_SEPARATOR + 1, bool)
+        for n, signs in spark.createDataFrame(blocks, "n int, s string").select("n", sign).collect():
+            table[points[n : n + 8192]] = [x == "w" for x in signs]
+        _WORDS.append(np.packbits(table))
+    return _WORDS[0]
+
+
+class _Codes:
+    """Strings, each followed by a separator, as one array of code points, with hashes of any stretch of it."""
+
+    def __init__(self, strings: list[str]):
+        self.points = np.frombuffer("".join(s + "\0" for s in strings).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        self.ends = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings)) + 1) - 1
+        self.points[self.ends] = _SEPARATOR
+        size = len(self.points)
+        if not _POWERS or len(_POWERS[0]) < size:
+            with np.errstate(over="ignore"):
+                _POWERS[:] = [np.cumprod(np.full(max(size, _CHUNK), x, np.uint64)) for x in (0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64))]
+        self.sums = np.zeros(size + 1, np.uint64)
+        np.cumsum((self.points.astype(np.uint64) + _ODD[2]) * _POWERS[0][:size], out=self.sums[1:])
+
+    def hashes(self, start: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+        """64 bits that depend on the stretch's code points only, not on its place."""
+        h = (self.sums[start + n] - self.sums[start]) * _POWERS[1][start]
+        h = (h ^ (h >> np.uint64(32))) * _ODD[0]
+        h = (h ^ (h >> np.uint64(29))) * _ODD[1]
+        return h ^ (h >> np.uint64(32))
+
+
+class _Filter:
+    """What may be a key: two bits for each key, and by its prefix the lengths of the keys with it. All keys pass, and few other stretches do; of very many keys, more."""
+
+    def __init__(self, bits: int, slots: int):
+        self.bits, self.slots, self.lengths = np.zeros(1 << bits >> 3, np.uint8), np.zeros(1 << slots, np.uint64), set()
+        self.b, self.s = np.uint64(64 - bits), np.uint64(64 - slots)
+
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return h >> self.b, (h * _ODD[2]) >> self.b
+
+    def add(self, keys: list[str]) -> None:
+        codes, n = _Codes(keys), np.fromiter(map(len, keys), np.int64, len(keys))
+        start = codes.ends - n
+        for at in self._places(codes.hashes(start, n)):
+            np.bitwise_or.at(self.bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        long = n >= _PREFIX
+        np.bitwise_or.at(self.slots, codes.hashes(start[long], _PREFIX) >> self.s, np.uint64(1) << np.minimum(n[long], 63).astype(np.uint64))
+        self.lengths |= set(n.tolist())
+
+    def union(self, bits: bytes, slots: bytes, lengths: list[int]) -> None:
+        self.bits |= np.frombuffer(bits, np.uint8)
+        self.slots |= np.frombuffer(slots, np.uint64)
+        self.lengths |= set(lengths)
+
+    def _passed(self, codes: _Codes, start: np.ndarray, n: int, ends: np.ndarray) -> np.ndarray:
+        start = start[start + n < len(ends)]
+        start = start[ends[start + n]]
+        one, two = self._places(codes.hashes(start, n))
+        held = lambda at: (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+        return start[(held(one) & held(two)) == 1]
+
+    def spans(self, strings: list[str], word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which string, start, length) of what may be a key, without word characters at its sides."""
+        codes = _Codes(strings)
+        inner = word[codes.points]
+        ends = ~inner
+        begin = ends & (codes.points != 0x20)
+        begin[1:] = ~inner[:-1] & (codes.points[1:] != 0x20)
+        begin[0] = codes.points[0] != 0x20
+        start = np.flatnonzero(begin)
+        found = [(n, self._passed(codes, start, n, ends)) for n in sorted(self.lengths) if n < _PREFIX]
+        start = start[start + _PREFIX < len(ends)]
+        masks = self.slots[codes.hashes(start, _PREFIX) >> self.s]
+        start, masks = start[masks != 0], masks[masks != 0]
+        for n in sorted(self.lengths) if len(start) else ():
+            if n >= _PREFIX:
+                found.append((n, self._passed(codes, start[(masks >> np.uint64(min(n, 63))) & np.uint64(1) == 1], n, ends)))
+        start = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.int64)
+        n = np.concatenate([np.full(len(s), n) for n, s in found]) if found else start
+        which = np.searchsorted(codes.ends, start)
+        within = start + n <= codes.ends[which]
+        start, n, which = start[within], n[within], which[within]
+        return which, start - np.concatenate([[0], codes.ends[:-1] + 1])[which], n
+
+
+def _filter_of(keys: DataFrame) -> _Filter:
+    """The filter of all keys; parts of it are made where the keys are."""
+    size = keys.count()
+    # at most 16 MB and 8 MB, whatever the number of keys
+    shape = min(max((16 * size).bit_length(), 16), 27), min(max((4 * size).bit_length(), 12), 20)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Filter(*shape)
+        for b in batches:
+            if b.num_rows:
+                own.add(b.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([own.bits.tobytes()], pa.binary()), pa.array([own.slots.tobytes()], pa.binary()), pa.array([sorted(own.lengths)], pa.list_(pa.int32()))], ["bits", "slots", "lengths"])
+
+    out = _Filter(*shape)
+    for r in keys.select("key").coalesce(4).mapInArrow(part, "bits binary, slots binary, lengths array<int>").toLocalIterator():
+        out.union(r["bits"], r["slots"], r["lengths"])
+    return out
 
 
-def _by_anchor(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Keys and places in texts joined on their first runs: word, sign, word; as many as the key has, three at most.
+def _by_join(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """What may be a key, found in one narrow pass over the texts, joined with the keys by the whole key.
 
-    A hit starts where a run starts and its runs are the key's, since no word character stands at its sides, so equal
-    runs are necessary; with two words of each key in the anchor, hardly anything but hits is left to compare. Starts are
-    a running sum over a text's runs, by a window that is spilled rather than held. Texts are dealt out whole before they
-    are taken apart, so runs aren't shuffled, and starts that begin no key are dropped before the join.
+    The pass holds a filter of bounded size in place of the keys; it lets no key slip, and the join drops what isn't one,
+    so only stretches about as many as the hits are shuffled, never texts, and no two keys meet in the join.
     """
-    runs = rf"({WORD}+|[^\p{{L}}\p{{N}}_])"
-    split = lambda c: F.regexp_extract_all(c, F.lit(runs), F.lit(1))
-    shaped = keys.select("entity_type", "key", F.explode(F.array(split(F.col("key")))).alias("r"))
-    shaped = shaped.select("entity_type", "key", F.length("key").alias("n"), F.least(F.size("r"), F.lit(_LEVELS)).alias("level"), F.array_join(F.slice("r", 1, _LEVELS), "").alias("anchor"), F.col("r")[0].alias("run"))
-    firsts = shaped.select("run").distinct()
-    tokens = with_text(texts).repartition("text_id").select("text_id", F.posexplode(split(lowered("text"))).alias("pos", "run"))
-    order = Window.partitionBy("text_id").orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = tokens.withColumn("start", F.coalesce(F.sum(F.length("run")).over(upto), F.lit(0)).cast("int")).withColumn("second", F.lead("run", 1).over(order)).withColumn("third", F.lead("run", 2).over(order))
-    anchors = F.array(*(F.struct(F.lit(n + 1).alias("level"), F.concat(*cols).alias("anchor")) for n, cols in enumerate((["run"], ["run", "second"], ["run", "second", "third"]))))
-    placed = placed.where("run <> ' '")
-    if firsts.limit(MAX_FIRSTS + 1).count() <= MAX_FIRSTS:
-        placed = placed.join(F.broadcast(firsts), "run", "left_semi")
-    starts = placed.select("text_id", "start", F.explode(anchors).alias("a")).select("text_id", "start", "a.level", "a.anchor").where("anchor is not null")
-    met = starts.join(shaped, ["level", "anchor"]).select("text_id", "start", "entity_type", "key", "n")
-    low, raw = lowered("text"), F.col("text")
-    at = met.join(with_text(texts).select("text_id", "text"), "text_id")
-    before, after = F.when(F.col("start") > 0, F.substring(low, F.col("start"), F.lit(1))).otherwise(""), F.substring(low, F.col("start") + F.col("n") + 1, F.lit(1))
-    ok = (F.substring(low, F.col("start") + 1, F.col("n")) == F.col("key")) & ~before.rlike(WORD) & ~after.rlike(WORD)
-    return at.where(ok).select("text_id", "entity_type", "start", (F.col("start") + F.col("n")).alias("end"), F.substring(raw, F.col("start") + 1, F.col("n")).alias("hit"))
+    spark = texts.sparkSession
+    held = spark.sparkContext.broadcast((_filter_of(keys), _word_table(spark)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, word = held.value[0], np.unpackbits(held.value[1])[: _SEPARATOR + 1].astype(bool)
+        for b in batches:
+            raw, low = b.column(1).to_pylist(), b.column(2).to_pylist()
+            done = 0
+            while done < len(low):
+                upto, size = done, 0
+                while upto < len(low) and (upto == done or size + len(low[upto]) < _CHUNK):
+                    size += len(low[upto]) + 1
+                    upto += 1
+                which, start, n = (x.tolist() for x in sieve.spans(low[done:upto], word))
+                rows = [done + w for w in which]
+                end = [s + k for s, k in zip(start, n)]
+                key, hit = ([x[i][s:e] for i, s, e in zip(rows, start, end)] for x in (low, raw))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(key, pa.string()), pa.array(hit, pa.string())], ["text_id", "start", "end", "key", "hit"])
+                done = upto
+
+    rows = with_text(texts).select("text_id", "text", lowered("text").alias("low"))
+    found = rows.mapInArrow(scan, f"text_id {rows.schema['text_id'].dataType.simpleString()}, start int, end int, key string, hit string")
+    return found.join(keys, "key").select("text_id", "entity_type", "start", "end", "hit")
 
 
 def plugin(texts: DataFrame, analyze: Callable[[str], list[tuple[str, int, int, float]]], entities: Iterable[str] | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from cloakspark.operators import detect as D
 
 
@@ -76,3 +78,28 @@ def test_both_strategies_agree_on_every_letter(spark):
     key = lambda df: df.groupBy("text_id", "start", "end", "entity_type").count()
     a, b = key(D.dictionary(t, n, strategy="automaton")), key(D.dictionary(t, n, strategy="join"))
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 < a.count()
+
+
+def test_join_of_keys_that_begin_alike(spark):
+    """Keys of one beginning don't meet every text with it: a text's stretches are joined with whole keys, without a window over its words."""
+    keys = [f"to Customer#{i:09d}" for i in range(300)] + [f"Customer#{i:09d}" for i in range(300)] + ["to Customer", "to", "#"]
+    t = texts(spark, *(f"Paid to Customer#{i:09d} by 1-URGENT / Customer#{i + 299:09d}" for i in range(50)), "to Customer#0000000011", "", None)
+    n = names(spark, *[("PERSON", k) for k in keys], ("ORGANIZATION", "TO"))
+    joined = D.dictionary(t, n, strategy="join")
+    got = spans(joined)
+    assert got == spans(D.dictionary(t, n, strategy="automaton")) and (3, 5, 26, "PERSON", "to Customer#000000003") in got and len([s for s in got if s[0] < 50]) == 50 * 5 + 1
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "(key#" in plan.split("Join Inner, ")[1].split("\n")[0] and "Window" not in plan
+
+
+def test_join_with_a_crowded_filter(spark):
+    """The filter may let more pass, never less: a hit of any length, in texts of any length."""
+    rng = random.Random(11)
+    keys = sorted({"".join(rng.choice("abé😀 -") for _ in range(n)).strip() or "a" for n in (1, 2, 3, 5, 6, 7, 62, 63, 64, 65, 200) for _ in range(8)})
+    ts = [" ".join(rng.choices(keys, k=30)) for _ in range(20)] + [keys[-1], "x" * 70_000 + " " + keys[3]]
+    n = names(spark, *[("PERSON", k) for k in keys])
+    assert spans(D.dictionary(texts(spark, *ts), n, strategy="join")) == spans(D.dictionary(texts(spark, *ts), n, strategy="automaton"))
+    sieve = D._Filter(3, 0)
+    sieve.add(keys)
+    which, start, size = (x.tolist() for x in sieve.spans(["", keys[-1]], np.zeros(0x110001, bool)))
+    assert (1, 0, len(keys[-1])) in set(zip(which, start, size))

@@ -44,8 +44,8 @@ def without_overlaps(detections: DataFrame) -> DataFrame:
 
 
 def engine(detections: DataFrame, threshold: float) -> DataFrame:
-    """What one analysis of a text gives: threshold, best per span, no overlaps."""
-    return without_overlaps(best_per_span(above(detections, threshold)))
+    """What one analysis of a text gives: threshold, best per span, no overlaps; detections are dealt out by text, once for all steps."""
+    return without_overlaps(best_per_span(above(detections, threshold).repartition("text_id")))
 
 
 def staged(detections: DataFrame, words: DataFrame | None = None) -> DataFrame:

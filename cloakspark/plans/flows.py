@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +42,18 @@ def unpivot(df: DataFrame, columns: Sequence[str], row_id: str = "row_id") -> Da
     return df.select(F.col(row_id).cast("long").alias("row_id"), F.explode(cells).alias("c")).select("row_id", "c.col_pos", "c.column", "c.text")
 
 
+def _not_blank(text: Column) -> Column:
+    return text.rlike(r"(?U)\S")
+
+
+def _digest(text: Column) -> Column:
+    """A `text_id` that equal texts share: 256 bits of SHA-2, so whole texts are sorted and joined by it."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def with_text_ids(cells: DataFrame) -> DataFrame:
-    """Cells that aren't blank with a `text_id` that equal texts share: 256 bits of SHA-2, so whole texts are sorted and joined by it."""
-    return cells.where("text rlike '(?U)\\\\S'").withColumn("text_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    """Cells that aren't blank with their `text_id`."""
+    return cells.where(_not_blank(F.col("text"))).withColumn("text_id", _digest(F.col("text")))
 
 
 def distinct_texts(cells: DataFrame) -> DataFrame:
@@ -52,6 +61,23 @@ def distinct_texts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("text_id").agg(F.first("text").alias("text"))
 
 
+#: Scanned columns that a table is joined with its findings by, one after the other; with more of them, cells are joined and put into rows.
+_DIRECT = 2
+
+
+def _spliced_columns(df: DataFrame, chosen: Sequence[str], lists: DataFrame, row_id: str) -> DataFrame:
+    """The table with its columns spliced where they stand, and `changed`; a join for each column, and no row is put together anew."""
+    out, names = df, []
+    for n, c in enumerate(chosen):
+        text, key, spans = F.col(f"`{c}`").cast("string"), f"__text_{n}", f"__spans_{n}"
+        # no digest is as short as these numbers, so blank cells meet nothing and are dealt out evenly
+        out = out.withColumn(key, F.when(_not_blank(text), _digest(text)).otherwise(F.xxhash64(row_id).cast("string").cast("binary")))
+        out = out.join(lists.withColumnsRenamed({"text_id": key, "spans": spans}), key, "left").withColumn(c, splice.spliced(text, spans))
+        names.append(F.when(F.col(spans).isNotNull(), F.lit(c)))
+    changed = F.array_sort(F.array_compact(F.array(*names)))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), changed.alias("changed"))
+
+
 def documents_detector(rows: DataFrame, settings: Settings = DEFAULTS, entities: Iterable[str] | None = None):
     """The detections of cells and blocks: list names and patterns, thresholded and settled. Types not asked for are not planned."""
     from ..operators.masterlist import dictionary
@@ -83,12 +109,16 @@ def cells(df: DataFrame, detector: detect.Detector, master: DataFrame | None, co
     texts = distinct_texts(long)
     places = long.select("row_id", "col_pos", "column", "text_id")
     spans = materialise(detector(texts))  # read by the crosswalk and by the splicing; far smaller than the texts
-    with_spans = texts.join(spans.select("text_id").distinct(), "text_id", "left_semi")
     findings = places.join(spans, "text_id")
-    # the first surface form of a name: column by column, row by row, and the rightmost in a cell
-    named = findings.select("entity_type", "text", "col_pos", "row_id", (-F.col("start")).alias("from_right"))
-    assigned = A.assign(A.distinct_names(named, ["col_pos", "row_id", "from_right"]), master, settings, with_hints)
-    done = splice.redact(with_spans, _values(spans, assigned)).select("text_id", "redacted")
+    # the first surface form of a name: column by column, row by row, and the rightmost in a cell; a text's first place is that of its names
+    first = places.groupBy("text_id").agg(F.min(F.struct("col_pos", "row_id")).alias("place"))
+    named = spans.select("text_id", "entity_type", "text", (-F.col("start")).alias("from_right")).join(first, "text_id")
+    assigned = A.assign(A.distinct_names(named, ["place", "from_right"]), master, settings, with_hints)
+    values = _values(spans, assigned)
+    if 0 < len(chosen) <= _DIRECT:
+        return Result(_spliced_columns(df, chosen, splice.span_lists(values), row_id), findings, assigned)
+    with_spans = texts.join(spans.select("text_id").distinct(), "text_id", "left_semi")
+    done = splice.redact(with_spans, values).select("text_id", "redacted")
     changed = places.join(done, "text_id").groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "redacted"))).alias("new"))  # a row has a bounded number of columns
     out = df.join(changed.withColumnRenamed("row_id", "__row"), F.col(row_id).cast("long") == F.col("__row"), "left")
     redacted = out.select(*(F.coalesce(F.col("new")[c], F.col(f"`{c}`").cast("string")).alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns), F.coalesce(F.array_sort(F.map_keys("new")), F.expr("cast(array() as array<string>)")).alias("changed"))

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,15 @@ def test_search_on_a_page_takes_the_first_that_hits(spark):
     df = spark.createDataFrame(rows, "id int, page string, text string, raw string")
     got = {r.id: (r.candidate, r.n_places) for r in flows.searched(df, raw="raw").collect()}
     assert got == {1: ("Acme and Sons", 1), 2: ("Acme Sup-\nplies", 1), 3: (None, 0), 4: (None, 0), 5: ("Acme", 2)}
+
+
+def test_cells_of_rows_without_an_id_and_of_blank_cells(spark):
+    """One or two columns are spliced where they stand: a row without an id, or with one that another has, too, is redacted like any other."""
+    rows = spark.createDataFrame([(1, "Staff", "Jane Doe", "PERSON", "STF-1")], "row_ord long, category string, name string, entity_type string, pseudonym string")
+    df = spark.createDataFrame([(None, "Jane Doe", "x"), (7, "by Jane Doe", " "), (7, "JANE DOE / Jane Doe", "Jane Doe"), (8, "", None), (9, "y", "z")], "row_id long, memo string, `b.c` string")
+    for columns in (["memo"], ["memo", "b.c"]):
+        out = flows.cells(df, flows.documents_detector(rows), master_map(rows), columns)
+        got = Counter(tuple(r)[:3] + (tuple(r.changed),) for r in out.redacted.collect())
+        other = ("STF-1", ("b.c", "memo")) if len(columns) == 2 else ("Jane Doe", ("memo",))
+        assert got == Counter([(None, "STF-1", "x", ("memo",)), (7, "by STF-1", " ", ("memo",)), (7, "STF-1 / STF-1", *other), (8, "", None, ()), (9, "y", "z", ())])
+        assert out.redacted.columns == ["row_id", "memo", "b.c", "changed"]

@@ -96,7 +96,10 @@ def documents_detector(rows: DataFrame, settings: Settings = DEFAULTS, entities:
 
 
 def _values(spans: DataFrame, assigned: DataFrame) -> DataFrame:
-    return spans.withColumn("norm_name", normalize_name("text")).join(assigned.select("entity_type", "norm_name", F.col("pseudonym").alias("value")), ["entity_type", "norm_name"])
+    """The spans with what they are replaced by; each distinct surface form is normalised once."""
+    forms = spans.select("entity_type", "text").distinct().withColumn("norm_name", normalize_name("text"))
+    valued = forms.join(assigned.select("entity_type", "norm_name", F.col("pseudonym").alias("value")), ["entity_type", "norm_name"])
+    return spans.join(valued.select("entity_type", "text", "value"), ["entity_type", "text"])
 
 
 def cells(df: DataFrame, detector: detect.Detector, master: DataFrame | None, columns: Sequence[str] | None = None, settings: Settings = DEFAULTS, row_id: str = "row_id", with_hints: bool = True) -> Result:
@@ -113,7 +116,8 @@ def cells(df: DataFrame, detector: detect.Detector, master: DataFrame | None, co
     # the first surface form of a name: column by column, row by row, and the rightmost in a cell; a text's first place is that of its names
     first = places.groupBy("text_id").agg(F.min(F.struct("col_pos", "row_id")).alias("place"))
     named = spans.select("text_id", "entity_type", "text", (-F.col("start")).alias("from_right")).join(first, "text_id")
-    assigned = A.assign(A.distinct_names(named, ["place", "from_right"]), master, settings, with_hints)
+    forms = named.groupBy("entity_type", "text").agg(F.min(F.struct("place", "from_right")).alias("o")).select("entity_type", "text", "o.*")
+    assigned = A.assign(A.distinct_names(forms, ["place", "from_right"]), master, settings, with_hints)
     values = _values(spans, assigned)
     if 0 < len(chosen) <= _DIRECT:
         return Result(_spliced_columns(df, chosen, splice.span_lists(values), row_id), findings, assigned)

@@ -65,3 +65,22 @@ def test_empty(spark):
     none = spark.createDataFrame([], "entity_type string, text string, n int")
     assert A.assign(A.distinct_names(none, ["n"]), None).count() == 0
     assert fuzzy.hints(spark.createDataFrame([("PERSON", "x")], "entity_type string, norm_name string"), master(spark, ("PERSON", "x", "P", "S", "x")).limit(0)).count() == 0
+
+
+def test_hints_among_many_names_alike(spark):
+    """Numbered names have very many candidates; only those a letter away are met, and of equal likeness the first in the list is given, whatever its bound."""
+    number = lambda k: f"customer#{k:09d}"
+    cands = [number(k) for k in range(0, 3000, 7)] + ["to " + number(k) for k in range(1, 3000, 70)] + ["xcustomer#000000005", "customer#00000000"]
+    m = master(spark, *[("PERSON", c, f"P{i}", "Staff", c) for i, c in enumerate(cands)], ("ORGANIZATION", number(1), "O", "Vendor", "o"))
+    asked = [number(k) for k in range(1, 3000, 210)] + ["customer#999999999", "ab", "a"]
+    n = spark.createDataFrame([("PERSON", a) for a in asked], "entity_type string, norm_name string")
+    want = {}
+    for a in asked:
+        scores = [(SequenceMatcher(None, a, c).ratio(), -i) for i, c in enumerate(cands) if abs(len(a) - len(c)) <= 3]
+        if scores and max(scores)[0] >= 0.84:
+            want[a] = (cands[-max(scores)[1]], max(scores)[0])
+    for block in (10_000, 100):
+        assert {r.norm_name: (r.suggested_name, r.suggested_score) for r in fuzzy.hints(n, m, 0.84, block=block).collect()} == want
+    listed = m.select("entity_type", "norm_name", "cand_ord")
+    near = {r.norm_name: list(r.rest) for r in fuzzy._near(n, listed, 0.84, 3, {"PERSON": [17, 18, 19, 21]}).collect()}
+    assert near[number(1)] == [] and near["customer#999999999"] == [17, 18, 19, 21]

@@ -11,6 +11,9 @@ from .text import COMPANY_FORMS, clean_text, col
 
 _EACH = {form: forms for forms in COMPANY_FORMS.values() for form in forms}
 
+#: A name without any of this, wherever it stands in it, has no form but itself.
+_MAY_VARY = r"(?iU)&|and|" + "|".join(_EACH) + r"|\s\s|[\s&&[^ ]]"
+
 
 def _is_and(token: Column) -> Column:
     return (token == "&") | (F.lower(F.rtrim(token, F.lit("."))) == "and")
@@ -36,7 +39,8 @@ def aliases(name: Column | str) -> Column:
     stems = and_variants(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(1))))
     with_forms = F.flatten(F.transform(stems, lambda s: F.transform(forms, lambda f: F.concat(s, F.lit(" "), f))))
     rest = F.when(forms.isNull(), and_variants(tokens)).when(F.size(tokens) >= 2, with_forms).otherwise(F.array(text))
-    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(F.concat(F.array(text), rest)))
+    every = F.when(~text.rlike(_MAY_VARY), F.array(text)).otherwise(F.array_distinct(F.concat(F.array(text), rest)))
+    return F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(every)
 
 
 _EITHER = {"&": ["and", "&"], "and": ["and", "&"]}

@@ -22,6 +22,8 @@ from ..settings import DEFAULTS
 Detector = Callable[[DataFrame], DataFrame]
 #: A dictionary of at most this many keys is sent to every task as an automaton; a larger one is joined.
 MAX_AUTOMATON_KEYS = 500_000
+#: Where the list is all that is asked for, keys that take at most so many bytes with their hashes are sent to every task whole.
+MAX_PACKED_BYTES = 64 << 20
 COLUMNS = [f.name for f in DETECTION]
 
 # The patterns are this project's own: an address with a plain local part and a domain of two labels or more, and a web
@@ -136,8 +138,20 @@ def dictionary(texts: DataFrame, names: DataFrame, score: float = DEFAULTS.maste
     if strategy == "auto":
         strategy = "automaton" if keys.limit(max_keys + 1).count() <= max_keys else "join"
     hits = _by_automaton(texts, keys, max_keys) if strategy == "automaton" else _by_join(texts, keys)
-    rank = F.when(F.col("entity_type") == "PERSON", 0).otherwise(1)
-    return _shaped(hits, F.col("entity_type"), score, "master list", rank)
+    return _shaped(hits, F.col("entity_type"), score, "master list", _rank())
+
+
+def settled_dictionary(texts: DataFrame, names: DataFrame, score: float = DEFAULTS.master_score, max_bytes: int = MAX_PACKED_BYTES) -> DataFrame | None:
+    """What `resolve.engine` keeps of the hits of `dictionary`, if they are all there is: in each text the leftmost, of those the longest, of its types the first.
+
+    One narrow pass that looks whole keys up, counted first. None for a dictionary over `max_bytes`, which is to be joined.
+    """
+    packed = _packed_of(materialise(_keys(names)), max_bytes)
+    return None if packed is None else _shaped(_by_packed(texts, packed), F.col("entity_type"), score, "master list", _rank())
+
+
+def _rank() -> Column:
+    return F.when(F.col("entity_type") == "PERSON", 0).otherwise(1)
 
 
 def _by_automaton(texts: DataFrame, keys: DataFrame, max_keys: int) -> DataFrame:
@@ -217,6 +231,18 @@ def _word_table(spark: SparkSession) -> np.ndarray:
     return _WORDS[0]
 
 
+def _chunks(strings: list[str]) -> Iterator[tuple[int, int]]:
+    """From where to where strings are looked through at once."""
+    done, size = 0, 0
+    for i, s in enumerate(strings):
+        if i > done and size + len(s) >= _CHUNK:
+            yield done, i
+            done, size = i, 0
+        size += len(s) + 1
+    if strings:
+        yield done, len(strings)
+
+
 class _Codes:
     """Strings, each followed by a separator, as one array of code points, with hashes of any stretch of it."""
 
@@ -231,6 +257,11 @@ class _Codes:
         self.sums = np.zeros(size + 1, np.uint64)
         np.cumsum((self.points.astype(np.uint64) + _ODD[2]) * _POWERS[0][:size], out=self.sums[1:])
 
+    def within(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which string, place in it) of places in the array."""
+        which = np.searchsorted(self.ends, start)
+        return which, start - np.concatenate([[0], self.ends[:-1] + 1])[which]
+
     def hashes(self, start: np.ndarray, n: np.ndarray | int) -> np.ndarray:
         """64 bits that depend on the stretch's code points only, not on its place."""
         h = (self.sums[start + n] - self.sums[start]) * _POWERS[1][start]
@@ -273,6 +304,11 @@ class _Filter:
     def spans(self, strings: list[str], word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(which string, start, length) of what may be a key, without word characters at its sides."""
         codes = _Codes(strings)
+        start, n = self.places(codes, word)
+        return *codes.within(start), n
+
+    def places(self, codes: _Codes, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, length) of the same in the array of all strings."""
         inner = word[codes.points]
         ends = ~inner
         begin = ends & (codes.points != 0x20)
@@ -288,17 +324,18 @@ class _Filter:
                 found.append((n, self._passed(codes, start[(masks >> np.uint64(min(n, 63))) & np.uint64(1) == 1], n, ends)))
         start = np.concatenate([s for _, s in found]) if found else np.zeros(0, np.int64)
         n = np.concatenate([np.full(len(s), n) for n, s in found]) if found else start
-        which = np.searchsorted(codes.ends, start)
-        within = start + n <= codes.ends[which]
-        start, n, which = start[within], n[within], which[within]
-        return which, start - np.concatenate([[0], codes.ends[:-1] + 1])[which], n
+        within = start + n <= codes.ends[np.searchsorted(codes.ends, start)]
+        return start[within], n[within]
+
+
+def _shape(size: int) -> tuple[int, int]:
+    """Bits of the filter's tables by the number of keys: at most 16 MB and 8 MB."""
+    return min(max((16 * size).bit_length(), 16), 27), min(max((4 * size).bit_length(), 12), 20)
 
 
 def _filter_of(keys: DataFrame) -> _Filter:
     """The filter of all keys; parts of it are made where the keys are."""
-    size = keys.count()
-    # at most 16 MB and 8 MB, whatever the number of keys
-    shape = min(max((16 * size).bit_length(), 16), 27), min(max((4 * size).bit_length(), 12), 20)
+    shape = _shape(keys.count())
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _Filter(*shape)
@@ -313,6 +350,103 @@ def _filter_of(keys: DataFrame) -> _Filter:
     return out
 
 
+class _Packed:
+    """All keys of a dictionary by length, each length sorted by hash: hashes, letters, and the types as bits; `sieve` turns most stretches away before."""
+
+    def __init__(self, types: list[str], n_keys: int):
+        self.types, self.sieve, self.by = types, _Filter(*_shape(n_keys)), {}
+
+    def add(self, keys: list[str], kinds: np.ndarray) -> None:
+        self.sieve.add(keys)
+        codes, n = _Codes(keys), np.fromiter(map(len, keys), np.int64, len(keys))
+        for k in np.unique(n).tolist():
+            start = (codes.ends - n)[n == k]
+            letters = codes.points[start[:, None] + np.arange(k)]
+            self.by.setdefault(k, []).append((codes.hashes(start, k), letters.astype(np.uint8) if letters.max() < 256 else letters, kinds[n == k]))
+
+    def sort(self) -> bool:
+        """False if two different keys have one hash."""
+        for k, parts in self.by.items():
+            hashes, letters, kinds = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            hashes, letters, kinds = hashes[order], letters[order], kinds[order]
+            again = hashes[1:] == hashes[:-1]
+            if (letters[1:][again] != letters[:-1][again]).any():
+                return False
+            first = np.flatnonzero(np.concatenate([[True], ~again]))
+            self.by[k] = hashes[first], letters[first], np.bitwise_or.reduceat(kinds, first)
+        return True
+
+    def kinds(self, codes: _Codes, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The types of each stretch as bits, 0 if it is no key."""
+        out = np.zeros(len(start), np.uint64)
+        for k in np.unique(n).tolist():
+            hashes, letters, kinds = self.by[k]
+            own = np.flatnonzero(n == k)
+            for part in np.array_split(own, 1 + len(own) * k // _CHUNK):
+                h = codes.hashes(start[part], k)
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                part, at = part[hashes[at] == h], at[hashes[at] == h]
+                same = (letters[at] == codes.points[start[part][:, None] + np.arange(k)]).all(1)
+                out[part[same]] = kinds[at[same]]
+        return out
+
+
+def _leftmost_longest(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of the stretches that stand, in order: the leftmost, of those the longest, and on from its end."""
+    order = np.lexsort((-n, start))
+    begin, end = start[order], (start + n)[order]
+    stands = np.ones(len(order), bool)
+    stands[1:] = begin[1:] >= np.maximum.accumulate(end)[:-1]
+    reach, clash = 0, np.flatnonzero(~stands)
+    for i, before in zip(clash.tolist(), stands[clash - 1].tolist()):  # only those that touch one before them
+        if before:
+            reach = end[i - 1]
+        if begin[i] >= reach:
+            stands[i], reach = True, end[i]
+    return order[stands]
+
+
+def _packed_of(keys: DataFrame, max_bytes: int) -> _Packed | None:
+    """The keys packed, if they are within the bound and no two of one length have one hash."""
+    sizes = keys.groupBy(F.length("key").alias("n")).agg(F.count("*").alias("rows"), F.max(F.octet_length("key") > F.length("key")).alias("wide"), F.collect_set("entity_type").alias("types")).collect()
+    types = sorted({t for r in sizes for t in r["types"]}, key=lambda t: (t != "PERSON", t))
+    if sum(r["rows"] * (16 + r["n"] * (4 if r["wide"] else 1)) for r in sizes) > max_bytes or len(types) > 64:
+        return None
+    out = _Packed(types, sum(r["rows"] for r in sizes))
+    bits = {t: np.uint64(1) << np.uint64(i) for i, t in enumerate(types)}
+    for b in keys.select("key", "entity_type").toArrow().to_batches(1 << 16):
+        if b.num_rows:
+            out.add(b.column(0).to_pylist(), np.array([bits[t] for t in b.column(1).to_pylist()], np.uint64))
+    return out if out.sort() else None
+
+
+def _by_packed(texts: DataFrame, packed: _Packed) -> DataFrame:
+    spark = texts.sparkSession
+    held = spark.sparkContext.broadcast((packed, _word_table(spark)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, word = held.value[0], np.unpackbits(held.value[1])[: _SEPARATOR + 1].astype(bool)
+        types = pa.array(keys.types, pa.string())
+        for b in batches:
+            raw, low = (b.column(i).to_numpy(zero_copy_only=False).tolist() for i in (1, 2))
+            for done, upto in _chunks(low) if len(types) else ():
+                codes = _Codes(low[done:upto])
+                start, n = keys.sieve.places(codes, word)
+                kinds = keys.kinds(codes, start, n)
+                start, n, kinds = start[kinds > 0], n[kinds > 0], kinds[kinds > 0]
+                stands = _leftmost_longest(start, n)
+                start, n, kinds = start[stands], n[stands], kinds[stands]
+                kind = np.log2((kinds & (~kinds + np.uint64(1))).astype(float)).astype(np.int64)  # the lowest bit, a power of two
+                which, at = codes.within(start)
+                which, end = which + done, at + n
+                hit = [raw[i][s:e] for i, s, e in zip(which.tolist(), at.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), types.take(pa.array(kind)), pa.array(at.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(hit, pa.string())], ["text_id", "entity_type", "start", "end", "hit"])
+
+    rows = with_text(texts).select("text_id", "text", lowered("text").alias("low"))
+    return rows.mapInArrow(scan, f"text_id {rows.schema['text_id'].dataType.simpleString()}, entity_type string, start int, end int, hit string")
+
+
 def _by_join(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """What may be a key, found in one narrow pass over the texts, joined with the keys by the whole key.
 
@@ -325,19 +459,13 @@ def _by_join(texts: DataFrame, keys: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, word = held.value[0], np.unpackbits(held.value[1])[: _SEPARATOR + 1].astype(bool)
         for b in batches:
-            raw, low = b.column(1).to_pylist(), b.column(2).to_pylist()
-            done = 0
-            while done < len(low):
-                upto, size = done, 0
-                while upto < len(low) and (upto == done or size + len(low[upto]) < _CHUNK):
-                    size += len(low[upto]) + 1
-                    upto += 1
+            raw, low = (b.column(i).to_numpy(zero_copy_only=False).tolist() for i in (1, 2))
+            for done, upto in _chunks(low):
                 which, start, n = (x.tolist() for x in sieve.spans(low[done:upto], word))
                 rows = [done + w for w in which]
                 end = [s + k for s, k in zip(start, n)]
                 key, hit = ([x[i][s:e] for i, s, e in zip(rows, start, end)] for x in (low, raw))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(key, pa.string()), pa.array(hit, pa.string())], ["text_id", "start", "end", "key", "hit"])
-                done = upto
 
     rows = with_text(texts).select("text_id", "text", lowered("text").alias("low"))
     found = rows.mapInArrow(scan, f"text_id {rows.schema['text_id'].dataType.simpleString()}, start int, end int, key string, hit string")

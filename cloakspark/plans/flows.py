@@ -57,8 +57,8 @@ def with_text_ids(cells: DataFrame) -> DataFrame:
 
 
 def distinct_texts(cells: DataFrame) -> DataFrame:
-    """`text_id, text`: each distinct text once. The only shuffle that carries texts, folded before it."""
-    return cells.groupBy("text_id").agg(F.first("text").alias("text"))
+    """`text_id, text`: each distinct text once. The only shuffle that carries texts, folded before it by hash, not by sorting."""
+    return cells.select("text").distinct().select(_digest(F.col("text")).alias("text_id"), "text")
 
 
 #: Scanned columns that a table is joined with its findings by, one after the other; with more of them, cells are joined and put into rows.
@@ -85,6 +85,10 @@ def documents_detector(rows: DataFrame, settings: Settings = DEFAULTS, entities:
     wanted = tuple(settings.entities if entities is None else entities)
 
     def run(texts: DataFrame) -> DataFrame:
+        if set(wanted) <= {"PERSON", "ORGANIZATION"} and settings.master_score >= settings.score_threshold:  # the list alone: settled in the pass over the texts
+            alone = detect.settled_dictionary(texts, dictionary(rows).where(F.col("entity_type").isin(*wanted)), settings.master_score)
+            if alone is not None:
+                return alone
         parts = []
         if {"PERSON", "ORGANIZATION"} & set(wanted):
             parts.append(detect.dictionary(texts, dictionary(rows).where(F.col("entity_type").isin(*wanted)), settings.master_score))

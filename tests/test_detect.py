@@ -103,3 +103,18 @@ def test_join_with_a_crowded_filter(spark):
     sieve.add(keys)
     which, start, size = (x.tolist() for x in sieve.spans(["", keys[-1]], np.zeros(0x110001, bool)))
     assert (1, 0, len(keys[-1])) in set(zip(which, start, size))
+
+
+def test_a_list_alone_is_settled_in_its_pass(spark):
+    """The same as all hits settled afterwards, and nothing is shuffled."""
+    from cloakspark.operators.resolve import engine
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab é&.") for _ in range(rng.randrange(1, 9))).strip() or "Σ"
+    n = names(spark, *{(rng.choice(["PERSON", "ORGANIZATION", "AGENCY"]), word()) for _ in range(150)}, ("ORGANIZATION", "😀 ltd"), ("PERSON", "Paid to " * 30 + "x"))
+    t = texts(spark, *("".join(rng.choice("AbÉab é&._") for _ in range(rng.randrange(60))) for _ in range(200)), "by 😀 LTD.", "paid to " * 30 + "X", None, " ", "x" * 70_000 + " a")
+    row = lambda df: sorted(tuple(r[c] for c in D.COLUMNS) for r in df.collect())
+    got = D.settled_dictionary(t, n)
+    assert row(got) == row(engine(D.dictionary(t, n, strategy="automaton"), 0.35)) != []
+    assert D.settled_dictionary(t, n, max_bytes=1000) is None and D.settled_dictionary(t, n.limit(0)).count() == 0
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

@@ -99,11 +99,14 @@ def documents_detector(rows: DataFrame, settings: Settings = DEFAULTS, entities:
     return run
 
 
-def _values(spans: DataFrame, assigned: DataFrame) -> DataFrame:
-    """The spans with what they are replaced by; each distinct surface form is normalised once."""
-    forms = spans.select("entity_type", "text").distinct().withColumn("norm_name", normalize_name("text"))
-    valued = forms.join(assigned.select("entity_type", "norm_name", F.col("pseudonym").alias("value")), ["entity_type", "norm_name"])
-    return spans.join(valued.select("entity_type", "text", "value"), ["entity_type", "text"])
+def _values(spans: DataFrame, master: DataFrame | None, settings: Settings) -> DataFrame:
+    """The spans with what they are replaced by: the id that the crosswalk has for the name.
+
+    Each distinct surface form is normalised and looked up once, without its first place, which an id doesn't depend on.
+    """
+    forms = spans.select("entity_type", "text").distinct().select("entity_type", normalize_name("text").alias("norm_name"), F.col("text").alias("original_name"), F.lit(0).alias("ord"))
+    valued = A.assign(forms, master, settings, with_hints=False).select("entity_type", F.col("original_name").alias("text"), F.col("pseudonym").alias("value"))
+    return spans.join(valued.hint("shuffle_hash"), ["entity_type", "text"])  # distinct forms, far fewer than the spans, which needn't be sorted
 
 
 def cells(df: DataFrame, detector: detect.Detector, master: DataFrame | None, columns: Sequence[str] | None = None, settings: Settings = DEFAULTS, row_id: str = "row_id", with_hints: bool = True) -> Result:
@@ -122,7 +125,7 @@ def cells(df: DataFrame, detector: detect.Detector, master: DataFrame | None, co
     named = spans.select("text_id", "entity_type", "text", (-F.col("start")).alias("from_right")).join(first, "text_id")
     forms = named.groupBy("entity_type", "text").agg(F.min(F.struct("place", "from_right")).alias("o")).select("entity_type", "text", "o.*")
     assigned = A.assign(A.distinct_names(forms, ["place", "from_right"]), master, settings, with_hints)
-    values = _values(spans, assigned)
+    values = _values(spans, master, settings)
     if 0 < len(chosen) <= _DIRECT:
         return Result(_spliced_columns(df, chosen, splice.span_lists(values), row_id), findings, assigned)
     with_spans = texts.join(spans.select("text_id").distinct(), "text_id", "left_semi")
@@ -138,8 +141,7 @@ def _unit_id(units: DataFrame) -> DataFrame:
     return units.withColumn("text_id", F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("unit_idx").cast("long").alias("unit_idx")))
 
 
-def _units_result(units: DataFrame, spans: DataFrame, assigned: DataFrame, raw: DataFrame, style: str) -> Result:
-    values = splice.blacked_out(raw) if style == BLACKOUT else _values(raw, assigned)
+def _units_result(units: DataFrame, spans: DataFrame, assigned: DataFrame, values: DataFrame) -> Result:
     done = splice.redact(units, values.select("text_id", "start", "end", "value"))
     back = [F.col("text_id.doc_id").alias("doc_id"), F.col("text_id.unit_idx").cast(dict(units.dtypes)["unit_idx"]).alias("unit_idx")]
     return Result(done.drop("text_id"), spans.select(*back, *(c for c in spans.columns if c != "text_id")), assigned)
@@ -193,7 +195,7 @@ def pages(units: DataFrame, words: Iterable[str] = (), style: str = PSEUDONYMIZE
     assigned = A.assign(A.distinct_names(ranked, ["text_id", "p", "start"]), None, settings)
     where = ["text_id", "start", "end"]
     raw = spans.join(found.select(*where, "raw_start", "raw_end").distinct(), where).drop("start", "end").withColumnsRenamed({"raw_start": "start", "raw_end": "end"})
-    result = _units_result(ids, spans, assigned, raw, style)
+    result = _units_result(ids, spans, assigned, splice.blacked_out(raw) if style == BLACKOUT else _values(raw, None, settings))
     return replace(result, boxes=image_boxes(units)) if redact_images and "images" in units.columns else result
 
 
@@ -208,10 +210,11 @@ def blocks(units: DataFrame, detector: detect.Detector, master: DataFrame | None
     spans = materialise(resolve.staged(found, detect.custom_words(texts, words, settings.custom_score)) if words else found)
     ranked = spans.withColumn("p", resolve.priority())
     assigned = A.assign(A.distinct_names(ranked, ["text_id", "p", "start"]), master, settings, with_hints)
-    result = _units_result(ids, spans, assigned, spans, PSEUDONYMIZE)
+    values = _values(spans, master, settings)
+    result = _units_result(ids, spans, assigned, values)
     if "runs" not in units.columns:
         return result
-    lists = splice.span_lists(_values(spans, assigned).select("text_id", "start", "end", "value"))
+    lists = splice.span_lists(values.select("text_id", "start", "end", "value"))
     with_runs = ids.join(lists, "text_id", "left").withColumn("redacted_runs", splice.spliced_runs("runs", "spans"))
     return Result(with_runs.withColumn("redacted", splice.runs_text("redacted_runs")).drop("text_id", "spans"), result.findings, assigned)
 

@@ -132,3 +132,13 @@ def test_cells_of_rows_without_an_id_and_of_blank_cells(spark):
         other = ("STF-1", ("b.c", "memo")) if len(columns) == 2 else ("Jane Doe", ("memo",))
         assert got == Counter([(None, "STF-1", "x", ("memo",)), (7, "by STF-1", " ", ("memo",)), (7, "STF-1 / STF-1", *other), (8, "", None, ()), (9, "y", "z", ())])
         assert out.redacted.columns == ["row_id", "memo", "b.c", "changed"]
+
+
+def test_redaction_needs_no_first_places(spark, rows):
+    """Forms are looked up once, and joined with the spans alone: no first place of a text is sought for an id."""
+    df = spark.createDataFrame([(1, "by Jane Doe"), (2, "JANE  doe / No Id"), (3, "")], "row_id long, memo string")
+    result = flows.cells(df, flows.documents_detector(rows, entities=("PERSON",)), None, with_hints=False)
+    plan = result.redacted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "min(" not in plan
+    ids = {r.original_name: r.pseudonym for r in result.crosswalk.collect()}
+    assert {r.row_id: r.memo for r in result.redacted.collect()} == {1: f"by {ids['Jane Doe']}", 2: f"JANE  doe / {ids['No Id']}", 3: ""}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import auto_pseudonym, normalize_name
+from ..session import materialise
 from ..settings import DEFAULTS, Settings
 from .fuzzy import hints
 
@@ -21,15 +22,18 @@ def assign(names: DataFrame, master: DataFrame | None, settings: Settings = DEFA
 
     A hint never changes the id. Only distinct names come here, whatever the number of their occurrences.
     """
+    hinted = master is not None and with_hints
+    if hinted:  # read by the look-up and by the hints
+        master = materialise(master.withColumn("cand_ord", F.col("norm_name")) if "cand_ord" not in master.columns else master)  # a list without an order goes by name
     if master is None:
         joined = names.select("*", *(F.lit(None).cast("string").alias(c) for c in ("pseudonym", "category")))
     else:
         joined = names.join(master.select("entity_type", "norm_name", "pseudonym", "category"), ["entity_type", "norm_name"], "left")
+    joined = materialise(joined) if hinted else joined  # else names are found anew for the hints, and normalised where they were found
     out = joined.withColumn("auto", F.col("pseudonym").isNull()).withColumn("pseudonym", F.coalesce("pseudonym", auto_pseudonym("entity_type", "norm_name", settings.auto_hash_length, settings.auto_prefixes)))
     blank = {"suggested_pseudonym": "string", "suggested_name": "string", "suggested_score": "double"}
-    if master is not None and with_hints:
-        ordered = master.withColumn("cand_ord", F.col("norm_name")) if "cand_ord" not in master.columns else master  # a list without an order goes by name
-        found = hints(joined.where("pseudonym is null").select("entity_type", "norm_name"), ordered, settings.fuzzy_threshold, settings.length_slack)
+    if hinted:
+        found = hints(joined.where("pseudonym is null").select("entity_type", "norm_name"), master, settings.fuzzy_threshold, settings.length_slack)
         out = out.join(found, ["entity_type", "norm_name"], "left")
     else:
         out = out.select("*", *(F.lit(None).cast(t).alias(c) for c, t in blank.items()))

@@ -48,40 +48,63 @@ def _reach(n: int, m: int) -> float:
     return 2.0 * ((n + m - apart) // 2) / (n + m)
 
 
-def _near(names: DataFrame, listed: DataFrame, threshold: float, slack: int, lengths: dict[str, list[int]]) -> DataFrame:
-    """`entity_type, norm_name, candidate, score, rest`: the best of the candidates that a letter left out of either makes equal, and the lengths where there may be others as good.
-
-    Names and candidates are joined by the hashes of their forms. Candidates are taken by their bound, then in the
-    order of the list, until no bound betters the ratio found. Of equal ratio the first in the list is given.
-    """
+def _met(names: DataFrame, listed: DataFrame, slack: int) -> DataFrame:
+    """`entity_type, norm_name, bound, cand_ord, candidate`: pairs that share a form, by the join of the forms' hashes; `bound` is the best ratio they can have, negative."""
     asked = names.select("entity_type", "norm_name", F.explode(_forms("entity_type")).alias("form"))
     other = listed.select("entity_type", F.col("norm_name").alias("candidate"), "cand_ord", F.explode(_forms("entity_type")).alias("form"))
     n, m = F.length("norm_name"), F.length("candidate")
     apart = F.when(F.col("norm_name") == F.col("candidate"), 0).when(n == m, 2).otherwise(F.abs(n - m))
-    met = asked.join(other, ["entity_type", "form"]).where(F.abs(n - m) <= slack).select("entity_type", "norm_name", "cand_ord", "candidate", (-(n + m - apart) / (n + m)).alias("bound"))
-    lists = met.groupBy("entity_type", "norm_name").agg(F.sort_array(F.collect_set(F.struct("cand_ord", "candidate", "bound"))).alias("met"))
-    met = names.select("entity_type", "norm_name").join(lists, ["entity_type", "norm_name"], "left").select("entity_type", "norm_name", F.col("met.bound").alias("bounds"), F.col("met.candidate").alias("candidates"))
+    return asked.join(other, ["entity_type", "form"]).where(F.abs(n - m) <= slack).select("entity_type", "norm_name", (-(n + m - apart) / (n + m)).alias("bound"), "cand_ord", "candidate")
 
+
+def _best_met(lists: DataFrame, threshold: float, slack: int, lengths: dict[str, list[int]]) -> DataFrame:
+    """`entity_type, norm_name, candidate, score, rest, done` of names with their `bounds` and `candidates` in the order of the list.
+
+    Candidates are taken by their bound, then in the order of the list, until no bound betters the ratio found; `done` is
+    whether no other can do better by the highest bound. Of equal ratio the first in the list is given.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = SequenceMatcher(None, "", "")
         for b in batches:
-            out = []
-            for kind, name, bounds, others in zip(*(c.to_pylist() for c in b.columns)):
-                best, score, at = None, 0.0, 0
-                for bound, place in sorted(zip(bounds or (), range(len(bounds or ())))):
-                    if best is not None and (-bound, -place) < (score, -at):  # so are all that follow
+            out, bounds, others = [], b.column(2), b.column(3)
+            at = bounds.offsets.to_numpy().tolist(), others.offsets.to_numpy().tolist()
+            flat, names_of = bounds.values.to_numpy(zero_copy_only=False), others.values
+            for i, (kind, name) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                own = flat[at[0][i] : at[0][i + 1]]
+                best, score, where, top = None, 0.0, 0, -own.min() if len(own) else 0.0
+                for place in np.argsort(own, kind="stable").tolist():
+                    if best is not None and (-own[place], -place) < (score, -where):  # so are all that follow
                         break
-                    match.set_seqs(name, others[place])
+                    other = names_of[at[1][i] + place].as_py()
+                    match.set_seqs(name, other)
                     ratio = match.ratio()
-                    if ratio >= threshold and (best is None or (ratio, -place) > (score, -at)):
-                        best, score, at = others[place], ratio, place
+                    if ratio >= threshold and (best is None or (ratio, -place) > (score, -where)):
+                        best, score, where = other, ratio, place
                 least = max(score, threshold)
                 rest = [k for k in lengths.get(kind, ()) if abs(k - len(name)) <= slack and _reach(len(name), k) >= least]
-                out.append((kind, name, best, score if best is not None else None, rest))
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32())))], ["entity_type", "norm_name", "candidate", "score", "rest"])
+                out.append((kind, name, best, score if best is not None else None, rest, bool(not len(own) or top < threshold or best is not None and score >= top)))
+            cols = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32()), pa.bool_()))], ["entity_type", "norm_name", "candidate", "score", "rest", "done"])
 
-    return met.mapInArrow(run, "entity_type string, norm_name string, candidate string, score double, rest array<int>")
+    return lists.select("entity_type", "norm_name", "bounds", "candidates").mapInArrow(run, "entity_type string, norm_name string, candidate string, score double, rest array<int>, done boolean")
+
+
+def _near(names: DataFrame, listed: DataFrame, threshold: float, slack: int, lengths: dict[str, list[int]]) -> DataFrame:
+    """`entity_type, norm_name, candidate, score, rest`: the best of the candidates that a letter left out of either makes equal, and the lengths where there may be others as good.
+
+    For most names the first candidate of the highest bound reaches it, so no other can do better: only that one is
+    looked at. All candidates are listed for the names where it doesn't, counted first.
+    """
+    key = ["entity_type", "norm_name"]
+    top = _met(names, listed, slack).groupBy(*key).agg(F.min(F.struct("bound", "cand_ord", "candidate")).alias("top"))
+    one = names.select(*key).join(top, key, "left").select(*key, *(F.array_compact(F.array(f"top.{c}")).alias(a) for c, a in (("bound", "bounds"), ("candidate", "candidates"))))
+    tried = materialise(_best_met(one, threshold, slack, lengths))
+    open_names, columns = tried.where("not done").select(*key), [*key, "candidate", "score", "rest"]
+    if open_names.isEmpty():
+        return tried.select(*columns)
+    lists = _met(open_names, listed, slack).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("cand_ord", "candidate", "bound"))).alias("met"))
+    every = lists.select(*key, F.col("met.bound").alias("bounds"), F.col("met.candidate").alias("candidates"))
+    return tried.where("done").select(*columns).unionByName(_best_met(every, threshold, slack, lengths).select(*columns))
 
 
 def _far(near: DataFrame, listed: DataFrame, threshold: float, block: int) -> list[DataFrame]:

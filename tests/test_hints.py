@@ -44,3 +44,26 @@ def test_equal_likeness_goes_by_the_order_of_the_list(spark):
     assert ordered[:4] == ["abcdefghil ltd", "abcdefghin ltd", "abcdefghim limited", "abcdefghik ltd"] and ordered[4].startswith("abcdefghil ")
     asked = A.distinct_names(spark.createDataFrame([("ORGANIZATION", "Abcdefghix Ltd", 1)], "entity_type string, text string, n int"), ["n"])
     assert A.assign(asked, m).collect()[0].suggested_pseudonym == "VND-3"
+
+
+def test_hints_against_all_pairs_of_few_letters(spark, monkeypatch):
+    """Where the first candidate of the highest bound doesn't reach it, and where it does: then the others aren't listed."""
+    import random
+
+    from cloakspark.operators import fuzzy
+
+    listings, best_met = [], fuzzy._best_met
+    monkeypatch.setattr(fuzzy, "_best_met", lambda lists, *rest: listings.append(1) or best_met(lists, *rest))
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(4, 11)))
+    listed, asked = [(i, w) for i, w in enumerate(dict.fromkeys(word() for _ in range(150)))], sorted({word() for _ in range(120)})
+    candidates = spark.createDataFrame([("PERSON", w, f"P-{i}", w, i) for i, w in listed], "entity_type string, norm_name string, pseudonym string, display_name string, cand_ord long")
+    got = lambda words: {r.norm_name: (r.suggested_name, r.suggested_score) for r in fuzzy.hints(spark.createDataFrame([("PERSON", w) for w in words], "entity_type string, norm_name string"), candidates, 0.6, 3).collect()}
+    want = {}
+    for w in asked:
+        best = max(((SequenceMatcher(None, w, o).ratio(), -i, o) for i, o in listed if abs(len(w) - len(o)) <= 3), default=(0,))
+        if best[0] >= 0.6:
+            want[w] = (best[2], best[0])
+    assert got(asked) == want and len(listings) == 2
+    own = listed[0][1]
+    assert got([own]) == {own: (own, 1.0)} and len(listings) == 3

@@ -17,6 +17,8 @@ from ..settings import DEFAULTS
 
 #: Curated names of one block that is sent to the tasks; more names are more blocks, one narrow pass each.
 BLOCK = 200_000
+#: Names asked for of which, counted, the forms are sent to the list in place of a shuffle of the list's.
+FEW = 10_000
 _BUCKETS = 48
 
 
@@ -48,13 +50,13 @@ def _reach(n: int, m: int) -> float:
     return 2.0 * ((n + m - apart) // 2) / (n + m)
 
 
-def _met(names: DataFrame, listed: DataFrame, slack: int) -> DataFrame:
+def _met(names: DataFrame, listed: DataFrame, slack: int, few: bool = False) -> DataFrame:
     """`entity_type, norm_name, bound, cand_ord, candidate`: pairs that share a form, by the join of the forms' hashes; `bound` is the best ratio they can have, negative."""
     asked = names.select("entity_type", "norm_name", F.explode(_forms("entity_type")).alias("form"))
     other = listed.select("entity_type", F.col("norm_name").alias("candidate"), "cand_ord", F.explode(_forms("entity_type")).alias("form"))
     n, m = F.length("norm_name"), F.length("candidate")
     apart = F.when(F.col("norm_name") == F.col("candidate"), 0).when(n == m, 2).otherwise(F.abs(n - m))
-    return asked.join(other, ["entity_type", "form"]).where(F.abs(n - m) <= slack).select("entity_type", "norm_name", (-(n + m - apart) / (n + m)).alias("bound"), "cand_ord", "candidate")
+    return (F.broadcast(asked) if few else asked).join(other, ["entity_type", "form"]).where(F.abs(n - m) <= slack).select("entity_type", "norm_name", (-(n + m - apart) / (n + m)).alias("bound"), "cand_ord", "candidate")
 
 
 def _best_met(lists: DataFrame, threshold: float, slack: int, lengths: dict[str, list[int]]) -> DataFrame:
@@ -100,9 +102,10 @@ def _near(names: DataFrame, listed: DataFrame, threshold: float, slack: int, len
     one = names.select(*key).join(top, key, "left").select(*key, *(F.array_compact(F.array(f"top.{c}")).alias(a) for c, a in (("bound", "bounds"), ("candidate", "candidates"))))
     tried = materialise(_best_met(one, threshold, slack, lengths))
     open_names, columns = tried.where("not done").select(*key), [*key, "candidate", "score", "rest"]
-    if open_names.isEmpty():
+    n_open = open_names.count()
+    if not n_open:
         return tried.select(*columns)
-    lists = _met(open_names, listed, slack).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("cand_ord", "candidate", "bound"))).alias("met"))
+    lists = _met(open_names, listed, slack, few=n_open <= FEW).groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("cand_ord", "candidate", "bound"))).alias("met"))
     every = lists.select(*key, F.col("met.bound").alias("bounds"), F.col("met.candidate").alias("candidates"))
     return tried.where("done").select(*columns).unionByName(_best_met(every, threshold, slack, lengths).select(*columns))
 

@@ -67,3 +67,14 @@ def test_hints_against_all_pairs_of_few_letters(spark, monkeypatch):
     assert got(asked) == want and len(listings) == 2
     own = listed[0][1]
     assert got([own]) == {own: (own, 1.0)} and len(listings) == 3
+
+
+def test_few_names_are_sent_to_the_list(spark):
+    """The list's forms aren't shuffled for a few names, and the pairs are the same."""
+    from cloakspark.operators import fuzzy
+
+    listed = spark.createDataFrame([("PERSON", f"anna kanev{c}", i) for i, c in enumerate("abcdefgh")], "entity_type string, norm_name string, cand_ord long")
+    asked = spark.createDataFrame([("PERSON", "anna kanevz"), ("PERSON", "anna kanevaa")], "entity_type string, norm_name string")
+    few, many = fuzzy._met(asked, listed, 3, few=True), fuzzy._met(asked, listed, 3)
+    assert sorted(map(tuple, few.distinct().collect())) == sorted(map(tuple, many.distinct().collect())) != []
+    assert "Broadcast" in few._jdf.queryExecution().executedPlan().toString() and "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
